@@ -8,7 +8,7 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from panelforge.functions.columns import (
-    EPS, clip, finite, frame, pct, ratio, rkurt, rmax, rmean, rmin, rolled, row_mean, rskew, rstd, rsum,
+    EPS, clip, pair_terms, pcorr, pct, pkurt, powers, pskew, pstd, ratio, rmax, rmean, rmin, row_mean, rstd, rsum,
 )
 from panelforge.operators.groups import Group, apply_groups, ewm_std_stages, returns_stage
 
@@ -19,29 +19,37 @@ def _reversal(w):
     return {"Rev_5d": pct("Close", 5, w), "Rev_10d": pct("Close", 10, w), "Rev_5d_Skip1": pct("_close_1", 5, w)}
 
 
-REVERSAL = Group("reversal", (lambda w: {"_close_1": F.lag("Close").over(w)}, _reversal),
+REVERSAL = Group("reversal", (lambda w: {"_close_1": w.lag("Close")}, _reversal),
                  ("Rev_5d", "Rev_10d", "Rev_5d_Skip1"), 10, MIN_ROWS)
 
 
+def _trend_terms(w):
+    y, x = F.col("Close"), w.place()
+    return {"_y2": y * y, "_xy": y * x, "_x": x}
+
+
 def _trend(w):
     made: dict[str, Column] = {}
     for n in (20, 60, 120):
-        f = frame(w, n)
-        y, x = F.col("Close"), F.col("_pos")
-        sxx, syy, sxy = F.regr_sxx(y, x).over(f), F.regr_syy(y, x).over(f), F.regr_sxy(y, x).over(f)
-        fit = F.when(sxx * syy > EPS, sxy * sxy / (sxx * syy + EPS)).otherwise(0.0)
-        made[f"Trend_RSq_{n}"] = F.when(F.count(y).over(f) >= n, clip(fit, 0.0, 1.0))
+        sy, syy, sxy = w.agg("sum", "Close", n), w.agg("sum", "_y2", n), w.agg("sum", "_xy", n)
+        # Rows are evenly spaced, so the sums over x are constants of the window length.
+        ss_xx = n * (n * n - 1) / 12.0
+        ss_xy = sxy - (F.col("_x") - (n - 1) / 2.0) * sy
+        scale = ss_xx * (syy - sy * sy / n)
+        fit = F.when(scale > EPS, ss_xy * ss_xy / (scale + EPS)).otherwise(0.0)
+        made[f"Trend_RSq_{n}"] = F.when(w.agg("count", "Close", n) >= n, clip(fit, 0.0, 1.0))
         made[f"QualMom_{n}"] = pct("Close", n, w) * made[f"Trend_RSq_{n}"]
     return made
 
 
-TREND = Group("trend_quality", (_trend,), tuple(f"{p}_{n}" for n in (20, 60, 120) for p in ("Trend_RSq", "QualMom")), 120, MIN_ROWS)
+TREND = Group("trend_quality", (_trend_terms, _trend), tuple(f"{p}_{n}" for n in (20, 60, 120) for p in ("Trend_RSq", "QualMom")), 120, MIN_ROWS)
 
 IDIO = Group(
     "idio_vol",
     (returns_stage,
      lambda w: {**{f"_res{n}": F.col("_ret") - rmean("_ret", n, w) for n in (20, 60)}, "_std20": rstd("_ret", 20, w)},
-     lambda w: {**{f"IdioVol_{n}": rstd(f"_res{n}", n, w) for n in (20, 60)}, "VolOfVol_60": rstd("_std20", 60, w)}),
+     lambda w: {**powers("_res60", 2), **powers("_std20", 2)},
+     lambda w: {"IdioVol_20": rstd("_res20", 20, w), "IdioVol_60": pstd("_res60", 60, w), "VolOfVol_60": pstd("_std20", 60, w)}),
     ("IdioVol_20", "IdioVol_60", "VolOfVol_60"), 121, MIN_ROWS,
 )
 
@@ -49,56 +57,55 @@ IDIO = Group(
 def _discreteness(w):
     made = {}
     for n in (21, 63, 126):
-        up, down = F.count_if(F.col("_ret") > 0).over(frame(w, n)), F.count_if(F.col("_ret") < 0).over(frame(w, n))
-        made[f"InfoDisc_{n}"] = F.signum(rsum("_ret", n, w)) * (up - down) / F.lit(float(n))
+        made[f"InfoDisc_{n}"] = F.signum(rsum("_ret", n, w)) * w.agg("sum", "_sign", n) / F.lit(float(n))
     return made
 
 
-DISCRETENESS = Group("info_discreteness", (returns_stage, _discreteness), tuple(f"InfoDisc_{n}" for n in (21, 63, 126)), 127, MIN_ROWS)
+DISCRETENESS = Group("info_discreteness", (returns_stage, lambda w: {"_sign": F.signum("_ret")}, _discreteness), tuple(f"InfoDisc_{n}" for n in (21, 63, 126)), 127, MIN_ROWS)
 
 
 def _extremes(w):
-    top = F.slice(F.sort_array(F.collect_list("_ret").over(frame(w, 21)), asc=False), 1, 5)
+    top = F.slice(F.sort_array(w.agg("list", "_ret", 21), asc=False), 1, 5)
     mean5 = F.aggregate(top, F.lit(0.0), lambda a, x: a + x) / 5
     high, low = rmax("_ret", 21, w), rmin("_ret", 21, w)
-    full = F.count("_ret").over(frame(w, 21)) >= 21
+    full = w.agg("count", "_ret", 21) >= 21
     return {"MAX_21d": high, "MIN_21d": low, "MAX5_21d": F.when(full, mean5), "MaxMinSpread_21d": high - low}
 
 
 EXTREMES = Group("max_effect", (returns_stage, _extremes), ("MAX_21d", "MIN_21d", "MAX5_21d", "MaxMinSpread_21d"), 22, MIN_ROWS)
 
 
+def _moment_terms(w):
+    zero = F.when(F.col("_ret").isNotNull(), F.lit(0.0))
+    down, up = F.least(F.col("_ret"), zero), F.greatest(F.col("_ret"), zero)
+    return {**powers("_ret", 4), "_down2": down * down, "_up2": up * up}
+
+
 def _moments(w):
-    down = F.least(F.col("_ret"), F.when(F.col("_ret").isNotNull(), F.lit(0.0)))
-    up = F.greatest(F.col("_ret"), F.when(F.col("_ret").isNotNull(), F.lit(0.0)))
-    made = {f"Skew_{n}d": finite(rskew("_ret", n, w)) for n in (60, 126)}
-    made |= {f"Kurt_{n}d": finite(rkurt("_ret", n, w)) for n in (60, 126)}
-    made["DownVol_60d"] = F.sqrt(rolled(F.avg(down * down), "_ret", 60, w))
-    made["UpDownRatio_60d"] = ratio(F.sqrt(rolled(F.avg(up * up), "_ret", 60, w) + EPS), made["DownVol_60d"])
+    made = {f"Skew_{n}d": pskew("_ret", n, w) for n in (60, 126)}
+    made |= {f"Kurt_{n}d": pkurt("_ret", n, w) for n in (60, 126)}
+    made["DownVol_60d"] = F.sqrt(rmean("_down2", 60, w))
+    made["UpDownRatio_60d"] = ratio(F.sqrt(rmean("_up2", 60, w) + EPS), made["DownVol_60d"])
     return made
 
 
-MOMENTS = Group("higher_moments", (returns_stage, _moments),
+MOMENTS = Group("higher_moments", (returns_stage, _moment_terms, _moments),
                 ("Skew_60d", "Skew_126d", "Kurt_60d", "Kurt_126d", "DownVol_60d", "UpDownRatio_60d"), 127, MIN_ROWS)
 
 
 def _illiquidity(w):
     return {**returns_stage(w), "_illiq": ratio(F.abs(pct("Close", 1, w)), F.col("Volume") * F.col("Close")),
-            "_vol_ma20": rmean("Volume", 20, w)}
-
-
-def _pair_corr(x: Column, y: str, n: int, w) -> Column:
-    return F.when(F.count(x).over(frame(w, n)) >= n, finite(F.corr(x, F.col(y)).over(frame(w, n))))
+            "_absret": F.abs(pct("Close", 1, w)), "_vol_ma20": rmean("Volume", 20, w)}
 
 
 VOLUME = Group(
     "volume",
-    (_illiquidity, lambda w: {
+    (_illiquidity, lambda w: {**pair_terms("_ret", "Volume"), **pair_terms("_absret", "Volume")}, lambda w: {
         "RelVol_20d": ratio(F.col("Volume"), F.col("_vol_ma20")), "RelVol_60d": ratio(F.col("Volume"), rmean("Volume", 60, w)),
         "VolMom_20d": pct("_vol_ma20", 20, w),
         **{f"Amihud_{n}{s}": rmean("_illiq", n, w) for n, s in ((21, "d"), (63, "d"), (20, ""))},
-        "VolRetCorr_60d": _pair_corr(F.col("_ret"), "Volume", 60, w),
-        "AbsVolRetCorr_60d": _pair_corr(F.abs("_ret"), "Volume", 60, w),
+        "VolRetCorr_60d": F.when(w.agg("count", "_ret", 60) >= 60, pcorr("_ret", "Volume", 60, w)),
+        "AbsVolRetCorr_60d": F.when(w.agg("count", "_ret", 60) >= 60, pcorr("_absret", "Volume", 60, w)),
     }),
     ("RelVol_20d", "RelVol_60d", "VolMom_20d", "Amihud_21d", "Amihud_63d", "Amihud_20", "VolRetCorr_60d", "AbsVolRetCorr_60d"),
     64, MIN_ROWS,
@@ -107,11 +114,10 @@ VOLUME = Group(
 
 def _acceleration(w):
     m = {n: pct("Close", n, w) for n in (21, 63, 126)}
-    first = F.sum("_ret").over(w.rowsBetween(-29, -15))
-    second = F.sum("_ret").over(w.rowsBetween(-14, 0))
+    first, second = w.agg("sum", "_ret", 15, 15), w.agg("sum", "_ret", 15)
     return {
         "MomAccel_21_63": m[21] - m[63] / 3, "MomAccel_63_126": m[63] - m[126] / 2,
-        "MomConsist_60d": F.when(F.count("_ret").over(frame(w, 30)) >= 30, first * second),
+        "MomConsist_60d": F.when(w.agg("count", "_ret", 30) >= 30, first * second),
         "Near52wHigh": ratio(F.col("Close"), rmax("High", 252, w)),
     }
 
@@ -122,8 +128,7 @@ ACCELERATION = Group("momentum_accel", (returns_stage, _acceleration),
 
 def _quarters(w):
     def back(offset: int) -> Column:
-        f = w.rowsBetween(-offset - 62, -offset)
-        return F.when(F.count("_ret").over(f) >= 63, F.sum("_ret").over(f))
+        return F.when(w.agg("count", "_ret", 63, offset) >= 63, w.agg("sum", "_ret", 63, offset))
 
     return {**{f"_q{k}": back(63 * k) for k in range(4)}, "_month": rsum("_ret", 21, w)}
 
@@ -135,18 +140,18 @@ def _long_consistency(w):
     squares = [F.coalesce((x - mean) * (x - mean), F.lit(0.0)) for x in q]
     spread = F.when(n >= 2, F.sqrt(sum(squares[1:], squares[0]) / F.when(n >= 2, n - 1)))
     positive = [F.coalesce((x > 0).cast("int"), F.lit(0)) for x in q]
-    pairs = F.corr(F.col("_month"), F.col("_month_1")).over(w.rowsBetween(-250, 0))
     return {
         "PosQuarters_252d": sum(positive[1:], positive[0]), "AvgQuarterRet_252d": (q[0] + q[1] + q[2] + q[3]) / 4,
         "MomConsist_252d": spread, "MomQuality_252d": ratio(pct("Close", 252, w), spread),
-        "TrendPersist_252d": F.when(F.count("_month").over(frame(w, 252)) >= 252, finite(pairs)),
+        "TrendPersist_252d": F.when(w.agg("count", "_month", 252) >= 252, pcorr("_month", "_month_1", 251, w)),
         "MomDivergence_126_252": pct("Close", 126, w) - pct("Close", 252, w) / 2,
     }
 
 
 CONSISTENCY = Group(
     "long_consistency",
-    (returns_stage, _quarters, lambda w: {"_month_1": F.lag("_month").over(w)}, _long_consistency),
+    (returns_stage, _quarters, lambda w: {"_month_1": w.lag("_month")}, lambda w: pair_terms("_month", "_month_1"),
+     _long_consistency),
     ("PosQuarters_252d", "AvgQuarterRet_252d", "MomConsist_252d", "MomQuality_252d", "TrendPersist_252d", "MomDivergence_126_252"),
     280, MIN_ROWS,
 )
@@ -177,22 +182,22 @@ EXTENDED_MOMENTUM = Group("extended_momentum", (lambda w: {f"ROC_{n}": pct("Clos
 
 
 def _risk_adjusted(w):
-    base = {n: ratio(rmean("_ret", n, w), rstd("_ret", n, w)) for n in (63, 126, 252)}
+    base = {n: ratio(rmean("_ret", n, w), pstd("_ret", n, w)) for n in (63, 126, 252)}
     return {**{f"Risk_Adj_ROC_{n}": x for n, x in base.items()},
             **{f"Momentum_Sharpe_{n}": x * F.lit(252**0.5) for n, x in base.items()}}
 
 
-RISK_ADJUSTED = Group("volatility_adjusted_momentum", (returns_stage, _risk_adjusted),
+RISK_ADJUSTED = Group("volatility_adjusted_momentum", (returns_stage, lambda w: powers("_ret", 2), _risk_adjusted),
                       tuple(f"{p}_{n}" for n in (63, 126, 252) for p in ("Risk_Adj_ROC", "Momentum_Sharpe")), 253, MIN_ROWS)
 
 
 def _value(w):
     high, low = rmax("High", 252, w), rmin("Low", 252, w)
     return {"Dist_52w_Mid": ratio(F.col("Close") - (high + low) / 2, high - low),
-            "Reversion_Score": -pct("Close", 252, w) * rstd("_ret", 252, w)}
+            "Reversion_Score": -pct("Close", 252, w) * pstd("_ret", 252, w)}
 
 
-VALUE = Group("value_features", (returns_stage, _value), ("Dist_52w_Mid", "Reversion_Score"), 253, MIN_ROWS)
+VALUE = Group("value_features", (returns_stage, lambda w: powers("_ret", 2), _value), ("Dist_52w_Mid", "Reversion_Score"), 253, MIN_ROWS)
 
 
 def add_alpha(df: DataFrame) -> DataFrame:

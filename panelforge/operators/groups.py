@@ -2,16 +2,14 @@
 
 from __future__ import annotations
 
-from collections.abc import Callable, Iterable, Sequence
+from collections.abc import Iterable, Sequence
 from dataclasses import dataclass
 
-from pyspark.sql import Column, DataFrame, WindowSpec
+from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from panelforge.functions.columns import pct
-from panelforge.operators.ordered import over_series
-
-Stage = Callable[[WindowSpec], dict[str, Column]]
+from panelforge.operators.ordered import Frames, Stage, over_series
 
 
 @dataclass(frozen=True)
@@ -25,7 +23,7 @@ class Group:
     min_rows: int = 1
 
 
-def returns_stage(w: WindowSpec) -> dict[str, Column]:
+def returns_stage(w: Frames) -> dict[str, Column]:
     return {"_ret": pct("Close", 1, w)}
 
 
@@ -33,7 +31,7 @@ def apply_groups(df: DataFrame, groups: Sequence[Group]) -> DataFrame:
     """All groups in one pass: stage k of every group shares one select, and all share one sort."""
 
     def merged(k: int) -> Stage:
-        def stage(w: WindowSpec) -> dict[str, Column]:
+        def stage(w: Frames) -> dict[str, Column]:
             made: dict[str, Column] = {}
             for g in groups:
                 if k < len(g.stages):
@@ -41,7 +39,7 @@ def apply_groups(df: DataFrame, groups: Sequence[Group]) -> DataFrame:
             return made
         return stage
 
-    def guard(_: WindowSpec) -> dict[str, Column]:
+    def guard(_: Frames) -> dict[str, Column]:
         return {c: F.when(F.col("_size") >= g.min_rows, F.col(c)) for g in groups if g.min_rows > 1 for c in g.outputs}
 
     depth = max(len(g.stages) for g in groups)
@@ -70,12 +68,12 @@ def ewm_mean_stages(series: dict[str, tuple[str, int]]) -> tuple[list[Stage], in
     q = {n: 1 - 2 / (span + 1) for n, (_, span) in series.items()}
     depth = max(_levels(v) for v in q.values())
 
-    def seed(_: WindowSpec) -> dict[str, Column]:
+    def seed(_: Frames) -> dict[str, Column]:
         return {n: F.when(F.col("_pos") == 0, F.col(x)).otherwise(F.col(x) * F.lit(1 - q[n])) for n, (x, _s) in series.items()}
 
     def double(level: int) -> Stage:
         step = 2**level
-        return lambda w: {n: F.col(n) + F.coalesce(F.lag(n, step).over(w), F.lit(0.0)) * F.lit(q[n] ** step) for n in series}
+        return lambda w: {n: F.col(n) + F.coalesce(w.lag(n, step), F.lit(0.0)) * F.lit(q[n] ** step) for n in series}
 
     return [seed, *[double(k) for k in range(depth)]], 2**depth
 
@@ -86,21 +84,21 @@ def ewm_std_stages(x: str, out: str, span: int, min_periods: int) -> tuple[list[
     depth = _levels(q)
     parts = {f"_{out}_w": q, f"_{out}_ww": q * q, f"_{out}_x": q, f"_{out}_xx": q}
 
-    def seed(_: WindowSpec) -> dict[str, Column]:
+    def seed(_: Frames) -> dict[str, Column]:
         here = F.col(x).isNotNull().cast("double")
         value = F.coalesce(F.col(x), F.lit(0.0))
         return {f"_{out}_w": here, f"_{out}_ww": here, f"_{out}_x": value, f"_{out}_xx": value * value}
 
     def double(level: int) -> Stage:
         step = 2**level
-        return lambda w: {n: F.col(n) + F.coalesce(F.lag(n, step).over(w), F.lit(0.0)) * F.lit(d**step) for n, d in parts.items()}
+        return lambda w: {n: F.col(n) + F.coalesce(w.lag(n, step), F.lit(0.0)) * F.lit(d**step) for n, d in parts.items()}
 
-    def finish(w: WindowSpec) -> dict[str, Column]:
+    def finish(w: Frames) -> dict[str, Column]:
         sw, sww, sx, sxx = (F.col(f"_{out}_{p}") for p in ("w", "ww", "x", "xx"))
         mean = F.try_divide(sx, sw)
         variance = F.greatest(F.try_divide(sxx, sw) - mean * mean, F.lit(0.0))
         corrected = variance * F.try_divide(sw * sw, sw * sw - sww)
-        seen = F.count(x).over(w.rowsBetween(-(2**depth - 1), 0))
+        seen = w.agg("count", x, 2**depth)
         return {out: F.when((seen >= min_periods) & F.col(x).isNotNull(), F.sqrt(corrected))}
 
     return [seed, *[double(k) for k in range(depth)], finish], 2**depth

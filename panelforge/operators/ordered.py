@@ -71,7 +71,45 @@ def number_rows(df: DataFrame, keys: Sequence[str], order: Sequence[str]) -> Dat
     )
 
 
-Stage = Callable[[WindowSpec], dict[str, Column]]
+_AGGREGATES = {
+    "count": F.count, "sum": F.sum, "avg": F.avg, "std": F.stddev_samp, "max": F.max, "min": F.min, "list": F.collect_list,
+}
+
+
+class Frames:
+    """Row-frame values of a series, each computed once however often a stage asks for it.
+
+    The optimizer evaluates every occurrence of a window expression, so repeated
+    ones are given a name here and projected before the stage's own columns.
+    """
+
+    def __init__(self, spec: WindowSpec, known: dict[str, str]):
+        self.spec, self.known = spec, dict(known)
+        self.fresh: dict[str, Column] = {}
+
+    def _named(self, name: str, source: str, value: Column) -> Column:
+        if name not in self.known:
+            self.known[name] = source
+            self.fresh[name] = value
+        return F.col(name)
+
+    def agg(self, kind: str, x: str, n: int, end: int = 0) -> Column:
+        """Aggregate of the ``n`` rows that end ``end`` rows before this one."""
+        frame = self.spec.rowsBetween(-(n - 1) - end, -end)
+        return self._named(f"_{kind}_{n}_{end}_{x}", x, _AGGREGATES[kind](x).over(frame))
+
+    def lag(self, x: str, n: int = 1) -> Column:
+        return self._named(f"_lag_{n}_{x}", x, F.lag(x, n).over(self.spec))
+
+    def lead(self, x: str, n: int = 1) -> Column:
+        return self._named(f"_lead_{n}_{x}", x, F.lead(x, n).over(self.spec))
+
+    def place(self) -> Column:
+        """Row number, counted from the series or block start."""
+        return self._named("_place", "", F.row_number().over(self.spec))
+
+
+Stage = Callable[[Frames], dict[str, Column]]
 
 
 def over_series(
@@ -84,7 +122,7 @@ def over_series(
 ) -> DataFrame:
     """Evaluate row-frame features per series, stage after stage.
 
-    Each stage maps a window spec to named columns and may read the columns of
+    Each stage maps ``Frames`` to named columns and may read the columns of
     earlier stages, ``_pos`` and ``_size``. ``lookback`` is the number of
     earlier rows a value can depend on over all stages, ``lookahead`` of later
     ones: long series are cut into blocks that carry that many rows of their
@@ -107,9 +145,14 @@ def over_series(
             ))),
         )
         spec = Window.partitionBy(*keys, "_block").orderBy(*order)
+    known: dict[str, str] = {}
     for stage in stages:
-        made = stage(spec)
-        out = out.select(*[c for c in out.columns if c not in made], *[c.alias(n) for n, c in made.items()])
+        frames = Frames(spec, known)
+        made = stage(frames)
+        for batch in (frames.fresh, made):
+            if batch:
+                out = out.select(*[c for c in out.columns if c not in batch], *[c.alias(n) for n, c in batch.items()])
+        known = {n: x for n, x in frames.known.items() if x not in made}
     if not small:
         out = out.filter(F.col("_block") == F.col("_home"))
     return out.drop(*[c for c in out.columns if c.startswith("_")])

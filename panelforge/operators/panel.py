@@ -119,7 +119,7 @@ def drop_sparse(df: DataFrame, threshold: float = 0.95) -> DataFrame:
 
 def daily_returns(panel: DataFrame, price: str = "Close", name: str = "daily_return") -> DataFrame:
     def stage(w):
-        before = F.lag(price).over(w)
+        before = w.lag(price)
         return {name: F.try_divide(F.col(price) - before, before)}
 
     return over_series(panel, [stage], 1)
@@ -188,10 +188,10 @@ def suspicious_splits(
 def split_reversal_days(panel: DataFrame, threshold: float = 0.40, price: str = "Close") -> DataFrame:
     """Ticker-days to exclude: a jump undone the next day, and that next day."""
     def stage(w):
-        p, before, after = F.col(price), F.lag(price).over(w), F.lead(price).over(w)
+        p, before, after = F.col(price), w.lag(price), w.lead(price)
         r, nxt = F.try_divide(p - before, before), F.try_divide(after - p, p)
         return {"hit": (F.abs(r) > threshold) & (r * nxt < -(threshold * threshold)),
-                "next_ts": F.lead("timestamp").over(w)}
+                "next_ts": w.lead("timestamp")}
 
     hits = over_series(panel, [stage], 1, lookahead=1).filter("hit")
     return hits.select(F.explode(F.array("timestamp", "next_ts")).alias("timestamp"), "ticker").filter(
@@ -270,4 +270,4 @@ def sliced(df: DataFrame, start: int | None = None, end: int | None = None) -> D
 
 def previous_row(df: DataFrame, columns: dict[str, str]) -> DataFrame:
     """Attach each ticker's previous value under a new name."""
-    return over_series(df, [lambda w: {new: F.lag(c).over(w) for new, c in columns.items()}], 1)
+    return over_series(df, [lambda w: {new: w.lag(c) for new, c in columns.items()}], 1)

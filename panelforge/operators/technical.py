@@ -7,7 +7,7 @@ import math
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from panelforge.functions.columns import EPS, clip, pct, ratio, rmax, rmean, rmin, rstd
+from panelforge.functions.columns import EPS, clip, pct, powers, pstd, ratio, rmax, rmean, rmin, rstd
 from panelforge.operators.groups import Group, apply_groups, ewm_mean_stages, returns_stage
 
 MIN_ROWS = 50
@@ -15,7 +15,7 @@ ATR_WINDOWS = (14, 63, 126, 252)
 
 
 def _rsi_0(w):
-    step = F.col("Close") - F.lag("Close").over(w)
+    step = F.col("Close") - w.lag("Close")
     return {"_gain": F.when(step > 0, step).otherwise(0.0), "_loss": F.when(step < 0, -step).otherwise(0.0)}
 
 
@@ -39,7 +39,7 @@ ROC = Group("roc", (lambda w: {f"ROC_{n}": pct("Close", n, w) * 100 for n in (10
 
 
 def _true_range(w):
-    before = F.lag("Close").over(w)
+    before = w.lag("Close")
     return {"_tr": F.greatest(F.col("High") - F.col("Low"), F.abs(F.col("High") - before), F.abs(F.col("Low") - before))}
 
 
@@ -64,7 +64,7 @@ def _distance(w):
 
 
 MA_DISTANCE = Group("ma_distance", (_distance,), ("Dist_MA_20", "Dist_MA_50", "Dist_MA_200"), 200, MIN_ROWS)
-VOLATILITY = Group("volatility", (returns_stage, lambda w: {f"Vol_{n}": rstd("_ret", n, w) for n in (20, 252)}),
+VOLATILITY = Group("volatility", (returns_stage, lambda w: powers("_ret", 2), lambda w: {"Vol_20": rstd("_ret", 20, w), "Vol_252": pstd("_ret", 252, w)}),
                    ("Vol_20", "Vol_252"), 253, MIN_ROWS)
 
 
@@ -74,7 +74,7 @@ def _year_range(w):
 
 
 YEAR_RANGE = Group("year_range", (_year_range,), ("Pos_52w_Range", "Dist_52w_High"), 252, MIN_ROWS)
-LAGGED = Group("lagged_returns", (returns_stage, lambda w: {f"Ret_Lag_{n}": F.lag("_ret", n).over(w) for n in (1, 2, 3, 5)}),
+LAGGED = Group("lagged_returns", (returns_stage, lambda w: {f"Ret_Lag_{n}": w.lag("_ret", n) for n in (1, 2, 3, 5)}),
                tuple(f"Ret_Lag_{n}" for n in (1, 2, 3, 5)), 6, MIN_ROWS)
 
 
@@ -91,7 +91,7 @@ def _combined(w):
     return {"RSI_div_Vol": ratio(F.col("RSI_14"), F.col("Vol_20")), "Trend_x_Vol": F.col("Dist_MA_50") * F.col("BB_Width_20")}
 
 
-COMBINED = Group("combined", (lambda w: {}, lambda w: {}, _combined), ("RSI_div_Vol", "Trend_x_Vol"), 60, MIN_ROWS)
+COMBINED = Group("combined", (lambda w: {}, lambda w: {}, lambda w: {}, _combined), ("RSI_div_Vol", "Trend_x_Vol"), 60, MIN_ROWS)
 
 TECHNICAL = (RSI, MACD, ROC, ATR, BOLLINGER, MA_DISTANCE, VOLATILITY, YEAR_RANGE, LAGGED, GARMAN_KLASS, COMBINED)
 
