@@ -123,4 +123,6 @@ query("pnl17_undo_one_hot", lambda i: P.undo_one_hot(P.one_hot_tickers(i.panel.s
 query("panel_ohlcv", lambda i: rounded(i.panel, 4),
       f"WITH {PANEL} {keyed({'Open': 'o', 'High': 'h', 'Low': 'l', 'Close': 'c', 'AdjClose': 'ac', 'Volume': 'v', 'Dividend': 'dv'}, 'panel', 4)}")
 query("macro_series", lambda i: rounded(i.macro, 4),
-      f"WITH {MACRO} " + keyed({"Long term interest rate": "lr", "Short term interest rate": "sr", "GC=F_Close": "gold", "CL=F_Close": "oil", "^FTSE_Close": "ftse", "MACRO_OECD_Consumer": "consumer"}, "macro", 4, 'ts AS "timestamp"'))
+      f"WITH {MACRO} " + keyed({"MACRO_Long-term interest rates": "lr", "MACRO_Short-term interest rates": "sr",
+      "MACRO_Immediate interest rates- call money- interbank rate": "im", "MACRO_GC=F_Close": "gold", "MACRO_CL=F_Close": "oil",
+      "MACRO_^FTSE_Close": "ftse", "MACRO_NZDUSD=X_Close": "fx", "MACRO_OECD_Consumer": "consumer"}, "macro", 4, 'ts AS "timestamp"'))

@@ -77,8 +77,11 @@ class Inputs:
         return self.table("orders").groupBy(
             F.unix_millis(F.date_trunc("day", "o_orderdate").cast("timestamp")).alias("timestamp")
         ).agg(
-            (F.max(price) / 100000).alias("Long term interest rate"), (F.min(price) / 10000).alias("Short term interest rate"),
-            by("1").alias("GC=F_Close"), by("2").alias("CL=F_Close"), by("3").alias("^FTSE_Close"),
+            (F.max(price) / 100000).alias("MACRO_Long-term interest rates"),
+            (F.min(price) / 10000).alias("MACRO_Short-term interest rates"),
+            (F.max(price) / 90000).alias("MACRO_Immediate interest rates- call money- interbank rate"),
+            (by("1") / 1000).alias("MACRO_GC=F_Close"), (by("2") / 10000).alias("MACRO_CL=F_Close"),
+            by("3").alias("MACRO_^FTSE_Close"), by("4").alias("MACRO_NZDUSD=X_Close"),
             F.count(F.lit(1)).cast("double").alias("MACRO_OECD_Consumer"),
         )
 
@@ -101,6 +104,9 @@ class Query:
     sql: str | None
 
 
+# Rounding point: off one half, so that means of short decimals do not sit on it.
+HALF = 0.48713
+
 REGISTRY: dict[str, Query] = {}
 
 
@@ -114,7 +120,7 @@ def rounded(df: DataFrame, digits: int = 6, columns: Sequence[str] | None = None
     """Round doubles so that summation order cannot show, with the arithmetic the SQL twins use."""
     chosen = df if columns is None else df.select(*[F.col(f"`{c}`") for c in columns])
     return chosen.select(*[
-        (F.floor(F.col(f"`{f.name}`") * F.lit(10.0**digits) + F.lit(0.5)) / F.lit(10.0**digits)).alias(f.name) if isinstance(f.dataType, (T.DoubleType, T.FloatType))
+        (F.floor(F.col(f"`{f.name}`") * F.lit(10.0**digits) + F.lit(HALF)) / F.lit(10.0**digits)).alias(f.name) if isinstance(f.dataType, (T.DoubleType, T.FloatType))
         else F.col(f"`{f.name}`") for f in chosen.schema.fields
     ])
 
@@ -131,8 +137,9 @@ panel AS (SELECT ts, ticker, arg_min(p, k) AS o, max(p) AS h, min(p) AS l, arg_m
 
 MACRO = """
 macro AS (SELECT epoch_ms(CAST(date_trunc('day', o_orderdate) AS TIMESTAMP)) AS ts, max(o_totalprice) / 100000 AS lr,
-  min(o_totalprice) / 10000 AS sr, max(o_totalprice) FILTER (o_orderpriority LIKE '1%') AS gold,
-  max(o_totalprice) FILTER (o_orderpriority LIKE '2%') AS oil, max(o_totalprice) FILTER (o_orderpriority LIKE '3%') AS ftse,
+  min(o_totalprice) / 10000 AS sr, max(o_totalprice) / 90000 AS im, max(o_totalprice) FILTER (o_orderpriority LIKE '1%') / 1000 AS gold,
+  max(o_totalprice) FILTER (o_orderpriority LIKE '2%') / 10000 AS oil, max(o_totalprice) FILTER (o_orderpriority LIKE '3%') AS ftse,
+  max(o_totalprice) FILTER (o_orderpriority LIKE '4%') AS fx,
   CAST(count(*) AS DOUBLE) AS consumer FROM orders GROUP BY 1)"""
 
 DAY = 86_400_000
@@ -168,7 +175,7 @@ def change(x: str, n: int, by: str = W) -> str:
 
 
 def r(expr: str, name: str, digits: int = 6) -> str:
-    return f'floor(({expr}) * 1e{digits} + 0.5) / 1e{digits} AS "{name}"'
+    return f'floor(({expr}) * 1e{digits} + {HALF}) / 1e{digits} AS "{name}"'
 
 
 def keyed(columns: dict[str, str], source: str, digits: int = 6, keys: str = 'ts AS "timestamp", ticker') -> str:

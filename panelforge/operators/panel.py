@@ -74,14 +74,17 @@ def macro_table(long: DataFrame, features: Sequence[str]) -> DataFrame:
                             ["timestamp"], features)
 
 
-def macro_asof(panel: DataFrame, macro: DataFrame) -> DataFrame:
-    """Attach the latest market-wide values known at each panel timestamp; never a later one."""
+def macro_on_grid(panel: DataFrame, macro: DataFrame) -> DataFrame:
+    """The latest market-wide values known at each distinct panel timestamp; never a later one."""
     features = [c for c in macro.columns if c != "timestamp"]
     grid = panel.select("timestamp").distinct().withColumn("_anchor", F.lit(True))
     both = macro.unionByName(grid, allowMissingColumns=True)
     merged = both.groupBy("timestamp").agg(*[F.max(c).alias(c) for c in [*features, "_anchor"]])
-    known = fill_last(merged, features, [], ["timestamp"]).filter("_anchor").drop("_anchor")
-    return lookup(panel, known, ["timestamp"])
+    return fill_last(merged, features, [], ["timestamp"]).filter("_anchor").drop("_anchor")
+
+
+def macro_asof(panel: DataFrame, macro: DataFrame) -> DataFrame:
+    return lookup(panel, macro_on_grid(panel, macro), ["timestamp"])
 
 
 def long_to_wide(
