@@ -82,8 +82,9 @@ def quantile_bins(df: DataFrame, value: str, n: int, keys: Sequence[str] = ("tim
     edges = group_quantiles(df, list(keys), value, [i / n for i in range(n + 1)])
     if keys:
         joined = lookup(df, edges, list(keys))
-    else:
-        joined = df.join(F.broadcast(edges), how="cross")  # one row
+    else:  # n + 1 numbers, put into the plan
+        found = edges.first()
+        joined = df.withColumn("edges", F.lit(found["edges"] if found and found["edges"] else []).cast("array<double>"))
     return joined.withColumn(name, bin_of(F.col(value), F.col("edges")).cast("int")).drop("edges")
 
 

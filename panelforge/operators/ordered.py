@@ -191,9 +191,9 @@ def fill_last(
 def running(
     df: DataFrame, totals: dict[str, tuple[str, Column]], keys: Sequence[str], order: Sequence[str]
 ) -> DataFrame:
-    """Running ``sum``, ``max`` or ``min`` of expressions: ``{name: (kind, expression)}``."""
+    """Running ``sum``, ``product``, ``max`` or ``min`` of expressions: ``{name: (kind, expression)}``."""
     keys, order = list(keys), list(order)
-    kinds = {"sum": F.sum, "max": F.max, "min": F.min}
+    kinds = {"sum": F.sum, "product": F.product, "max": F.max, "min": F.min}
 
     def local(scope: list[str]) -> dict[str, Column]:
         spec = Window.partitionBy(*scope).orderBy(*order).rowsBetween(Window.unboundedPreceding, 0)
@@ -213,6 +213,8 @@ def running(
         mine, before = F.col(name), F.col(f"_carry_{name}")
         if kind == "sum":
             return F.coalesce(mine + before, mine, before)
+        if kind == "product":
+            return F.coalesce(mine * before, mine, before)
         return F.greatest(mine, before) if kind == "max" else F.least(mine, before)
 
     return out.withColumns({n: joined(n, k) for n, (k, _) in totals.items()}).select(*df.columns, *totals)
@@ -273,16 +275,18 @@ def group_quantiles(df: DataFrame, keys: Sequence[str], value: str, probs: Seque
     rows = df.filter(F.col(value).isNotNull()).select(*keys, F.col(value).cast("double").alias(value))
     if fits_one_task(rows, keys):
         return rows.groupBy(*keys).agg(F.percentile(value, F.array(*[F.lit(float(p)) for p in probs])).alias("edges"))
-    numbered = number_rows(rows, keys, [value])
+    # Distinct values with their counts, so that a value held by most rows is one row.
+    spread = rows.groupBy(*keys, value).agg(F.count(F.lit(1)).alias("_n"))
+    placed = running(spread, {"_end": ("sum", F.col("_n"))}, keys, [value])
+    sizes = spread.groupBy(*keys).agg(F.sum("_n").alias("_size"))
+    placed = lookup(placed, sizes, keys) if keys else placed.withColumn("_size", F.lit(sizes.first()[0]))
     places = [(F.col("_size") - 1) * F.lit(float(p)) for p in probs]
-    wanted = F.array(*[F.floor(h) for h in places], *[F.ceil(h) for h in places])
-    picked = numbered.filter(F.array_contains(wanted, F.col("_pos")))
+
+    def at(place: Column) -> Column:
+        return F.max(F.when((place >= F.col("_end") - F.col("_n")) & (place < F.col("_end")), F.col(value)))
+
     aggs = []
     for i, h in enumerate(places):
-        aggs += [
-            F.max(F.when(F.col("_pos") == F.floor(h), F.col(value))).alias(f"_lo{i}"),
-            F.max(F.when(F.col("_pos") == F.ceil(h), F.col(value))).alias(f"_hi{i}"),
-            F.max(h - F.floor(h)).alias(f"_t{i}"),
-        ]
+        aggs += [at(F.floor(h)).alias(f"_lo{i}"), at(F.ceil(h)).alias(f"_hi{i}"), F.max(h - F.floor(h)).alias(f"_t{i}")]
     edges = [F.col(f"_lo{i}") + (F.col(f"_hi{i}") - F.col(f"_lo{i}")) * F.col(f"_t{i}") for i in range(len(probs))]
-    return picked.groupBy(*keys).agg(*aggs).select(*keys, F.array(*edges).alias("edges"))
+    return placed.groupBy(*keys).agg(*aggs).select(*keys, F.array(*edges).alias("edges"))
