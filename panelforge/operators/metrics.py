@@ -10,6 +10,7 @@ from pyspark.sql import functions as F
 
 from panelforge.operators.labels import quantile_bins
 from panelforge.operators.ordered import average_ranks, lookup, number_rows, over_series
+from panelforge.session import stored
 
 SCORE, ACTUAL = "predicted_score", "actual_return"
 
@@ -195,7 +196,8 @@ def tall(row: DataFrame, prefix: str = "") -> DataFrame:
 
 def ranking_metrics(df: DataFrame, min_stocks: int = 5, n_hits: int = 10, horizon_days: int = 30) -> DataFrame:
     """The whole record as (metric, value) rows."""
-    bins = quantile_returns(df)
+    df = stored(_pairs(df))
+    bins = stored(quantile_returns(df))
     parts = [
         tall(icir(ic_by_date(df, min_stocks), "ic", horizon_days)),
         tall(icir(rank_ic_by_date(df, min_stocks), "rank_ic", horizon_days), "rank_"),

@@ -11,6 +11,7 @@ from pyspark.sql import functions as F
 from panelforge.functions.columns import DAY_MS, rmean, rstd
 from panelforge.operators.metrics import stability, t_test, tall
 from panelforge.operators.ordered import group_quantiles, over_series, running
+from panelforge.session import stored
 
 INF = float("inf")
 
@@ -203,6 +204,7 @@ def fit_line(df: DataFrame, x: str = "predicted_score", y: str = "actual_return"
 def comprehensive(series: DataFrame, ic: DataFrame, horizon_days: int = 30) -> DataFrame:
     """(metric, value) rows of return, streak, stability and significance measures."""
     periods = max(1, 252 // horizon_days)
+    series, ic = stored(series), stored(ic)
     parts = [
         tall(sortino(series, periods=periods)), tall(calmar(series, periods)), tall(tail_ratio(series)), tall(omega(series)),
         tall(win_loss(series)), tall(streaks(series)), tall(stability(ic).drop("n")),

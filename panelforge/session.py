@@ -4,7 +4,7 @@ from __future__ import annotations
 
 import tempfile
 
-from pyspark.sql import SparkSession
+from pyspark.sql import DataFrame, SparkSession
 
 # Largest ordered group (one ticker's history, one timestamp's cross-section)
 # that a single task may hold. Beyond it operators use the block layouts in
@@ -53,3 +53,9 @@ def ensure_checkpoint_dir(spark: SparkSession) -> None:
             raise ValueError("set spark.checkpoint.dir to a folder all executors share")
         folder = tempfile.mkdtemp(prefix="panelforge-")
     context.setCheckpointDir(folder)
+
+
+def stored(df: DataFrame) -> DataFrame:
+    """Write an intermediate that several later steps read to the checkpoint folder, once."""
+    ensure_checkpoint_dir(df.sparkSession)
+    return df.checkpoint()
