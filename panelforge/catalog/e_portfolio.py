@@ -11,6 +11,7 @@ from panelforge.catalog.d_labels_metrics import IC, P, REBAL, S, TS, series, tal
 from panelforge.operators import portfolio as B
 from panelforge.operators import robustness as X
 from panelforge.operators.metrics import tall, top_n
+from panelforge.session import stored
 
 CFG = B.PortfolioConfig(5, 5, 10.0, 5.0)
 RP = P.replace("WITH", "WITH RECURSIVE", 1)
@@ -72,7 +73,7 @@ def coarse(i: Inputs):
 
 
 def _daily(i: Inputs):
-    held = B.positions(B.on_dates(i.predictions, 30), [CFG]).select("timestamp", "ticker", "weight")
+    held = stored(B.positions(B.on_dates(i.predictions, 30), [CFG]).select("timestamp", "ticker", "weight"))
     return rounded(B.daily_returns(held, coarse(i), CFG.total_cost_bps))
 
 
