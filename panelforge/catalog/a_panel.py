@@ -4,8 +4,9 @@ from __future__ import annotations
 
 from pyspark.sql import functions as F
 
-from panelforge.catalog.base import DAY, MACRO, PANEL, Inputs, keyed, lag, query, r, rounded
+from panelforge.catalog.base import DAY, MACRO, PANEL, PREDICTIONS, Inputs, keyed, lag, query, r, rounded
 from panelforge.operators import panel as P
+from panelforge.session import shared_folder
 from panelforge.sources import longtable as S
 
 # The mixed long table used by the reshape queries.
@@ -45,6 +46,32 @@ query("src04_union_observations",
 query("snk01_long_text", lambda i: rounded(S.text_rows(i.long.withColumn("feature", F.concat("feature", F.lit(",a\nb")))), 3),
       f"WITH {LONG} SELECT ts AS \"timestamp\", coalesce(ticker, 'null') AS ticker, feature || '-a-b' AS feature, {r('value', 'value', 3)} FROM long")
 
+
+
+def _stored_panel(i: Inputs):
+    """Write the panel partitioned by year, read back the part since 2000."""
+    path = shared_folder(i.spark, "panel")
+    S.write_table(i.panel.withColumn("year", F.year(F.timestamp_millis("timestamp"))), path, ["year"])
+    return rounded(S.since_2000(i.spark.read.parquet(path).filter("year >= 2000")), 4, ["timestamp", "ticker", "Close"])
+
+
+def _stored_csv(i: Inputs):
+    path = shared_folder(i.spark, "long")
+    S.write_csv(i.events_long, path)
+    return rounded(S.read_csv(i.spark, path))
+
+
+def _stored_results(i: Inputs):
+    path = shared_folder(i.spark, "results")
+    S.write_results(i.predictions, path, "json")
+    return rounded(i.spark.read.schema(i.predictions.schema).json(path))
+
+
+query("snk01_csv_round_trip", _stored_csv,
+      f"SELECT {MS} AS \"timestamp\", CAST(user_id AS VARCHAR) AS ticker, event_type AS feature, {r('value', 'value')} FROM events")
+query("snk02_stored_panel", _stored_panel, f"WITH {PANEL} {keyed({'Close': 'c'}, 'panel WHERE ts >= 946684800000', 4)}")
+query("snk03_stored_results", _stored_results,
+      f"WITH {PREDICTIONS} {keyed({'predicted_score': 's', 'actual_return': 'r'}, 'pred')}")
 query("pnl01_classify_tickers", lambda i: rounded(P.classify_tickers(i.long), 4).select("timestamp", "ticker", "feature", "value"),
       f"WITH {LONG} SELECT ts AS \"timestamp\", ticker, feature, {r('value', 'value', 4)} FROM cls")
 query("pnl02_macro_prefix", lambda i: rounded(P.add_macro_prefix(P.classify_tickers(i.long)), 4).select("timestamp", "ticker", "feature", "value"),

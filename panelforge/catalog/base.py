@@ -11,9 +11,9 @@ from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
 from panelforge.operators import labels
-from panelforge.operators.ordered import over_series
 from panelforge.functions.columns import pct
-from panelforge.session import configure
+from panelforge.operators.ordered import Sizes, group_sizes, over_series
+from panelforge.session import configure, stored
 
 
 class Inputs:
@@ -25,6 +25,27 @@ class Inputs:
     def table(self, name: str) -> DataFrame:
         return self.spark.read.parquet(f"{self.folder}/{name}.parquet")
 
+    @cached_property
+    def sizes(self) -> dict[tuple[str, ...], Sizes]:
+        """Rows per ticker, per timestamp and in all of the source tables: bounds for everything derived from them."""
+        line, orders, events = (self.table(n) for n in ("lineitem", "orders", "events"))
+        day = lambda c: F.date_trunc("day", c).alias("d")
+        by_ticker = [group_sizes(line.select("l_suppkey"), ["l_suppkey"]), group_sizes(events.select("user_id"), ["user_id"])]
+        by_time = [group_sizes(line.select(day("l_shipdate")), ["d"]), group_sizes(orders.select(day("o_orderdate")), ["d"]),
+                   group_sizes(events.select(day("ts")), ["d"])]
+        total = sum(s.total for s in by_time)
+        return {
+            ("ticker",): Sizes(max(s.largest for s in by_ticker), total, sum(s.groups for s in by_ticker)),
+            # Event times are kept to the millisecond, so only their row count bounds the distinct ones.
+            ("timestamp",): Sizes(max(s.largest for s in by_time), total, by_time[0].groups + by_time[1].groups + by_time[2].total),
+            (): Sizes(total, total, 1),
+        }
+
+    @cached_property
+    def stored_predictions(self) -> DataFrame:
+        """The prediction table as a written intermediate, for records that read it several times."""
+        return stored(self.predictions)
+
     @cached_property
     def panel(self) -> DataFrame:
         """Supplier-day price panel; unit prices in (order, line, part, price) order."""

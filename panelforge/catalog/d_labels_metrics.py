@@ -54,7 +54,7 @@ def edges_sql(value: str, n: int, keys: str, source: str) -> str:
 
 
 BIN = "CASE WHEN len(e) >= 2 THEN greatest(len(list_filter(e, lambda x: x < {v})), 1) - 1 END"
-query("lbl04_relevance_grades", lambda i: L.relevance_grades(i.predictions, "actual_return").select("timestamp", "ticker", "relevance"),
+query("lbl04_relevance_grades", lambda i: L.relevance_grades(i.stored_predictions, "actual_return").select("timestamp", "ticker", "relevance"),
       f"""{P}, eg AS {edges_sql('r', 5, 'ts', 'pred')}, gb AS (SELECT p.*, {BIN.format(v='r')} AS b, row_number() OVER (PARTITION BY p.ts ORDER BY ticker) - 1 AS pos,
       count(*) OVER (PARTITION BY p.ts) AS size FROM pred p JOIN eg USING (ts))
       SELECT {TS}, ticker, CAST(coalesce(b, CASE WHEN size > 1 THEN least(greatest(ceil(pos * 5.0 / (size - 1)) - 1, 0), 4) ELSE 2 END) AS INT) AS relevance FROM gb""")
@@ -108,8 +108,8 @@ rics AS (SELECT ts, CASE WHEN count(*) >= 3 AND stddev_samp(a) > 0 AND stddev_sa
 query("mean_ic", lambda i: rounded(M.icir(M.ic_by_date(i.predictions, 5), "ic", 30), 9),
       f"{P}, {IC} SELECT {r('avg(ic)', 'mean_ic', 9)}, {r('stddev_samp(ic)', 'std_ic', 9)}, {r('avg(ic) / stddev_samp(ic)', 'raw_icir', 9)}, {r(f'avg(ic) / stddev_samp(ic) * {math.sqrt(252 / 30)!r}', 'icir', 9)} FROM ics")
 query("met01_ic", lambda i: rounded(M.ic_by_date(i.predictions)), f"{P}, {IC} SELECT {TS}, {r('ic', 'ic')}, n FROM ics")
-query("met02_rank_ic", lambda i: rounded(M.rank_ic_by_date(i.predictions)), f"{P}, {RIC} SELECT {TS}, {r('ic', 'rank_ic')}, n FROM rics")
-query("met03_icir", lambda i: rounded(M.icir(M.rank_ic_by_date(i.predictions), "rank_ic", 30)),
+query("met02_rank_ic", lambda i: rounded(M.rank_ic_by_date(i.stored_predictions)), f"{P}, {RIC} SELECT {TS}, {r('ic', 'rank_ic')}, n FROM rics")
+query("met03_icir", lambda i: rounded(M.icir(M.rank_ic_by_date(i.stored_predictions), "rank_ic", 30)),
       f"{P}, {RIC} SELECT {r('avg(ic)', 'mean_ic')}, {r('stddev_samp(ic)', 'std_ic')}, {r('avg(ic) / stddev_samp(ic)', 'raw_icir')}, {r(f'avg(ic) / stddev_samp(ic) * {math.sqrt(252 / 30)!r}', 'icir')} FROM rics")
 
 # --- quantiles ------------------------------------------------------------
@@ -124,12 +124,12 @@ def pooled(n: int) -> str:
 query("qnt01_bins", lambda i: L.quantile_bins(i.predictions, "predicted_score", 5).select("timestamp", "ticker", "bin"),
       f"{P}, {BYDATE} SELECT {TS}, ticker, CAST(b AS INT) AS bin FROM qb")
 for _n, _name in ((5, "qnt02_quintiles_pooled"), (10, "qnt02_deciles_pooled")):
-    query(_name, lambda i, n=_n: rounded(M.quantile_returns(i.predictions, n)), f"{P}, {pooled(_n)} SELECT bin, {r('m', 'mean_return')}, n FROM qr")
+    query(_name, lambda i, n=_n: rounded(M.quantile_returns(i.stored_predictions, n)), f"{P}, {pooled(_n)} SELECT bin, {r('m', 'mean_return')}, n FROM qr")
 query("qnt03_quintiles_by_date", lambda i: rounded(M.quantile_returns_by_date(i.predictions, 5, 10)),
       f"{P}, {BYDATE} SELECT {TS}, {', '.join(r(f'q{k}', f'Q{k}') for k in range(1, 6))} FROM qd WHERE n >= 10")
-query("qnt04_spread", lambda i: rounded(M.spread(M.quantile_returns(i.predictions, 10), 10)),
+query("qnt04_spread", lambda i: rounded(M.spread(M.quantile_returns(i.stored_predictions, 10), 10)),
       f"{P}, {pooled(10)} SELECT {r('max(m) FILTER (bin = 10) - max(m) FILTER (bin = 1)', 'spread')} FROM qr")
-query("qnt05_monotonicity", lambda i: rounded(M.monotonicity(M.quantile_returns(i.predictions, 10))),
+query("qnt05_monotonicity", lambda i: rounded(M.monotonicity(M.quantile_returns(i.stored_predictions, 10))),
       f"""{P}, {pooled(10)}, up AS (SELECT m, lead(m) OVER (ORDER BY bin) AS nx FROM qr) SELECT count(*) FILTER (nx <= m) = 0 AS is_monotonic,
       count(*) FILTER (nx <= m) AS violations, {r('1.0 - count(*) FILTER (nx <= m) / (count(*) - 1.0)', 'monotonicity_score')} FROM up""")
 query("qnt06_quintiles_by_year", lambda i: rounded(M.quintiles_by_year(i.predictions)),
@@ -138,7 +138,7 @@ query("qnt06_quintiles_by_year", lambda i: rounded(M.quintiles_by_year(i.predict
       yq AS (SELECT year, {', '.join(f'avg(r) FILTER (q = {k}) AS q{k}' for k in range(1, 6))} FROM yy GROUP BY year)
       SELECT year, {', '.join(r(f'q{k}', f'Q{k}') for k in range(1, 6))}, {r('q5 - q4', 'Q5_minus_Q4')}, q1 <= q2 AND q2 <= q3 AND q3 <= q4 AND q4 <= q5 AS is_monotonic FROM yq""")
 HITS = "hp AS (SELECT *, row_number() OVER (PARTITION BY ts ORDER BY s DESC, ticker) AS p FROM pred), hr AS (SELECT ts, avg(CASE WHEN r > 0 THEN 1.0 ELSE 0.0 END) AS h FROM hp WHERE p <= 10 GROUP BY ts HAVING count(*) = 10)"
-query("met04_hit_rate", lambda i: rounded(M.hit_rate(i.predictions, 10)), f"{P}, {HITS} SELECT {r('avg(h)', 'hit_rate')} FROM hr")
+query("met04_hit_rate", lambda i: rounded(M.hit_rate(i.stored_predictions, 10)), f"{P}, {HITS} SELECT {r('avg(h)', 'hit_rate')} FROM hr")
 query("met05_coverage", lambda i: rounded(M.coverage(i.predictions, 5)),
       f"{P}, n AS (SELECT count(*) AS n FROM pred GROUP BY ts HAVING count(*) >= 5) SELECT count(*) AS num_timestamps, {r('avg(n)', 'avg_stocks')} FROM n")
 
@@ -257,7 +257,7 @@ def hist_sql(source: str, x: str, n: int) -> str:
 
 
 query("ret07_histogram_returns", lambda i: rounded(R.histogram(series(i), "ret", 30)), f"{S}, {hist_sql('ser', 'ret', 30)}")
-query("ret07_histogram_scores", lambda i: rounded(R.histogram(i.predictions, "predicted_score", 50)), f"{P}, {hist_sql('pred', 's', 50)}")
+query("ret07_histogram_scores", lambda i: rounded(R.histogram(i.stored_predictions, "predicted_score", 50)), f"{P}, {hist_sql('pred', 's', 50)}")
 query("ret07_drawdown_series", lambda i: rounded(R.drawdowns(series(i))), f"{S}, {DD} SELECT {TS}, {r('ret', 'ret')}, {r('w - 1', 'cumulative')}, {r('dd', 'drawdown')} FROM ddn")
 query("ret08_fit_line", lambda i: rounded(R.fit_line(i.predictions)),
       f"{P} SELECT {r('regr_slope(r, s)', 'slope')}, {r('regr_intercept(r, s)', 'intercept')}, {r('corr(s, r)', 'r')}, count(*) AS n FROM pred")

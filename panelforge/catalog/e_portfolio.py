@@ -40,16 +40,16 @@ query("prt01_top_n", lambda i: top_n(i.predictions, 5).select("timestamp", "tick
       f"{P} SELECT {TS}, ticker FROM (SELECT *, row_number() OVER (PARTITION BY ts ORDER BY s DESC, ticker) AS p FROM pred) WHERE p <= 5")
 query("prt01_bottom_n", lambda i: top_n(i.predictions, 5, ascending=True).select("timestamp", "ticker"),
       f"{P} SELECT {TS}, ticker FROM (SELECT *, row_number() OVER (PARTITION BY ts ORDER BY s, ticker) AS p FROM pred) WHERE p <= 5")
-query("prt02_holdings", lambda i: rounded(B.positions(i.predictions, [CFG]).select("timestamp", "ticker", "weight")),
+query("prt02_holdings", lambda i: rounded(B.positions(i.stored_predictions, [CFG]).select("timestamp", "ticker", "weight")),
       f"{P}, {hold(5, 5)} SELECT {TS}, ticker, {r('w', 'weight')} FROM pos")
-query("prt03_period_return", lambda i: rounded(B.period_returns(B.positions(i.predictions, [CFG])).select("timestamp", "gross")),
+query("prt03_period_return", lambda i: rounded(B.period_returns(B.positions(i.stored_predictions, [CFG])).select("timestamp", "gross")),
       f"{P}, {hold(5, 5)} SELECT {TS}, {r('gross', 'gross')} FROM per")
 query("prt03_weighted_return", lambda i: rounded(B.weighted_period_returns(
-          B.positions(i.predictions, [CFG]).withColumn("size", F.abs("weight") * F.lit(2.0)), "size").select("timestamp", "gross")),
+          B.positions(i.stored_predictions, [CFG]).withColumn("size", F.abs("weight") * F.lit(2.0)), "size").select("timestamp", "gross")),
       f"{P}, {hold(5, 5)} SELECT {TS}, {r('2 * sum(w * r)', 'gross')} FROM pos GROUP BY ts")
-query("prt04_turnover", lambda i: rounded(B.turnover(B.positions(i.predictions, [CFG])).select("timestamp", "turnover")),
+query("prt04_turnover", lambda i: rounded(B.turnover(stored(B.positions(i.stored_predictions, [CFG]))).select("timestamp", "turnover")),
       f"{P}, {hold(5, 5)}, {nets(15.0)} SELECT {TS}, {r('turnover', 'turnover')} FROM trn")
-query("prt05_net_returns", lambda i: rounded(B.net_returns(B.positions(i.predictions, [CFG])).select("timestamp", "gross", "turnover", "net")),
+query("prt05_net_returns", lambda i: rounded(B.net_returns(stored(B.positions(i.stored_predictions, [CFG]))).select("timestamp", "gross", "turnover", "net")),
       f"{P}, {hold(5, 5)}, {nets(15.0)} SELECT {TS}, {r('gross', 'gross')}, {r('turnover', 'turnover')}, {r('net', 'net')} FROM net")
 DATED = REBAL.format(h=30 * DAY) + ", sub AS (SELECT p.* FROM pred p JOIN rebal USING (ts))"
 COARSE = f"coarse AS (SELECT ts // {20 * DAY} * {20 * DAY} AS ts, ticker, 100 + arg_max(c, ts) / 1000 AS c FROM panel GROUP BY 1, 2)"
@@ -73,7 +73,7 @@ def coarse(i: Inputs):
 
 
 def _daily(i: Inputs):
-    held = stored(B.positions(B.on_dates(i.predictions, 30), [CFG]).select("timestamp", "ticker", "weight"))
+    held = stored(B.positions(B.on_dates(i.stored_predictions, 30), [CFG]).select("timestamp", "ticker", "weight"))
     return rounded(B.daily_returns(held, coarse(i), CFG.total_cost_bps))
 
 
@@ -85,7 +85,7 @@ DAMP = 0.02
 
 
 def damped(i: Inputs):
-    return i.predictions.withColumn("actual_return", F.greatest(F.least("actual_return", F.lit(1.0)), F.lit(-1.0)) * DAMP)
+    return i.stored_predictions.withColumn("actual_return", F.greatest(F.least("actual_return", F.lit(1.0)), F.lit(-1.0)) * DAMP)
 
 
 DP = f"{RP}, dpred AS (SELECT ts, ticker, s, least(greatest(r, -1.0), 1.0) * {DAMP} AS r FROM pred), {REBAL.format(h=30 * DAY)}, sub AS (SELECT p.* FROM dpred p JOIN rebal USING (ts))"

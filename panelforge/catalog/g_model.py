@@ -41,9 +41,9 @@ CONFIG = E.EvaluationConfig(ranker=SMALL, n_windows=2)
 query("mdl05_rolling_predictions", lambda i: E.rolling_predictions(stored(labelled_features(i)), COLUMNS, CONFIG)[0])
 query("mdl04_average_importance", lambda i: M.average_importance(E.rolling_predictions(stored(labelled_features(i)), COLUMNS, CONFIG)[1]))
 query("mdl06_train_and_rank_latest", lambda i: E.train_and_rank(labelled_features(i), COLUMNS, CONFIG).select("timestamp", "ticker", "predicted_score", "rank"))
-query("mdl06_rank_latest", lambda i: rounded(M.rank_latest(i.predictions).select("timestamp", "ticker", "predicted_score", "rank")),
+query("mdl06_rank_latest", lambda i: rounded(M.rank_latest(i.stored_predictions).select("timestamp", "ticker", "predicted_score", "rank")),
       f"{P}, l AS (SELECT * FROM pred WHERE ts = (SELECT max(ts) FROM pred)) SELECT {TS}, ticker, {r('s', 'predicted_score')}, row_number() OVER (ORDER BY s DESC, ticker) AS rank FROM l")
-query("mdl06_picks", lambda i: M.picks(M.rank_latest(i.predictions), 3).select("ticker", "rank", "pick"),
+query("mdl06_picks", lambda i: M.picks(M.rank_latest(i.stored_predictions), 3).select("ticker", "rank", "pick"),
       f"""{P}, l AS (SELECT * FROM pred WHERE ts = (SELECT max(ts) FROM pred)), k AS (SELECT ticker, row_number() OVER (ORDER BY s DESC, ticker) AS rank, count(*) OVER () AS n FROM l)
       SELECT ticker, rank, CASE WHEN rank <= 3 THEN 'top' ELSE 'bottom' END AS pick FROM k WHERE rank <= 3 OR rank > n - 3""")
 query("mdl07_latest_rows", lambda i: rounded(M.latest_rows(i.panel.select("timestamp", "ticker", "Close"), 7), 4),

@@ -7,6 +7,7 @@ import pkgutil
 
 import panelforge.catalog as catalog
 from panelforge.catalog.base import REGISTRY, Inputs
+from panelforge.operators.ordered import bounded_by
 
 
 def load() -> dict:
@@ -18,7 +19,11 @@ def load() -> dict:
 
 def queries() -> dict:
     def bind(q):
-        return lambda spark, folder: q.run(Inputs(spark, folder))
+        def run(spark, folder):
+            inputs = Inputs(spark, folder)
+            with bounded_by(inputs.sizes):
+                return q.run(inputs)
+        return run
 
     return {name: bind(q) for name, q in load().items()}
 

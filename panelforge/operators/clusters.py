@@ -181,7 +181,7 @@ def pair_correlations(returns: DataFrame, pairs: DataFrame, min_common: int = 50
         F.struct(F.col("a").alias("ticker"), "a", "b", F.lit(True).alias("first")),
         F.struct(F.col("b").alias("ticker"), "a", "b", F.lit(False).alias("first")),
     )).alias("s")).select("s.*")
-    rows = lookup(returns, sides, ["ticker"], "inner").groupBy("a", "b", "timestamp").agg(
+    rows = lookup(returns, sides, ["ticker"], "inner", one_per_key=False).groupBy("a", "b", "timestamp").agg(
         F.max(F.when(F.col("first"), F.col("x"))).alias("x"), F.max(F.when(~F.col("first"), F.col("x"))).alias("y"),
     ).filter("x is not null and y is not null")
     found = rows.groupBy("a", "b").agg(F.count(F.lit(1)).alias("n"), F.when((F.stddev_pop("x") > 0) & (F.stddev_pop("y") > 0), F.corr("x", "y")).alias("c"))

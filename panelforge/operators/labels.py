@@ -5,15 +5,15 @@ from __future__ import annotations
 from collections.abc import Sequence
 from dataclasses import dataclass
 
-from pyspark.sql import Column, DataFrame
+from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
 from panelforge.functions.columns import DAY_MS, clip
 from panelforge.operators.ordered import (
-    average_ranks, fill_last, fits_one_task, group_quantiles, group_sizes, lookup, number_rows,
+    average_ranks, fill_last, fits_one_task, group_quantiles, lookup, number_rows,
 )
-from panelforge.session import ensure_checkpoint_dir, max_group_rows
+from panelforge.session import ensure_checkpoint_dir
 
 YEAR_DAYS = 365.25
 
@@ -79,13 +79,17 @@ def bin_of(x: Column, edges: Column) -> Column:
 
 def quantile_bins(df: DataFrame, value: str, n: int, keys: Sequence[str] = ("timestamp",), name: str = "bin") -> DataFrame:
     """Quantile bin 0..n-1 of each value in its group; edges interpolated, repeated edges merged."""
-    edges = group_quantiles(df, list(keys), value, [i / n for i in range(n + 1)])
-    if keys:
-        joined = lookup(df, edges, list(keys))
+    probs = [i / n for i in range(n + 1)]
+    rows = df.withColumn("_x", F.col(value).cast("double"))
+    if keys and fits_one_task(df, list(keys)):
+        found = F.percentile("_x", F.array(*[F.lit(p) for p in probs])).over(Window.partitionBy(*keys))
+        joined = rows.withColumn("edges", found)
+    elif keys:
+        joined = lookup(rows, group_quantiles(df, list(keys), value, probs), list(keys))
     else:  # n + 1 numbers, put into the plan
-        found = edges.first()
-        joined = df.withColumn("edges", F.lit(found["edges"] if found and found["edges"] else []).cast("array<double>"))
-    return joined.withColumn(name, bin_of(F.col(value), F.col("edges")).cast("int")).drop("edges")
+        row = group_quantiles(df, [], value, probs).first()
+        joined = rows.withColumn("edges", F.lit(row["edges"] if row and row["edges"] else []).cast("array<double>"))
+    return joined.withColumn(name, bin_of(F.col("_x"), F.col("edges")).cast("int")).drop("edges", "_x")
 
 
 def relevance_grades(df: DataFrame, target: str, n: int = 5, name: str = "relevance") -> DataFrame:
@@ -176,28 +180,31 @@ class Scaler:
 
 def robust_stats(df: DataFrame, columns: Sequence[str]) -> DataFrame:
     """(feature, q25, median, q75, is_binary) over all rows: exact quantiles, no sample."""
+    columns = list(columns)
+    spark = df.sparkSession
     whole = df.select(*[F.col(c).cast("double").alias(c) for c in columns])
-    # At most two distinct values <=> nothing strictly between the smallest and the largest.
-    ends = whole.agg(*[F.struct(F.min(c).alias("lo"), F.max(c).alias("hi")).alias(c) for c in columns])
-    pairs = F.array(*[F.struct(F.lit(c).alias("feature"), F.col(c).alias("ends")) for c in columns])
-    bounds = {r["feature"]: r["ends"] for r in ends.select(F.inline(pairs)).collect()}
-    tall = whole.select(F.explode(F.array(*[
-        F.struct(F.lit(c).alias("feature"), F.col(c).alias("value")) for c in columns
-    ])).alias("x")).select("x.*").filter("value is not null")
-    if group_sizes(whole, [])[0] <= max_group_rows(df.sparkSession):
-        quarts = whole.agg(*[F.percentile(c, F.array(F.lit(0.25), F.lit(0.5), F.lit(0.75))).alias(c) for c in columns])
-        edges = quarts.select(F.inline(F.array(*[
-            F.struct(F.lit(c).alias("feature"), F.col(c).alias("edges")) for c in columns
-        ])))
+    ends = [F.struct(F.min(c).alias("lo"), F.max(c).alias("hi")).alias(f"e{i}") for i, c in enumerate(columns)]
+    quarters = F.array(F.lit(0.25), F.lit(0.5), F.lit(0.75))
+    if fits_one_task(df, []):
+        row = whole.agg(*ends, *[F.percentile(c, quarters).alias(f"q{i}") for i, c in enumerate(columns)]).first()
+        edges = {c: row[f"q{i}"] for i, c in enumerate(columns)}
     else:
-        edges = group_quantiles(tall, ["feature"], "value", [0.25, 0.5, 0.75])
-    inner = whole.agg(*[
-        F.count_if((F.col(c) > F.lit(bounds[c]["lo"])) & (F.col(c) < F.lit(bounds[c]["hi"]))).alias(c) for c in columns
-    ]).select(F.inline(F.array(*[F.struct(F.lit(c).alias("feature"), F.col(c).alias("inner")) for c in columns])))
-    return edges.join(F.broadcast(inner), "feature").select(  # one row per column
-        "feature", F.col("edges")[0].alias("q25"), F.col("edges")[1].alias("median"), F.col("edges")[2].alias("q75"),
-        (F.col("inner") == 0).alias("is_binary"),
-    )
+        row = whole.agg(*ends).first()
+        tall = whole.select(F.inline(F.array(*[F.struct(F.lit(c).alias("feature"), F.col(c).alias("value")) for c in columns])))
+        edges = {r["feature"]: r["edges"] for r in group_quantiles(tall, ["feature"], "value", [0.25, 0.5, 0.75]).collect()}
+    bounds = {c: row[f"e{i}"] for i, c in enumerate(columns)}
+    # Binary <=> nothing strictly between the smallest and largest value. A quartile in between
+    # settles most columns; the rest are counted in one more pass.
+    inside = lambda c, x: x is not None and bounds[c]["lo"] < x < bounds[c]["hi"]
+    open_columns = [c for c in columns if not any(inside(c, x) for x in (edges.get(c) or []))]
+    between: dict[str, int] = {}
+    if open_columns:
+        counts = whole.agg(*[
+            F.count_if((F.col(c) > F.lit(bounds[c]["lo"])) & (F.col(c) < F.lit(bounds[c]["hi"]))).alias(f"n{i}") for i, c in enumerate(open_columns)
+        ]).first()
+        between = {c: counts[f"n{i}"] for i, c in enumerate(open_columns)}
+    rows = [(c, *(edges.get(c) or (None, None, None)), c in between and not between[c]) for c in columns]
+    return spark.createDataFrame(rows, "feature string, q25 double, median double, q75 double, is_binary boolean")
 
 
 def fit_scaler(df: DataFrame, columns: Sequence[str] | None = None, target: str = "target") -> Scaler:
@@ -205,7 +212,7 @@ def fit_scaler(df: DataFrame, columns: Sequence[str] | None = None, target: str
         columns = [f.name for f in df.schema.fields if isinstance(f.dataType, T.NumericType)
                    and f.name not in ("timestamp", "ticker", target)]
     rows = robust_stats(df, columns).collect()
-    scaled = [r for r in rows if not r["is_binary"]]
+    scaled = [r for r in rows if not r["is_binary"] and r["median"] is not None]
     return Scaler(
         {r["feature"]: r["median"] for r in scaled},
         {r["feature"]: (r["q75"] - r["q25"]) or 1.0 for r in scaled},

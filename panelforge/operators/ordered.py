@@ -14,34 +14,80 @@ from __future__ import annotations
 
 import math
 from collections.abc import Callable, Sequence
+from contextlib import contextmanager
+from dataclasses import dataclass
 
 from pyspark.sql import Column, DataFrame, Window, WindowSpec
 from pyspark.sql import functions as F
 
 from panelforge.session import ensure_checkpoint_dir, max_broadcast_rows, max_group_rows
 
-_measured: dict[tuple, tuple[int, int]] = {}
+@dataclass(frozen=True)
+class Sizes:
+    """Measured rows of a grouping: of its largest group, in all, and the number of groups."""
 
+    largest: int
+    total: int
+    groups: int
 
-def group_sizes(df: DataFrame, keys: Sequence[str]) -> tuple[int, int]:
-    """(rows in the largest group, rows in all). Steers the layout only, so it is remembered per plan."""
+
+_measured: dict[tuple, Sizes] = {}
+_bounds: list[tuple[dict[tuple[str, ...], Sizes], float]] = []
+
+
+def group_sizes(df: DataFrame, keys: Sequence[str]) -> Sizes:
+    """Count a grouping. It steers the layout only, never the result, so it is remembered per plan."""
     token = (df.sparkSession.sparkContext.applicationId, df.semanticHash(), tuple(keys))
     if token not in _measured:
         counts = df.groupBy(*keys).agg(F.count(F.lit(1)).alias("n"))
-        row = counts.agg(F.max("n"), F.sum("n")).first()
-        _measured[token] = (row[0] or 0, row[1] or 0)
+        row = counts.agg(F.max("n"), F.sum("n"), F.count("n")).first()
+        _measured[token] = Sizes(row[0] or 0, row[1] or 0, row[2] or 0)
     return _measured[token]
 
 
+def forget_sizes() -> None:
+    _measured.clear()
+
+
+@contextmanager
+def bounded_by(sizes: dict[tuple[str, ...], Sizes], growth: float = 4.0):
+    """Name measured sizes of the stored table that frames built inside descend from.
+
+    A frame may hold up to ``growth`` times the rows of a group of that table.
+    Groups that fit by this bound are not counted again, which would run
+    everything upstream of them once more; all others still are.
+    """
+    _bounds.append((sizes, growth))
+    try:
+        yield
+    finally:
+        _bounds.pop()
+
+
 def fits_one_task(df: DataFrame, keys: Sequence[str]) -> bool:
-    return group_sizes(df, keys)[0] <= max_group_rows(df.sparkSession)
+    limit = max_group_rows(df.sparkSession)
+    for sizes, growth in reversed(_bounds):
+        # Grouping by more columns never makes a group larger.
+        if any(set(named) <= set(keys) and known.largest * growth <= limit for named, known in sizes.items()):
+            return True
+    return group_sizes(df, keys).largest <= limit
+
+
+def fits_broadcast(table: DataFrame, on: Sequence[str], one_per_key: bool) -> bool:
+    limit = max_broadcast_rows(table.sparkSession)
+    if one_per_key:
+        for sizes, _ in reversed(_bounds):
+            known = sizes.get(tuple(sorted(on)))
+            if known is not None and known.groups <= limit:
+                return True
+    return group_sizes(table, []).largest <= limit
 
 
 def _tagged(df: DataFrame, keys: Sequence[str], order: Sequence[str]) -> DataFrame:
     """Range-partition on (keys, order) and store each row's block number in ``_part``."""
     spark = df.sparkSession
     ensure_checkpoint_dir(spark)
-    total = group_sizes(df, keys)[1]
+    total = group_sizes(df, keys).total
     blocks = max(int(spark.conf.get("spark.sql.shuffle.partitions")), math.ceil(2 * total / max_group_rows(spark)))
     ranged = df.repartitionByRange(blocks, *keys, *order).withColumn("_part", F.spark_partition_id())
     return ranged.checkpoint()
@@ -228,9 +274,10 @@ def average_ranks(
     if fits_one_task(df, keys):
         made: dict[str, Column] = {}
         for c in columns:
-            ranked = F.rank().over(Window.partitionBy(*keys).orderBy(F.col(c).asc_nulls_last()))
-            ties = F.count(F.lit(1)).over(Window.partitionBy(*keys, c))
-            made[f"_rank_{c}"] = F.when(F.col(c).isNotNull(), ranked + (ties - 1) / 2.0)
+            # First and last place of the ties: one sort serves both.
+            spec = Window.partitionBy(*keys).orderBy(F.col(c).asc_nulls_last())
+            last = F.count(F.lit(1)).over(spec.rangeBetween(Window.unboundedPreceding, Window.currentRow))
+            made[f"_rank_{c}"] = F.when(F.col(c).isNotNull(), (F.rank().over(spec) + last) / 2.0)
             made[f"_count_{c}"] = F.count(c).over(Window.partitionBy(*keys))
         return df.withColumns(made)
     tall = df.select(
@@ -252,17 +299,17 @@ def average_ranks(
     return lookup(out, counts, keys)
 
 
-def lookup(df: DataFrame, table: DataFrame, on: Sequence[str], how: str = "left") -> DataFrame:
-    """Join a table with one row per key; broadcast when counted small, else salted when a key of ``df`` is hot."""
+def lookup(df: DataFrame, table: DataFrame, on: Sequence[str], how: str = "left", one_per_key: bool = True) -> DataFrame:
+    """Join a table of one row per key (or, with ``one_per_key=False``, a few).
+
+    Broadcast when its rows are known to be few, else salted when a key of ``df`` is hot.
+    """
     on = list(on)
-    spark = df.sparkSession
-    if group_sizes(table, [])[0] <= max_broadcast_rows(spark):
+    if fits_broadcast(table, on, one_per_key):
         return df.join(F.broadcast(table), on, how)
-    hottest = group_sizes(df, on)[0]
-    limit = max_group_rows(spark)
-    if hottest <= limit:
+    if fits_one_task(df, on):
         return df.join(table, on, how)
-    salts = math.ceil(hottest / limit) * 2
+    salts = math.ceil(group_sizes(df, on).largest / max_group_rows(df.sparkSession)) * 2
     rest = [c for c in df.columns if c not in on] or on
     salted = df.withColumn("_salt", F.pmod(F.xxhash64(*rest), F.lit(salts)).cast("int"))
     copies = table.withColumn("_salt", F.explode(F.sequence(F.lit(0), F.lit(salts - 1))))

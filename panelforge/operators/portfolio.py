@@ -107,7 +107,7 @@ def turnover(pos: DataFrame, keys: Sequence[str] = ()) -> DataFrame:
 
 
 def net_returns(pos: DataFrame, keys: Sequence[str] = ()) -> DataFrame:
-    """keys, config_id, timestamp, gross, turnover, net."""
+    """keys, config_id, timestamp, gross, turnover, net. Reads the positions several times: store them first."""
     scope = [*keys, "config_id", "timestamp"]
     joined = period_returns(pos, keys).join(turnover(pos, keys), scope)
     return joined.select(*scope, "gross", "turnover", (F.col("gross") - F.col("turnover") * F.col("bps") / 10_000).alias("net"))

@@ -3,6 +3,7 @@
 from __future__ import annotations
 
 import tempfile
+import uuid
 
 from pyspark.sql import DataFrame, SparkSession
 
@@ -18,7 +19,7 @@ BROADCAST_ROWS_DEFAULT = 200_000
 
 
 def build_session(app: str = "panelforge", master: str | None = None, shuffle: int | None = None) -> SparkSession:
-    builder = SparkSession.builder.appName(app).config("spark.ui.enabled", "false")
+    builder = SparkSession.builder.appName(app).config("spark.ui.enabled", "false").config("spark.ui.showConsoleProgress", "false")
     if master:
         builder = builder.master(master)
     if shuffle:
@@ -42,6 +43,12 @@ def max_broadcast_rows(spark: SparkSession) -> int:
     return int(spark.conf.get(BROADCAST_ROWS_KEY, str(BROADCAST_ROWS_DEFAULT)))
 
 
+def shared_folder(spark: SparkSession, name: str) -> str:
+    """A fresh path below the checkpoint folder, which every executor can reach."""
+    ensure_checkpoint_dir(spark)
+    return f"{spark.sparkContext.getCheckpointDir()}/{name}-{uuid.uuid4().hex}"
+
+
 def ensure_checkpoint_dir(spark: SparkSession) -> None:
     """Use the cluster's shared checkpoint folder; a scratch one only where none is named."""
     context = spark.sparkContext
