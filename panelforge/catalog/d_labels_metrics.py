@@ -227,7 +227,7 @@ ANNUAL = {"mean_annual_return": "avg(a)", "std_annual_return": "stddev_samp(a)",
           **{n: f"quantile_cont(a, {p})" for n, p in (("pct_5_annual_return", 0.05), ("pct_25_annual_return", 0.25), ("median_annual_return", 0.5), ("pct_75_annual_return", 0.75), ("pct_95_annual_return", 0.95))},
           "years_sampled": f"(SELECT floor((max(t1) - min(t0)) / {DAY}.0) / 365.0 FROM yr)"}
 query("ret04_annual_statistics", lambda i: rounded(R.annual_statistics(series(i)), 5),
-      f"{S}, {YEARS} SELECT {', '.join(r(e, n, 5) for n, e in ANNUAL.items())}, count(*) AS num_years FROM fy")
+      f"{S}, {YEARS} SELECT {', '.join(r(e, n, 5) for n, e in ANNUAL.items())}, count(*) AS num_years FROM fy HAVING count(*) >= 2 AND (SELECT count(*) FROM ser) >= 252")
 query("ret05_monthly_matrix", lambda i: rounded(R.monthly_matrix(series(i))),
       f"""{S}, mo AS (SELECT CAST(year(make_timestamp(ts * 1000)) AS INT) AS year, month(make_timestamp(ts * 1000)) AS mth, product(1 + ret) - 1 AS x FROM ser GROUP BY 1, 2)
       SELECT year, {', '.join(r(f'max(x) FILTER (mth = {m})', f'm{m:02d}') for m in range(1, 13))} FROM mo GROUP BY year""")

@@ -96,11 +96,11 @@ REC = {"num_rebalances": "n", "total_return": "tr", "pre_fee_total_return": "gtr
        "annualized_return": "(1 + tr) ^ (1 / y) - 1", "pre_fee_annualized_return": "(1 + gtr) ^ (1 / y) - 1", "annualized_volatility": "sd * sqrt(n / y)",
        "cost_drag": "CASE WHEN gtr > 0 THEN -im / (1 + gtr) END", "avg_cost_per_rebalance": "im / n", "avg_holding_years": "y / n",
        "return_per_turnover": "tr / tov", "calmar": "CASE WHEN dd > 1e-4 THEN ((1 + tr) ^ (1 / y) - 1) / dd END"}
-query("prt07_backtest", lambda i: rounded(tall(B.backtest(damped(i), CFG, 30))), f"{DP}, {hold(5, 5, 'sub')}, {nets(15.0)}, {RECORD} {tall_sql(REC, 'bt, md')}")
+query("prt07_backtest", lambda i: rounded(tall(B.backtest(damped(i), CFG, 30))), f"{DP}, {hold(5, 5, 'sub')}, {nets(15.0)}, {RECORD} {tall_sql(REC, 'bt, md WHERE n > 0')}")
 DREC = {**REC, "max_drawdown": "ddd", "annualized_volatility": "dv", "calmar": "CASE WHEN ddd > 1e-4 THEN ((1 + tr) ^ (1 / y) - 1) / ddd END", "daily_points": "dn"}
 query("prt07_backtest_daily", lambda i: rounded(tall(B.backtest(damped(i), CFG, 30, coarse(i))), 5),
       f"""{DP}, {hold(5, 5, 'sub')}, {nets(15.0)}, {RECORD}, {DAILY}, dst AS (SELECT count(*) AS dn, stddev_samp(ret) * {math.sqrt(252)!r} AS dv FROM drt),
-      dw AS (SELECT ts, product(1 + ret) OVER (ORDER BY ts) AS w FROM drt), dmd AS (SELECT max((m - w) / m) AS ddd FROM (SELECT w, max(w) OVER (ORDER BY ts) AS m FROM dw)) {tall_sql(DREC, 'bt, md, dst, dmd', 5)}""")
+      dw AS (SELECT ts, product(1 + ret) OVER (ORDER BY ts) AS w FROM drt), dmd AS (SELECT max((m - w) / m) AS ddd FROM (SELECT w, max(w) OVER (ORDER BY ts) AS m FROM dw)) {tall_sql(DREC, 'bt, md, dst, dmd WHERE n > 0', 5)}""")
 TRIALS = 20
 query("prt08_random_baseline", lambda i: rounded(tall(B.random_baseline(damped(i), CFG, 30, TRIALS, 0.5))),
       f"""{DP}, sco AS (SELECT CAST(t AS INT) AS trial, ts, ticker, r, md5('42|' || t || '|' || ts || '|' || ticker) AS s FROM sub, range({TRIALS}) AS x(t)),
@@ -131,7 +131,7 @@ SWEEP = [B.PortfolioConfig(n, n, 10.0) for n in (2, 3, 5, 8)]
 
 def sweep_sql() -> str:
     return " UNION ALL ".join(
-        f"SELECT {k} AS config_id, sh, dd, tr FROM (WITH {hold(c.top_n, c.bottom_n, 'sub')}, {nets(10.0)}, {RECORD} SELECT sh, dd, tr FROM bt, md)"
+        f"SELECT {k} AS config_id, sh, dd, tr FROM (WITH {hold(c.top_n, c.bottom_n, 'sub')}, {nets(10.0)}, {RECORD} SELECT sh, dd, tr FROM bt, md WHERE n > 0)"
         for k, c in enumerate(SWEEP))
 
 

@@ -128,6 +128,15 @@ def kurt_sample(x: str, n: Column) -> Column:
     return (safe - 1) / ((safe - 2) * (safe - 3)) * ((safe + 1) * F.kurtosis(x) + 6)
 
 
+def pearson(x: str | Column, y: str | Column) -> Column:
+    """Correlation of complete pairs as a group aggregate; null without spread (the built-in divides by zero there)."""
+    a, b = (F.col(c) if isinstance(c, str) else c for c in (x, y))
+    both = a.isNotNull() & b.isNotNull()
+    a, b = F.when(both, a), F.when(both, b)
+    value = F.try_divide(F.covar_pop(a, b), F.stddev_pop(a) * F.stddev_pop(b))
+    return clip(value, -1.0, 1.0)
+
+
 def ratio(x: Column, y: Column) -> Column:
     """x / (y + eps)."""
     return F.try_divide(x, y + EPS)

@@ -10,7 +10,7 @@ from pyspark.ml.feature import VectorAssembler
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from panelforge.functions.columns import clip, finite, kurt_sample, rstd, skew_sample
+from panelforge.functions.columns import clip, finite, kurt_sample, pearson, rstd, skew_sample
 from panelforge.operators.ordered import average_ranks, lookup, number_rows, over_series, running
 from panelforge.operators.panel import LOCAL_SUFFIX
 from panelforge.session import stored
@@ -28,11 +28,6 @@ def recent(panel: DataFrame, timestamps: int, suffix: str = LOCAL_SUFFIX) -> Dat
     return local.filter(F.col("timestamp") >= F.lit(start))
 
 
-def _spread_corr(x: str, y: str) -> Column:
-    a, b = F.when(F.col(y).isNotNull(), F.col(x)), F.col(y)
-    return F.when((F.stddev_pop(a) > 0) & (F.stddev_pop(b) > 0), F.corr(a, b))
-
-
 def ticker_characteristics(panel: DataFrame, lookback: int = 500, min_obs: int = 100, limit: float = 1.0) -> DataFrame:
     """Risk and return figures per ticker over the last ``lookback`` timestamps; daily returns clipped."""
     rows = recent(panel, lookback)
@@ -46,7 +41,7 @@ def ticker_characteristics(panel: DataFrame, lookback: int = 500, min_obs: int =
     stats = kept.groupBy("ticker").agg(
         (F.stddev_pop("x") * YEAR).alias("volatility"), (F.avg("x") * 252).alias("mean_return"),
         skew_sample("x", n).alias("skewness"), kurt_sample("x", n).alias("kurtosis"),
-        F.when(n > 10, _spread_corr("x", "before")).otherwise(0.0).alias("autocorr"),
+        F.when(n > 10, pearson("x", "before")).otherwise(0.0).alias("autocorr"),
         F.avg((F.col("x") > 0).cast("double")).alias("pos_days_pct"), n.alias("n_obs"),
         F.avg((F.abs("ret") > limit).cast("double")).alias("anomaly_rate"),
     )
@@ -70,7 +65,7 @@ def fast_characteristics(panel: DataFrame, lookback: int = 500, min_obs: int = 1
     n = F.count("x")
     figures = {
         "volatility": F.stddev_samp("x") * YEAR, "mean_return": F.avg("x") * 252, "skewness": skew_sample("x", n),
-        "kurtosis": kurt_sample("x", n), "autocorr": _spread_corr("x", "before"),
+        "kurtosis": kurt_sample("x", n), "autocorr": pearson("x", "before"),
         "pos_days_pct": F.avg((F.col("x") > 0).cast("double")), "vol_of_vol": F.stddev_samp("std20") * YEAR,
     }
     stats = rows.groupBy("ticker").agg(n.alias("n_obs"), *[F.when(n >= 50, e).otherwise(0.0).alias(c) for c, e in figures.items()])
@@ -165,8 +160,8 @@ def performance_by_cluster(predictions: DataFrame, clusters: DataFrame, min_rows
     ranked = average_ranks(rows, ["predicted_score", "actual_return"], ["cluster"], ["timestamp", "ticker"])
     return ranked.groupBy("cluster").agg(
         F.count(F.lit(1)).alias("n_predictions"), F.count_distinct("ticker").alias("n_unique_tickers"),
-        _spread_corr("predicted_score", "actual_return").alias("pearson_ic"),
-        _spread_corr("_rank_predicted_score", "_rank_actual_return").alias("rank_ic"),
+        pearson("predicted_score", "actual_return").alias("pearson_ic"),
+        pearson("_rank_predicted_score", "_rank_actual_return").alias("rank_ic"),
         F.avg((F.col("actual_return") > 0).cast("double")).alias("hit_rate"), F.avg("actual_return").alias("avg_return"),
         F.stddev_samp("actual_return").alias("return_std"),
     ).filter(F.col("n_predictions") >= min_rows)
@@ -184,7 +179,7 @@ def pair_correlations(returns: DataFrame, pairs: DataFrame, min_common: int = 50
     rows = lookup(returns, sides, ["ticker"], "inner", one_per_key=False).groupBy("a", "b", "timestamp").agg(
         F.max(F.when(F.col("first"), F.col("x"))).alias("x"), F.max(F.when(~F.col("first"), F.col("x"))).alias("y"),
     ).filter("x is not null and y is not null")
-    found = rows.groupBy("a", "b").agg(F.count(F.lit(1)).alias("n"), F.when((F.stddev_pop("x") > 0) & (F.stddev_pop("y") > 0), F.corr("x", "y")).alias("c"))
+    found = rows.groupBy("a", "b").agg(F.count(F.lit(1)).alias("n"), pearson("x", "y").alias("c"))
     joined = pairs.select("a", "b").join(found, ["a", "b"], "left")
     value = F.coalesce(F.when(F.col("n") >= min_common, F.col("c")), F.lit(0.0))
     return joined.select("a", "b", value.alias("correlation"), clip(1 - value, 0.0, 2.0).alias("distance"))

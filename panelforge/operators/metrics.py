@@ -8,6 +8,7 @@ from collections.abc import Sequence
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
+from panelforge.functions.columns import pearson
 from panelforge.operators.labels import quantile_bins
 from panelforge.operators.ordered import average_ranks, lookup, number_rows, over_series
 from panelforge.session import stored
@@ -21,10 +22,8 @@ def _pairs(df: DataFrame) -> DataFrame:
 
 def _guarded_corr(x: str, y: str) -> Column:
     """Correlation of complete pairs; null under three pairs or without spread."""
-    both = F.col(x).isNotNull() & F.col(y).isNotNull()
-    a, b = F.when(both, F.col(x)), F.when(both, F.col(y))
-    usable = (F.count(a) >= 3) & (F.stddev_samp(a) > 0) & (F.stddev_samp(b) > 0)
-    return F.when(usable, F.corr(a, b))
+    pairs = F.count(F.when(F.col(x).isNotNull() & F.col(y).isNotNull(), 1))
+    return F.when(pairs >= 3, pearson(x, y))
 
 
 def ic_by_date(df: DataFrame, min_stocks: int = 5) -> DataFrame:
@@ -131,16 +130,11 @@ def autocorrelation(series: DataFrame, value: str = "ic", max_lag: int = 10) ->
     """(lag, autocorr) of a date series; empty when it is shorter than ``max_lag + 5``."""
     clean = series.filter(F.col(value).isNotNull()).select("timestamp", F.col(value).alias("x"))
     lagged = over_series(clean, [lambda w: {f"l{k}": w.lag("x", k) for k in range(1, max_lag + 1)}], max_lag, ())
-    row = lagged.agg(F.count(F.lit(1)).alias("n"), *[F.coalesce(_guarded_pair("x", f"l{k}"), F.lit(0.0)).alias(f"c{k}") for k in range(1, max_lag + 1)])
+    row = lagged.agg(F.count(F.lit(1)).alias("n"), *[F.coalesce(pearson("x", f"l{k}"), F.lit(0.0)).alias(f"c{k}") for k in range(1, max_lag + 1)])
     pairs = F.array(*[F.struct(F.lit(k).alias("lag"), F.col(f"c{k}").alias("autocorr")) for k in range(1, max_lag + 1)])
     return row.filter(F.col("n") >= max_lag + 5).select(F.inline(pairs))
 
 
-def _guarded_pair(x: str, y: str) -> Column:
-    a, b = F.when(F.col(y).isNotNull(), F.col(x)), F.col(y)
-    return F.when((F.stddev_pop(a) > 0) & (F.stddev_pop(b) > 0), F.corr(a, b))
-
-
 def stability(series: DataFrame, value: str = "ic") -> DataFrame:
     """Share positive, population skewness and excess kurtosis, share x mean/deviation; null under five dates."""
     x, n = F.col(value), F.count(value)

@@ -8,7 +8,7 @@ from collections.abc import Sequence
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from panelforge.functions.columns import DAY_MS, rmean, rstd
+from panelforge.functions.columns import DAY_MS, pearson, rmean, rstd
 from panelforge.operators.metrics import stability, t_test, tall
 from panelforge.operators.ordered import group_quantiles, over_series, running
 from panelforge.session import stored
@@ -198,7 +198,7 @@ def histogram(df: DataFrame, value: str, bins: int) -> DataFrame:
 
 def fit_line(df: DataFrame, x: str = "predicted_score", y: str = "actual_return") -> DataFrame:
     """Least-squares line and correlation over all rows."""
-    return df.agg(F.regr_slope(y, x).alias("slope"), F.regr_intercept(y, x).alias("intercept"), F.corr(x, y).alias("r"), F.count(F.lit(1)).alias("n"))
+    return df.agg(F.regr_slope(y, x).alias("slope"), F.regr_intercept(y, x).alias("intercept"), pearson(x, y).alias("r"), F.count(F.lit(1)).alias("n"))
 
 
 def comprehensive(series: DataFrame, ic: DataFrame, horizon_days: int = 30) -> DataFrame:
