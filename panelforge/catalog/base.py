@@ -4,7 +4,7 @@ from __future__ import annotations
 
 from collections.abc import Callable, Sequence
 from dataclasses import dataclass
-from functools import cached_property
+from functools import cached_property, reduce
 
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
@@ -12,7 +12,7 @@ from pyspark.sql import types as T
 
 from panelforge.operators import labels
 from panelforge.functions.columns import pct
-from panelforge.operators.ordered import Sizes, group_sizes, over_series
+from panelforge.operators.ordered import Sizes, over_series
 from panelforge.session import configure, stored
 
 
@@ -28,16 +28,22 @@ class Inputs:
     @cached_property
     def sizes(self) -> dict[tuple[str, ...], Sizes]:
         """Rows per ticker, per timestamp and in all of the source tables: bounds for everything derived from them."""
-        line, orders, events = (self.table(n) for n in ("lineitem", "orders", "events"))
-        day = lambda c: F.date_trunc("day", c).alias("d")
-        by_ticker = [group_sizes(line.select("l_suppkey"), ["l_suppkey"]), group_sizes(events.select("user_id"), ["user_id"])]
-        by_time = [group_sizes(line.select(day("l_shipdate")), ["d"]), group_sizes(orders.select(day("o_orderdate")), ["d"]),
-                   group_sizes(events.select(day("ts")), ["d"])]
+        def column(table: str, kind: str, key) -> DataFrame:
+            return self.table(table).select(F.lit(f"{table}:{kind}").alias("source"), key.cast("bigint").alias("key"))
+
+        day = lambda c: F.unix_date(F.to_date(c))
+        parts = [column("lineitem", "ticker", F.col("l_suppkey")), column("events", "ticker", F.col("user_id")),
+                 column("lineitem", "time", day("l_shipdate")), column("orders", "time", day("o_orderdate")), column("events", "time", day("ts"))]
+        counts = reduce(DataFrame.unionByName, parts).groupBy("source", "key").agg(F.count(F.lit(1)).alias("n"))
+        rows = counts.groupBy("source").agg(F.max("n").alias("largest"), F.sum("n").alias("total"), F.count("n").alias("groups")).collect()
+        found = {r["source"]: Sizes(r["largest"], r["total"], r["groups"]) for r in rows}
+        by_ticker, by_time = ([s for n, s in found.items() if n.endswith(kind)] for kind in ("ticker", "time"))
         total = sum(s.total for s in by_time)
+        # Event times are kept to the millisecond, so only their row count bounds the distinct ones.
+        instants = sum(s.total if n.startswith("events") else s.groups for n, s in found.items() if n.endswith("time"))
         return {
             ("ticker",): Sizes(max(s.largest for s in by_ticker), total, sum(s.groups for s in by_ticker)),
-            # Event times are kept to the millisecond, so only their row count bounds the distinct ones.
-            ("timestamp",): Sizes(max(s.largest for s in by_time), total, by_time[0].groups + by_time[1].groups + by_time[2].total),
+            ("timestamp",): Sizes(max(s.largest for s in by_time), total, instants),
             (): Sizes(total, total, 1),
         }
 
@@ -48,20 +54,26 @@ class Inputs:
 
     @cached_property
     def panel(self) -> DataFrame:
-        """Supplier-day price panel; unit prices in (order, line, part, price) order."""
+        """Supplier-day price panel; unit prices in (order, line, part) order.
+
+        The order key is one decimal, so the aggregate keeps fixed-width buffers and stays a hash aggregate.
+        """
         unit = F.col("l_extendedprice") / F.col("l_quantity")
-        key = F.struct("l_orderkey", "l_linenumber", "l_partkey", "l_extendedprice")
+        low = F.col("l_linenumber").cast("bigint") * 10**12 + F.col("l_partkey")
+        key = F.col("l_orderkey").cast("decimal(19,0)") * F.lit(10**13).cast("decimal(14,0)") + low.cast("decimal(14,0)")
         rows = self.table("lineitem").select(
-            F.concat(F.lit("T"), F.col("l_suppkey").cast("string"), F.lit(".NZ")).alias("ticker"),
-            F.unix_millis(F.date_trunc("day", "l_shipdate").cast("timestamp")).alias("timestamp"),
-            unit.alias("p"), (unit * (1 - F.col("l_discount"))).alias("a"), key.alias("k"),
+            "l_suppkey", F.to_date("l_shipdate").alias("day"), unit.alias("p"), (unit * (1 - F.col("l_discount"))).alias("a"), key.alias("k"),
             F.col("l_quantity").alias("q"), F.when(F.col("l_returnflag") == "R", F.col("l_discount")).alias("d"),
         )
-        return rows.groupBy("timestamp", "ticker").agg(
+        grouped = rows.groupBy("l_suppkey", "day").agg(
             F.min_by("p", "k").alias("Open"), F.max("p").alias("High"), F.min("p").alias("Low"),
             F.max_by("p", "k").alias("Close"), F.max_by("a", "k").alias("AdjClose"), F.sum("q").alias("Volume"),
             F.sum("d").alias("Dividend"),
         )
+        return grouped.select(
+            F.unix_millis(F.col("day").cast("timestamp")).alias("timestamp"), F.concat(F.lit("T"), F.col("l_suppkey").cast("string"), F.lit(".NZ")).alias("ticker"),
+            "Open", "High", "Low", "Close", "AdjClose", "Volume", "Dividend",
+        )
 
     @cached_property
     def events_long(self) -> DataFrame:
@@ -151,7 +163,7 @@ def rounded(df: DataFrame, digits: int = 6, columns: Sequence[str] | None = None
 PANEL = """
 raw AS (SELECT 'T' || l_suppkey || '.NZ' AS ticker, epoch_ms(CAST(date_trunc('day', l_shipdate) AS TIMESTAMP)) AS ts,
   l_extendedprice / l_quantity AS p, l_extendedprice / l_quantity * (1 - l_discount) AS a,
-  {'a': l_orderkey, 'b': l_linenumber, 'c': l_partkey, 'd': l_extendedprice} AS k,
+  {'a': l_orderkey, 'b': l_linenumber, 'c': l_partkey} AS k,
   l_quantity AS q, CASE WHEN l_returnflag = 'R' THEN l_discount END AS d FROM lineitem),
 panel AS (SELECT ts, ticker, arg_min(p, k) AS o, max(p) AS h, min(p) AS l, arg_max(p, k) AS c, arg_max(a, k) AS ac,
   sum(q) AS v, sum(d) AS dv FROM raw GROUP BY ts, ticker)"""

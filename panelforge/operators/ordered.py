@@ -32,7 +32,7 @@ class Sizes:
 
 
 _measured: dict[tuple, Sizes] = {}
-_bounds: list[tuple[dict[tuple[str, ...], Sizes], float]] = []
+_bounds: list[tuple[Callable[[], dict[tuple[str, ...], Sizes]], float]] = []
 
 
 def group_sizes(df: DataFrame, keys: Sequence[str]) -> Sizes:
@@ -50,8 +50,8 @@ def forget_sizes() -> None:
 
 
 @contextmanager
-def bounded_by(sizes: dict[tuple[str, ...], Sizes], growth: float = 4.0):
-    """Name measured sizes of the stored table that frames built inside descend from.
+def bounded_by(sizes: Callable[[], dict[tuple[str, ...], Sizes]], growth: float = 4.0):
+    """Name sizes, measured on first need, of the stored table that frames built inside descend from.
 
     A frame may hold up to ``growth`` times the rows of a group of that table.
     Groups that fit by this bound are not counted again, which would run
@@ -68,7 +68,7 @@ def fits_one_task(df: DataFrame, keys: Sequence[str]) -> bool:
     limit = max_group_rows(df.sparkSession)
     for sizes, growth in reversed(_bounds):
         # Grouping by more columns never makes a group larger.
-        if any(set(named) <= set(keys) and known.largest * growth <= limit for named, known in sizes.items()):
+        if any(set(named) <= set(keys) and known.largest * growth <= limit for named, known in sizes().items()):
             return True
     return group_sizes(df, keys).largest <= limit
 
@@ -77,7 +77,7 @@ def fits_broadcast(table: DataFrame, on: Sequence[str], one_per_key: bool) -> bo
     limit = max_broadcast_rows(table.sparkSession)
     if one_per_key:
         for sizes, _ in reversed(_bounds):
-            known = sizes.get(tuple(sorted(on)))
+            known = sizes().get(tuple(sorted(on)))
             if known is not None and known.groups <= limit:
                 return True
     return group_sizes(table, []).largest <= limit

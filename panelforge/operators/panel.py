@@ -15,6 +15,8 @@ EXACT = ("Close", "Open", "High", "Low", "Volume", "AdjClose", "Dividend", "Spli
 LOCAL_SUFFIX = ".NZ"
 MACRO_PREFIX = "MACRO_"
 KEYS = ("timestamp", "ticker")
+# Up to this many features a reshape is one conditional aggregate.
+WIDE_PIVOT = 50
 # Columns that are never model inputs.
 NOT_FEATURES = (
     "timestamp", "ticker", "forward_return", "target", "relevance", "Open", "High", "Low", "Close", "Volume",
@@ -50,7 +52,10 @@ def anchors(long: DataFrame) -> DataFrame:
 
 
 def _spread_features(long: DataFrame, keys: Sequence[str], features: Sequence[str]) -> DataFrame:
-    return long.groupBy(*keys).pivot("feature", list(features)).agg(F.max("value"))
+    if len(features) > WIDE_PIVOT:
+        return long.groupBy(*keys).pivot("feature", list(features)).agg(F.max("value"))
+    # One shuffle instead of the pivot's two.
+    return long.groupBy(*keys).agg(*[F.max(F.when(F.col("feature") == f, F.col("value"))).alias(f) for f in features])
 
 
 def exact_pivot(long: DataFrame, features: Sequence[str] = EXACT) -> DataFrame:
