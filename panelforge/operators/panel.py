@@ -79,17 +79,18 @@ def macro_table(long: DataFrame, features: Sequence[str]) -> DataFrame:
                             ["timestamp"], features)
 
 
-def macro_on_grid(panel: DataFrame, macro: DataFrame) -> DataFrame:
-    """The latest market-wide values known at each distinct panel timestamp; never a later one."""
+def macro_on_grid(dates: DataFrame, macro: DataFrame) -> DataFrame:
+    """The latest market-wide values known at each distinct timestamp of ``dates``; never a later one."""
     features = [c for c in macro.columns if c != "timestamp"]
-    grid = panel.select("timestamp").distinct().withColumn("_anchor", F.lit(True))
+    grid = dates.select("timestamp").distinct().withColumn("_anchor", F.lit(True))
     both = macro.unionByName(grid, allowMissingColumns=True)
     merged = both.groupBy("timestamp").agg(*[F.max(c).alias(c) for c in [*features, "_anchor"]])
     return fill_last(merged, features, [], ["timestamp"]).filter("_anchor").drop("_anchor")
 
 
-def macro_asof(panel: DataFrame, macro: DataFrame) -> DataFrame:
-    return lookup(panel, macro_on_grid(panel, macro), ["timestamp"])
+def macro_asof(panel: DataFrame, macro: DataFrame, dates: DataFrame | None = None) -> DataFrame:
+    """Attach them to the panel; ``dates`` may name a cheaper frame with the panel's timestamps."""
+    return lookup(panel, macro_on_grid(panel if dates is None else dates, macro), ["timestamp"])
 
 
 def long_to_wide(
@@ -100,7 +101,7 @@ def long_to_wide(
     rows = add_macro_prefix(classify_tickers(long))
     wide = ticker_asof(rows, ticker_features, exact) if ticker_features else exact_pivot(rows, exact)
     if macro_features:
-        wide = macro_asof(wide, macro_table(rows, macro_features))
+        wide = macro_asof(wide, macro_table(rows, macro_features), rows.filter((F.col("feature") == "Close") & (F.col("ticker") != "")))
     return wide
 
 
