@@ -144,7 +144,7 @@ q("att02_fear_attention", lambda i: R.fear_attention(fear(i)), {
   f"{FEAR}, ft AS (SELECT *, coalesce(a, 0.0) + coalesce(b, 0.0) + coalesce(c, 0.0) AS t FROM fear)@@ft", 6, ["timestamp"], MK)
 
 # --- cross-sectional ranks ------------------------------------------------
-RANKS = ("RSI_14", "ROC_252", "Vol_252", "Rev_5d", "IdioVol_20", "MAX_21d", "RelVol_20d", "Near52wHigh")
+RANKS = R.RANKED
 
 
 def rank_sql(x: str) -> str:
@@ -153,7 +153,7 @@ def rank_sql(x: str) -> str:
 
 def ranked_features(i: Inputs):
     # Rounded first: neighbouring values must not change places through summation order.
-    feats = apply_groups(i.panel, [T.RSI, T.ROC, T.VOLATILITY, A.REVERSAL, A.IDIO, A.EXTREMES, A.VOLUME, A.ACCELERATION])
+    feats = apply_groups(i.panel, [*T.TECHNICAL, *A.ALPHA])
     return R.add_date_percentiles(rounded(feats, 6, [*KEY, *RANKS]), RANKS)
 
 

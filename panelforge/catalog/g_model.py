@@ -13,7 +13,6 @@ from panelforge.operators import technical as T
 from panelforge.operators.groups import apply_groups
 from panelforge.operators.labels import forward_return
 from panelforge.plans import evaluation as E
-from panelforge.session import stored
 
 COLUMNS = ["Rev_5d", "Rev_10d", "RSI_14", "Dist_MA_20", "BB_Width_20", "MAX_21d", "InfoDisc_21"]
 
@@ -31,15 +30,17 @@ SMALL = M.RankerConfig(rounds=5, depth=3)
 
 
 def _fit(i: Inputs):
-    rows = stored(E.preprocess(labelled_features(i), False, "forward_return"))
+    rows = E.prepare(labelled_features(i), COLUMNS)
     return rows, M.fit_ranker(rows, COLUMNS, config=SMALL)
 
 
 query("mdl02_03_fit_and_score", lambda i: (lambda rf: M.score(rf[1], rf[0]).select("timestamp", "ticker", "predicted_score"))(_fit(i)))
 query("mdl04_feature_importance", lambda i: M.feature_importance(_fit(i)[1], i.spark))
 CONFIG = E.EvaluationConfig(ranker=SMALL, n_windows=2)
-query("mdl05_rolling_predictions", lambda i: E.rolling_predictions(stored(labelled_features(i)), COLUMNS, CONFIG)[0])
-query("mdl04_average_importance", lambda i: M.average_importance(E.rolling_predictions(stored(labelled_features(i)), COLUMNS, CONFIG)[1]))
+CLUSTERED = E.EvaluationConfig(ranker=SMALL, n_windows=1, n_clusters=4)
+query("mdl05_rolling_predictions", lambda i: E.rolling_predictions(labelled_features(i), COLUMNS, CONFIG)[0])
+query("mdl05_with_clusters", lambda i: E.rolling_predictions(labelled_features(i), COLUMNS, CLUSTERED)[0])
+query("mdl04_average_importance", lambda i: M.average_importance(E.rolling_predictions(labelled_features(i), COLUMNS, CONFIG)[1]))
 query("mdl06_train_and_rank_latest", lambda i: E.train_and_rank(labelled_features(i), COLUMNS, CONFIG).select("timestamp", "ticker", "predicted_score", "rank"))
 query("mdl06_rank_latest", lambda i: rounded(M.rank_latest(i.stored_predictions).select("timestamp", "ticker", "predicted_score", "rank")),
       f"{P}, l AS (SELECT * FROM pred WHERE ts = (SELECT max(ts) FROM pred)) SELECT {TS}, ticker, {r('s', 'predicted_score')}, row_number() OVER (ORDER BY s DESC, ticker) AS rank FROM l")
@@ -49,7 +50,7 @@ query("mdl06_picks", lambda i: M.picks(M.rank_latest(i.stored_predictions), 3).s
 query("mdl07_latest_rows", lambda i: rounded(M.latest_rows(i.panel.select("timestamp", "ticker", "Close"), 7), 4),
       f"""WITH {PANEL}, x AS (SELECT *, row_number() OVER (PARTITION BY ticker ORDER BY ts DESC) AS p, max(ts) OVER () AS m FROM panel)
       {keyed({'Close': 'c'}, f'x WHERE p = 1 AND ts >= m - {7 * DAY}', 4)}""")
-query("run_evaluation", lambda i: E.evaluate(E.rolling_predictions(stored(labelled_features(i)), COLUMNS, CONFIG)[0].drop("window_id").withColumn(
+query("run_evaluation", lambda i: E.evaluate(E.rolling_predictions(labelled_features(i), COLUMNS, CONFIG)[0].drop("window_id").withColumn(
     "actual_return", F.greatest(F.least("actual_return", F.lit(1.0)), F.lit(-1.0)) * 0.02), None, E.EvaluationConfig(portfolio=E.portfolio.PortfolioConfig(3, 3))))
 WIDE = ("RSI_14", "ROC_10", "NATR_14", "BB_Width_20", "Dist_MA_50", "Vol_20", "Vol_GK_20", "Ret_Lag_1")
 DEEP = ("Rev_5d", "Trend_RSq_60", "IdioVol_20", "InfoDisc_63", "MAX_21d", "RelVol_20d", "MomAccel_21_63", "Near52wHigh")

@@ -3,6 +3,7 @@
 from __future__ import annotations
 
 from collections.abc import Sequence
+from functools import reduce
 
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
@@ -256,6 +257,15 @@ def min_group_size(df: DataFrame, n: int) -> DataFrame:
     return lookup(df, big, ["timestamp"], "left_semi")
 
 
+def known_tickers(*frames: DataFrame, limit: int = 10_000) -> list[str]:
+    """Tickers of all frames together, so that train and test get the same columns; too many is an error."""
+    union = reduce(DataFrame.unionByName, [f.select("ticker") for f in frames]).distinct()
+    names = [r[0] for r in union.limit(limit + 1).collect()]
+    if len(names) > limit:
+        raise ValueError(f"more than {limit} tickers; encode them as an index instead")
+    return sorted(names)
+
+
 def one_hot_tickers(df: DataFrame, tickers: Sequence[str]) -> DataFrame:
     """Binary ``Ticker_x`` columns for a known list (the union over train and test)."""
     return df.select("*", *[(F.col("ticker") == t).cast("int").alias(f"Ticker_{t}") for t in tickers])

@@ -11,7 +11,7 @@ from pyspark.sql import DataFrame, SparkSession
 # that a single task may hold. Beyond it operators use the block layouts in
 # ``operators.ordered``.
 GROUP_ROWS_KEY = "spark.panelforge.maxGroupRows"
-GROUP_ROWS_DEFAULT = 2_000_000
+GROUP_ROWS_DEFAULT = 1_000_000
 
 # Largest table that may be broadcast, in rows (after a count).
 BROADCAST_ROWS_KEY = "spark.panelforge.maxBroadcastRows"

@@ -26,7 +26,7 @@ def read_lines(spark: SparkSession, path: str) -> DataFrame:
 
 def read_sdmx_xml(spark: SparkSession, path: str) -> DataFrame:
     """Observation elements of generic SDMX files as struct rows."""
-    return spark.read.format("xml").option("rowTag", "generic:Obs").option("ignoreNamespace", True).schema(OBS_SCHEMA).load(path)
+    return spark.read.format("xml").option("rowTag", "Obs").option("ignoreNamespace", True).schema(OBS_SCHEMA).load(path)
 
 
 def _long(timestamp: Column, ticker: Column, feature: Column, value: Column) -> list[Column]:
