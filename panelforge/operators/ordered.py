@@ -197,7 +197,7 @@ def over_series(
         made = stage(frames)
         for batch in (frames.fresh, made):
             if batch:
-                out = out.select(*[c for c in out.columns if c not in batch], *[c.alias(n) for n, c in batch.items()])
+                out = out.withColumns(batch)
         known = {n: x for n, x in frames.known.items() if x not in made}
     if not small:
         out = out.filter(F.col("_block") == F.col("_home"))
