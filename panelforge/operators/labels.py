@@ -13,7 +13,7 @@ from panelforge.functions.columns import DAY_MS, clip
 from panelforge.operators.ordered import (
     average_ranks, fill_last, fits_one_task, group_quantiles, lookup, number_rows,
 )
-from panelforge.session import ensure_checkpoint_dir
+from panelforge.session import shared_folder
 
 YEAR_DAYS = 365.25
 
@@ -157,15 +157,24 @@ def rebalance_dates(df: DataFrame, horizon_days: int) -> DataFrame:
             ).otherwise(acc),
         ).alias("kept"))
         return folded.select(F.explode("kept").alias("timestamp"))
-    # Too many distinct dates for one task: jump from date to date over stored, sorted dates.
-    # The number of jumps is the covered span over the horizon, whatever the row count.
+    # Too many distinct dates for one task: jump from date to date over a written, sorted table, whose
+    # row-group statistics leave only the part around the next date to read. The number of jumps is the
+    # covered span over the horizon, whatever the row count.
     spark = df.sparkSession
-    ensure_checkpoint_dir(spark)
-    stored = dates.repartitionByRange("timestamp").sortWithinPartitions("timestamp").checkpoint()
+    path = shared_folder(spark, "dates")
+    dates.repartitionByRange("timestamp").sortWithinPartitions("timestamp").write.parquet(path)
+    stored = spark.read.parquet(path)
+
+    def earliest(low: int, high: int | None) -> int | None:
+        rows = stored.filter(F.col("timestamp") >= low)
+        return (rows if high is None else rows.filter(F.col("timestamp") < high)).agg(F.min("timestamp")).first()[0]
+
     kept, at = [], stored.agg(F.min("timestamp")).first()[0]
     while at is not None:
         kept.append((at,))
-        at = stored.filter(F.col("timestamp") >= at + horizon).agg(F.min("timestamp")).first()[0]
+        ahead = at + horizon
+        near = earliest(ahead, ahead + 2 * horizon)
+        at = earliest(ahead, None) if near is None else near
     return spark.createDataFrame(kept, "timestamp bigint")
 
 

@@ -22,6 +22,10 @@ from pyspark.sql import functions as F
 
 from panelforge.session import ensure_checkpoint_dir, max_broadcast_rows, max_group_rows
 
+# Range partitioning samples rows per partition on the driver, so their number stops here and blocks grow instead.
+MAX_BLOCKS = 20_000
+
+
 @dataclass(frozen=True)
 class Sizes:
     """Measured rows of a grouping: of its largest group, in all, and the number of groups."""
@@ -88,7 +92,8 @@ def _tagged(df: DataFrame, keys: Sequence[str], order: Sequence[str]) -> DataFra
     spark = df.sparkSession
     ensure_checkpoint_dir(spark)
     total = group_sizes(df, keys).total
-    blocks = max(int(spark.conf.get("spark.sql.shuffle.partitions")), math.ceil(2 * total / max_group_rows(spark)))
+    wanted = min(math.ceil(2 * total / max_group_rows(spark)), MAX_BLOCKS)
+    blocks = max(int(spark.conf.get("spark.sql.shuffle.partitions")), wanted)
     ranged = df.repartitionByRange(blocks, *keys, *order).withColumn("_part", F.spark_partition_id())
     return ranged.checkpoint()
 
