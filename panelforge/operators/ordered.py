@@ -26,6 +26,10 @@ from panelforge.session import ensure_checkpoint_dir, max_broadcast_rows, max_gr
 MAX_BLOCKS = 20_000
 
 
+# Up to this many columns are ranked by a window each.
+FEW_RANKS = 4
+
+
 @dataclass(frozen=True)
 class Sizes:
     """Measured rows of a grouping: of its largest group, in all, and the number of groups."""
@@ -274,8 +278,13 @@ def running(
 def average_ranks(
     df: DataFrame, columns: Sequence[str], keys: Sequence[str], row_id: Sequence[str]
 ) -> DataFrame:
-    """Add ``_rank_<c>`` (ascending, ties averaged, null for null) and ``_count_<c>`` (non-null rows) per group."""
+    """Add ``_rank_<c>`` (ascending, ties averaged, null for null) and ``_count_<c>`` (non-null rows) per group.
+
+    ``keys`` and ``row_id`` together identify a row.
+    """
     keys, row_id, columns = list(keys), list(row_id), list(columns)
+    if fits_one_task(df, keys) and len(columns) > FEW_RANKS:
+        return _ranks_of_many(df, columns, keys, row_id)
     if fits_one_task(df, keys):
         made: dict[str, Column] = {}
         for c in columns:
@@ -304,6 +313,30 @@ def average_ranks(
     return lookup(out, counts, keys)
 
 
+def _ranks_of_many(df: DataFrame, columns: list[str], keys: list[str], row_id: list[str]) -> DataFrame:
+    """All columns in one sort of narrow (key, column, value) rows, instead of one sort of wide rows per column."""
+    ids = [*keys, *row_id]
+    values = F.array(*[F.col(c).cast("double") for c in columns])
+    tall = df.select(*ids, F.posexplode(values).alias("_f", "_v"))
+    spec = Window.partitionBy(*keys, "_f").orderBy(F.col("_v").asc_nulls_last())
+    last = F.count(F.lit(1)).over(spec.rangeBetween(Window.unboundedPreceding, Window.currentRow))
+    ranked = tall.select(
+        *ids, "_f", "_v", F.when(F.col("_v").isNotNull(), (F.rank().over(spec) + last) / 2.0).alias("_r"),
+        F.count("_v").over(Window.partitionBy(*keys, "_f")).alias("_n"),
+    )
+    # One entry per column, so the list has a fixed length; sorted by column number it is read by position.
+    gathered = ranked.groupBy(*ids).agg(F.sort_array(F.collect_list(F.struct("_f", "_v", "_r", "_n"))).alias("_all"))
+    made = []
+    for i, c in enumerate(columns):
+        one = F.col("_all")[i]
+        made += [one["_v"].cast(df.schema[c].dataType).alias(c), one["_r"].alias(f"_rank_{c}"), one["_n"].alias(f"_count_{c}")]
+    wide = gathered.select(*ids, *made)
+    others = [c for c in df.columns if c not in ids and c not in columns]
+    if others:
+        wide = wide.join(df.select(*ids, *others), ids)
+    return wide.select(*df.columns, *[f"{p}_{c}" for c in columns for p in ("_rank", "_count")])
+
+
 def lookup(df: DataFrame, table: DataFrame, on: Sequence[str], how: str = "left", one_per_key: bool = True) -> DataFrame:
     """Join a table of one row per key (or, with ``one_per_key=False``, a few).
 

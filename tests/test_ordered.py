@@ -89,6 +89,21 @@ def test_average_ranks(spark, layout):
         assert (got[f"_count_{c}"] == want.groupby("k")[c].transform("count")).all()
 
 
+def test_ranks_of_many_columns(spark, layout):
+    pdf = skewed()
+    names = [f"c{i}" for i in range(6)]
+    for i, c in enumerate(names):
+        pdf[c] = pdf["s"] if i == 0 else np.round(pdf["v"] * (i + 1), 1)
+    got = by_key(O.average_ranks(frame(spark, pdf), names, ["k"], ["t"]), "k", "t")
+    want = pdf.sort_values(["k", "t"]).reset_index(drop=True)
+    assert got.columns[: len(pdf.columns)].tolist() == pdf.columns.tolist() and len(got) == len(pdf)
+    for c in [*names, "v"]:
+        assert np.allclose(got[c].astype(float), want[c], equal_nan=True)
+    for c in names:
+        assert np.allclose(got[f"_rank_{c}"].astype(float), want.groupby("k")[c].rank(), equal_nan=True)
+        assert (got[f"_count_{c}"] == want.groupby("k")[c].transform("count")).all()
+
+
 @pytest.mark.parametrize("keys", [["k"], []])
 def test_group_quantiles(spark, layout, keys):
     pdf, probs = skewed(), [0, 0.2, 0.25, 0.5, 0.77, 1.0]
