@@ -68,27 +68,43 @@ def _uniform(*parts: Column) -> Column:
     return (F.shiftrightunsigned(F.xxhash64(*parts), 11).cast("double") + 0.5) / F.lit(float(1 << 53))
 
 
+def _let(value: Column, body: Callable[[Column], Column]) -> Column:
+    """``body`` of a value that is computed once, however often the body uses it."""
+    return F.transform(F.array(value), body)[0]
+
+
 def hypergeometric(total: Column, marked: Column, draws: Column, u: Column) -> Column:
     """How many of ``draws`` from ``total`` things are among the ``marked`` ones: exact inversion around the mode.
 
     Probabilities relative to the mode follow from ratios of neighbours, so no factorials are needed.
     """
-    n, k, m = total.cast("double"), marked.cast("double"), draws.cast("double")
-    low, high = F.greatest(F.lit(0.0), m + k - n), F.least(k, m)
-    sd = F.sqrt(F.greatest(F.lit(0.0), m * (k / n) * (1 - k / n) * (n - m) / F.greatest(n - 1, F.lit(1.0))))
-    mode = F.greatest(low, F.least(high, F.floor((m + 1) * (k + 1) / (n + 2)).cast("double")))
-    first = F.greatest(low, mode - F.ceil(F.lit(SPREAD) * sd) - 4)
-    last = F.least(high, mode + F.ceil(F.lit(SPREAD) * sd) + 4)
-    # Walking out from the mode, a state holds p relative to the mode, the sum of all p passed, and the pick.
-    up = _steps(mode + 1, last)
-    down = F.reverse(_steps(first, mode - 1))
-    higher = lambda p, x: p * (k - x + 1) * (m - x + 1) / (x * (n - k - m + x))  # noqa: E731  p(x) from p(x - 1)
-    lower = lambda p, x: p * (x + 1) * (n - k - m + x + 1) / ((k - x) * (m - x))  # noqa: E731  p(x) from p(x + 1)
-    above, below = _walk(up, higher)["sum"], _walk(down, lower)["sum"]
-    aim = u * (F.lit(1.0) + above + below)
-    upward, downward = _walk(up, higher, aim - 1)["x"], _walk(down, lower, aim - 1 - above)["x"]
-    pick = F.when(aim <= 1, mode).when(aim <= 1 + above, F.coalesce(upward, last)).otherwise(F.coalesce(downward, first))
-    return F.when(low >= high, low).otherwise(pick).cast("long")
+    given = F.struct(total.cast("double").alias("n"), marked.cast("double").alias("k"), draws.cast("double").alias("m"), u.alias("u"))
+
+    def ranged(g: Column) -> Column:
+        n, k, m = g["n"], g["k"], g["m"]
+        variance = m * (k / n) * (1 - k / n) * (n - m) / F.greatest(n - 1, F.lit(1.0))
+        return _let(F.struct(
+            F.greatest(F.lit(0.0), m + k - n).alias("low"), F.least(k, m).alias("high"), F.floor((m + 1) * (k + 1) / (n + 2)).cast("double").alias("mode"),
+            (F.ceil(F.lit(SPREAD) * F.sqrt(F.greatest(F.lit(0.0), variance))) + 4).alias("reach")), lambda r: centred(g, r))
+
+    def centred(g: Column, r: Column) -> Column:
+        mode = F.greatest(r["low"], F.least(r["high"], r["mode"]))
+        drawn = _let(F.struct(mode.alias("mode"), F.greatest(r["low"], mode - r["reach"]).alias("first"), F.least(r["high"], mode + r["reach"]).alias("last")), lambda v: picked(g, v))
+        return F.when(r["low"] >= r["high"], r["low"]).otherwise(drawn)
+
+    def picked(g: Column, v: Column) -> Column:
+        # Walking out from the mode, a state holds p relative to the mode, the sum of all p passed, and the pick.
+        n, k, m = g["n"], g["k"], g["m"]
+        up, down = _steps(v["mode"] + 1, v["last"]), F.reverse(_steps(v["first"], v["mode"] - 1))
+        higher = lambda p, x: p * (k - x + 1) * (m - x + 1) / (x * (n - k - m + x))  # noqa: E731  p(x) from p(x - 1)
+        lower = lambda p, x: p * (x + 1) * (n - k - m + x + 1) / ((k - x) * (m - x))  # noqa: E731  p(x) from p(x + 1)
+        sums = F.struct(_walk(up, higher)["sum"].alias("above"), _walk(down, lower)["sum"].alias("below"))
+        return _let(sums, lambda w: _let(g["u"] * (F.lit(1.0) + w["above"] + w["below"]), lambda aim: (
+            F.when(aim <= 1, v["mode"])
+            .when(aim <= 1 + w["above"], F.coalesce(_walk(up, higher, aim - 1)["x"], v["last"]))
+            .otherwise(F.coalesce(_walk(down, lower, aim - 1 - w["above"])["x"], v["first"])))))
+
+    return _let(given, ranged).cast("long")
 
 
 def _steps(a: Column, b: Column) -> Column:
@@ -97,44 +113,41 @@ def _steps(a: Column, b: Column) -> Column:
 
 def _walk(steps: Column, p_of: Callable[[Column, Column], Column], aim: Column | None = None) -> Column:
     aim = F.lit(float("inf")) if aim is None else aim
+    start = F.struct(F.lit(1.0).alias("p"), F.lit(0.0).alias("sum"), F.lit(None).cast("double").alias("x"))
 
     def step(s: Column, i: Column) -> Column:
-        p = p_of(s["p"], i.cast("double"))
-        hit = F.when(s["x"].isNull() & (s["sum"] + p >= aim), i.cast("double")).otherwise(s["x"])
-        return F.struct(p.alias("p"), (s["sum"] + p).alias("sum"), hit.alias("x"))
+        return _let(p_of(s["p"], i.cast("double")), lambda p: F.struct(
+            p.alias("p"), (s["sum"] + p).alias("sum"), F.when(s["x"].isNull() & (s["sum"] + p >= aim), i.cast("double")).otherwise(s["x"]).alias("x")))
 
-    return F.aggregate(steps, F.struct(F.lit(1.0).alias("p"), F.lit(0.0).alias("sum"), F.lit(None).cast("double").alias("x")), step)
+    return F.aggregate(steps, start, step)
 
 
 def split(quotas: Column, draws: Column, *seed: Column) -> Column:
     """Multivariate-hypergeometric counts: of ``draws`` from all the ``quotas`` (array of long), how many each gets."""
     def step(s: Column, q: Column) -> Column:
-        got = hypergeometric(s["left"], q, s["draws"], _uniform(*seed, F.size(s["out"])))
-        got = F.when(s["left"] > 0, got).otherwise(F.lit(0).cast("long"))
-        return F.struct((s["left"] - q).alias("left"), s["draws"].alias("draws"), F.concat(s["out"], F.array(got)).alias("out"))
-
-    def taken(s: Column, q: Column) -> Column:
-        t = step(s, q)
-        return F.struct(t["left"].alias("left"), (s["draws"] - F.element_at(t["out"], -1)).alias("draws"), t["out"].alias("out"))
+        got = F.when((q > 0) & (s["draws"] > 0), hypergeometric(s["left"], q, s["draws"], _uniform(*seed, F.size(s["out"])))).otherwise(F.lit(0).cast("long"))
+        return _let(got, lambda x: F.struct((s["left"] - q).alias("left"), (s["draws"] - x).alias("draws"), F.concat(s["out"], F.array(x)).alias("out")))
 
     start = F.struct(F.aggregate(quotas, F.lit(0).cast("long"), lambda a, q: a + q).alias("left"), draws.cast("long").alias("draws"), F.array().cast("array<bigint>").alias("out"))
-    return F.aggregate(quotas, start, taken)["out"]
+    return F.aggregate(quotas, start, step)["out"]
 
 
 def splitting_tree(quotas: DataFrame, shards: int) -> DataFrame:
-    """(shard, i, n): how many draws of the i-th quota each shard gets. ``quotas`` is one row with an array ``q``."""
-    nodes = quotas.select(F.lit(0).alias("node"), F.lit(0).alias("first"), F.lit(shards).alias("wide"), "q")
+    """(shard, i, n): how many draws of the i-th quota each shard gets. ``quotas`` is one row with an array ``q``.
+
+    Each level is a small table of its own: nodes are at most the shards, a node has one number per source.
+    """
+    nodes = quotas.select(F.lit(0).cast("long").alias("node"), F.lit(0).alias("first"), F.lit(shards).alias("wide"), "q")
     for _ in range(math.ceil(math.log2(shards)) if shards > 1 else 0):
         half = F.floor((F.col("wide") + 1) / 2).cast("int")
         every = F.aggregate("q", F.lit(0).cast("long"), lambda a, x: a + x)
-        left = F.when(F.col("wide") > 1, split(F.col("q"), F.floor(every * half / F.col("wide")), F.lit(29), F.col("node"))).otherwise(F.col("q"))
-        cut = nodes.withColumn("half", half).withColumn("l", left)
-        child = F.explode(F.when(F.col("wide") > 1, F.array(
-            F.struct((2 * F.col("node") + 1).alias("node"), F.col("first"), F.col("half").alias("wide"), F.col("l").alias("q")),
-            F.struct((2 * F.col("node") + 2).alias("node"), (F.col("first") + F.col("half")).alias("first"), (F.col("wide") - F.col("half")).alias("wide"),
-                     F.zip_with("q", "l", lambda x, y: x - y).alias("q")),
-        )).otherwise(F.array(F.struct("node", "first", "wide", "q"))))
-        nodes = cut.select(child.alias("c")).select("c.*")
+        left = split(F.col("q"), F.floor(every * half / F.col("wide")), F.lit(29), F.col("node"))
+        cut = nodes.withColumn("half", half).withColumn("cut", F.when(F.col("wide") > 1, _let(left, lambda x: F.array(x, F.zip_with("q", x, lambda p, r: p - r)))).otherwise(F.array("q")))
+        child = cut.select("node", "first", "wide", "half", F.posexplode("cut").alias("side", "q"))
+        lone = F.col("wide") == 1
+        nodes = stored(child.select(
+            F.when(lone, F.col("node")).otherwise(2 * F.col("node") + 1 + F.col("side")).alias("node"), (F.col("first") + F.col("side") * F.col("half")).alias("first"),
+            F.when(lone, F.lit(1)).when(F.col("side") == 0, F.col("half")).otherwise(F.col("wide") - F.col("half")).alias("wide"), "q"))
     return nodes.select(F.col("first").alias("shard"), F.posexplode("q").alias("i", "n")).where("n > 0")
 
 
