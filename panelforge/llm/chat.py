@@ -20,6 +20,8 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
+from panelforge.llm.common import stored
+
 BLOCK = 256
 _LOW = (1 << 32) - 1
 
@@ -52,10 +54,10 @@ def prefixes(turns: DataFrame) -> DataFrame:
 
 def maximal(rolled: DataFrame) -> DataFrame:
     """(c, total, copies) of the conversations that stay."""
-    ends = rolled.where("n = total").select("c", "n", "lo", "hi")
+    # Equal conversations become one row before they meet the prefixes.
+    ends = rolled.where("n = total").groupBy("n", "lo", "hi").agg(F.min("c").alias("c"), F.count(F.lit(1)).alias("copies"))
     inner = rolled.where("n < total").select("n", "lo", "hi").distinct()
-    longest = ends.join(inner, ["n", "lo", "hi"], "left_anti")
-    return longest.groupBy("n", "lo", "hi").agg(F.min("c").alias("c"), F.count(F.lit(1)).alias("copies")).select("c", F.col("n").alias("total"), "copies")
+    return ends.join(inner, ["n", "lo", "hi"], "left_anti").select("c", F.col("n").alias("total"), "copies")
 
 
 def render(turns: DataFrame, blocks: DataFrame) -> DataFrame:
@@ -71,7 +73,7 @@ def render(turns: DataFrame, blocks: DataFrame) -> DataFrame:
 def format_chats(log: DataFrame, conv_col: str = "conv_id", turn_col: str = "turn", role_col: str = "role", text_col: str = "text") -> DataFrame:
     """(conv_id, part, n_turns, copies, part_turns, text) of every maximal conversation; ``copies`` counts the equal ones."""
     turns = _turns(log, conv_col, turn_col, role_col, text_col)
-    rolled = prefixes(turns)
+    rolled = stored(prefixes(turns))  # no texts
     kept = maximal(rolled)
     blocks = rolled.select("c", "block").distinct().join(kept, "c")
     return render(turns, blocks)
