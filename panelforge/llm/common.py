@@ -100,17 +100,18 @@ def hex64(column: str) -> Column:
 def components(edges: DataFrame) -> DataFrame:
     """(node, root) of every node of the undirected ``edges`` (a, b); the root is the smallest node of its component.
 
-    Alternates two star contractions until nothing changes. Each keeps one edge per node and neighbour, aggregates
-    before the shuffle, and writes its edges to the shared folder; the join on a hub is one that AQE may split.
+    Alternates two star contractions until nothing changes. Each aggregates before the shuffle and writes its edges to the
+    shared folder. The smallest neighbours are written too, so that both sides of the join on a hub are plain shuffles, which AQE can split.
     """
     now = stored(edges.select(F.greatest("a", "b").alias("u"), F.least("a", "b").alias("v")).where("u <> v").distinct())
     seen = None
     while True:
         both = now.union(now.select(F.col("v").alias("u"), F.col("u").alias("v")))
-        low = both.groupBy("u").agg(F.least(F.col("u"), F.min("v")).alias("m"))
+        low = stored(both.groupBy("u").agg(F.least(F.col("u"), F.min("v")).alias("m")))
         # now holds u > v: the larger neighbour u of v moves to the smallest neighbour of v.
         large = now.select(F.col("v").alias("u"), F.col("u").alias("far")).join(low, "u").select(F.col("far").alias("u"), F.col("m").alias("v")).distinct()
-        low = large.groupBy("u").agg(F.min("v").alias("m"))
+        large = stored(large)
+        low = stored(large.groupBy("u").agg(F.min("v").alias("m")))
         small = large.join(low, "u").select(F.col("v").alias("u"), F.col("m").alias("v")).where("u <> v")
         now = stored(small.union(low.select("u", F.col("m").alias("v"))).distinct())
         state = now.agg(F.count(F.lit(1)), F.sum(F.xxhash64("u", "v").cast("decimal(38,0)"))).first()

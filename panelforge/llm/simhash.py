@@ -238,7 +238,7 @@ def near_duplicates(
     marked = stored(fingerprints(docs, words, id_col, text_col))
     nodes = marked.groupBy("fp").agg(F.min("doc_id").alias("first_id"))
     roots = components(links(nodes.select("fp"), bits, cell_rows)).withColumnRenamed("node", "fp")
-    classes = nodes.join(roots, "fp", "left").withColumn("root", F.coalesce("root", "fp"))
-    smallest = classes.groupBy("root").agg(F.min("first_id").alias("component_id"))
+    classes = stored(nodes.join(roots, "fp", "left").withColumn("root", F.coalesce("root", "fp")))
+    smallest = stored(classes.groupBy("root").agg(F.min("first_id").alias("component_id")))  # so that AQE can split the join on a large component
     classes = classes.join(smallest, "root").select("fp", "component_id")
     return marked.join(classes, "fp").select("doc_id", hex64("fp").alias("fingerprint"), "component_id")

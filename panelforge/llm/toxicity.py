@@ -25,7 +25,9 @@ from panelforge.llm.common import as_bytes, map_texts, slices
 BITS = 20
 #: Labelled documents that are learned from, at most: those with the smallest hash of their id.
 SAMPLE_ROWS = 12_000
+#: Tasks that learn, at most, and labelled documents that each needs at least.
 SHARDS = 4
+SHARD_ROWS = 3_000
 EPOCHS = 3
 ALPHA, BETA, L1, L2 = 2.0, 1.0, 5.0, 0.1
 STEM = 4
@@ -91,6 +93,7 @@ def learn(
         labels.where(F.col(label_col).isNotNull()).select(F.xxhash64(F.col(id_col).cast("string")).alias("_h"), F.col(id_col).alias("_id"), F.col(label_col).cast("int").alias("_label"))
         .orderBy("_h", "_id", "_label").limit(sample_rows)
     )
+    shards = max(1, min(shards, chosen.count() // SHARD_ROWS))
     texts = docs.where(F.col(text_col).isNotNull()).select(F.col(id_col).alias("_id"), F.col(text_col).alias("_text"))
     rows = texts.join(F.broadcast(chosen), "_id").select("_h", "_label", "_text", F.pmod(F.col("_h"), F.lit(shards)).alias("_shard"))
     rows = rows.repartition(8 * shards, "_shard").sortWithinPartitions("_shard", "_h", "_label", "_text")
