@@ -368,7 +368,7 @@ def test_main_text(wrap):
 
 
 def test_pages_without_article(spark):
-    rows = [(1, "u", None), (2, "u", ""), (3, None, "just text &eacute;"), (4, "u", "<nav>menu</nav>"), (5, "u", "<p" * 20_000), (6, "u", "<div>" * 5_000 + "deep text")]
+    rows = [(1, "u", None), (2, "u", ""), (3, None, "just text &eacute;"), (4, "u", "<nav>menu</nav>"), (5, "u", "<p>" * 20_000), (6, "u", "<div>" * 5_000 + "deep text")]
     got = {r["page_id"]: (r["text"], r["n_chars"]) for r in html_text.extract(spark.createDataFrame(rows, "page_id long, url string, html string").withColumn("text", F.lit("clash"))).collect()}
     assert got == {1: ("", 0), 2: ("", 0), 3: ("just text é", 11), 4: ("", 0), 5: ("", 0), 6: ("deep text", 9)}
 
