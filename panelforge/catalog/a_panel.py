@@ -92,6 +92,20 @@ full_panel AS (SELECT f.*, ma.value AS idx, mb.value AS aud, mc.value AS rate FR
   ASOF LEFT JOIN mb ON f.ts >= mb.ts ASOF LEFT JOIN mc ON f.ts >= mc.ts)"""
 query("pnl06_macro_asof", lambda i: rounded(P.long_to_wide(i.long, ["LastDiv"], ["MACRO_^IDX_Close", "MACRO_AUD+X_Close", "MACRO_rate"], ("Close",)), 4),
       f"WITH {LONG}{MACRO_ASOF} " + keyed({"Close": "c", "LastDiv": "div", "MACRO_^IDX_Close": "idx", "MACRO_AUD+X_Close": "aud", "MACRO_rate": "rate"}, "full_panel", 4))
+
+
+def _corrected(i: Inputs):
+    """The long table as delivered second, after a wrong first delivery and before corrected closing prices."""
+    first = i.long.withColumn("value", F.col("value") * 2).withColumn(P.INGEST_ORDER, F.lit(0))
+    third = i.panel.filter("Volume > 30").select("timestamp", "ticker", F.lit("Close").alias("feature"), (F.col("Close") * 0.5).alias("value"), F.lit(2).alias(P.INGEST_ORDER))
+    return first.unionByName(i.long.withColumn(P.INGEST_ORDER, F.lit(1))).unionByName(third)
+
+
+query("pnl04_last_observation", lambda i: rounded(P.exact_pivot(P.classify_tickers(_corrected(i)), ("Close", "High", "Low", "Volume")), 4),
+      f"WITH {PANEL} {keyed({'Close': 'CASE WHEN v > 30 THEN c * 0.5 ELSE c END', 'High': 'h', 'Low': 'l', 'Volume': 'v'}, 'panel', 4)}")
+query("pnl06_found_columns", lambda i: rounded(P.long_to_wide(i.long, exact=("Close", "High", "Low", "Volume")), 4),
+      f"WITH {LONG}{MACRO_ASOF}, every AS (SELECT f.*, p.h, p.l, p.v FROM full_panel f JOIN panel p USING (ts, ticker)) " + keyed({
+          "Close": "c", "High": "h", "Low": "l", "Volume": "v", "LastDiv": "div", "MACRO_^IDX_Close": "idx", "MACRO_AUD+X_Close": "aud", "MACRO_rate": "rate"}, "every", 4))
 query("pnl07_drop_sparse", lambda i: rounded(P.drop_sparse(i.panel.select("timestamp", "ticker", "Close", "Dividend"), 0.5), 4),
       f"WITH {PANEL} {keyed({'Close': 'c'}, 'panel', 4)}")
 query("pnl07_null_fractions", lambda i: rounded(P.null_fractions(i.panel.select("timestamp", "Close", "Dividend"))),

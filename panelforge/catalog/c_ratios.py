@@ -11,6 +11,7 @@ from panelforge.operators import lagma as L
 from panelforge.operators import ratios as R
 from panelforge.operators import technical as T
 from panelforge.operators.groups import apply_groups
+from panelforge.operators.ordered import average_ranks
 from panelforge.operators.panel import macro_asof
 
 KEY = ["timestamp", "ticker"]
@@ -161,6 +162,25 @@ q("xsf01_date_percentiles", ranked_features, {f"Rank_{c}": rank_sql(c) for c in
   f"""{F0}, base AS (SELECT ts, ticker, {', '.join(f"{r(f'CASE WHEN n >= {50 if c in TEC else 260} THEN {TEC.get(c) or ALP[c]} END', c)}" for c in RANKS)} FROM f2)@@base""")
 
 
+def _repeated(i: Inputs):
+    """Rows that repeat, rows without a ticker, and rows without a day."""
+    rows = i.panel.select("timestamp", "ticker", "Close", F.col("Volume").cast("bigint").alias("Volume"))
+    twice = rows.filter("Volume > 30").withColumn("ticker", F.lit(None).cast("string"))
+    return rows.union(rows.filter("Volume > 20")).union(twice).union(twice.withColumn("timestamp", F.lit(None).cast("bigint")))
+
+
+def _tied(c: str) -> str:
+    by = f"OVER (PARTITION BY ts ORDER BY {c}"
+    return f"(rank() {by}) + count(*) {by} RANGE BETWEEN UNBOUNDED PRECEDING AND CURRENT ROW)) / 2.0"
+
+
+query("xsf01_repeated_keys", lambda i: rounded(average_ranks(_repeated(i), ["Close", "Volume"], ["timestamp"]), 4),
+      f"""WITH {PANEL}, own AS (SELECT ts, ticker, c, v FROM panel), few AS (SELECT ts, NULL AS ticker, c, v FROM panel WHERE v > 30),
+      rep AS (SELECT * FROM own UNION ALL SELECT * FROM own WHERE v > 20 UNION ALL SELECT * FROM few UNION ALL SELECT NULL, ticker, c, v FROM few)
+      SELECT ts AS "timestamp", ticker, {r('c', 'Close', 4)}, CAST(v AS BIGINT) AS "Volume", {r(_tied('c'), '_rank_Close', 4)}, {r(_tied('v'), '_rank_Volume', 4)},
+      count(c) OVER (PARTITION BY ts) AS "_count_Close", count(v) OVER (PARTITION BY ts) AS "_count_Volume" FROM rep""")
+
+
 # --- generated lags -------------------------------------------------------
 def lag_sql(configs, scope: str, columns: dict[str, str]) -> dict[str, str]:
     """Twin of the generated columns for sources given as {name: SQL column}."""

@@ -83,6 +83,8 @@ REBAL = """dd AS (SELECT DISTINCT ts FROM pred), rb AS (SELECT min(ts) AS ts FRO
   SELECT (SELECT min(d.ts) FROM dd d WHERE d.ts >= rb.ts + {h}) FROM rb WHERE rb.ts IS NOT NULL), rebal AS (SELECT ts FROM rb WHERE ts IS NOT NULL)"""
 query("spl04_rebalance_dates", lambda i: L.rebalance_dates(i.predictions, 30),
       f"{P.replace('WITH', 'WITH RECURSIVE', 1)}, {REBAL.format(h=30 * DAY)} SELECT {TS} FROM rebal")
+query("spl04_daily_dates", lambda i: L.rebalance_dates(i.predictions, 1),
+      f"{P.replace('WITH', 'WITH RECURSIVE', 1)}, {REBAL.format(h=DAY)} SELECT {TS} FROM rebal")
 
 SCALED = ("Close", "Volume", "Flag")
 

@@ -107,7 +107,7 @@ def add_cluster_features(df: DataFrame, clusters: DataFrame) -> DataFrame:
     """Cluster, its size and mean on the date, and the price's percentile inside it."""
     keys = ["timestamp", "Cluster"]
     rows = with_cluster(df, clusters)
-    ranked = average_ranks(rows, ["Close"], keys, ["ticker"])
+    ranked = average_ranks(rows, ["Close"], keys)
     totals = rows.groupBy(*keys).agg(F.count(F.lit(1)).alias("Cluster_Size"), F.avg("Close").alias("_mean"))
     joined = lookup(ranked, totals, keys)
     pct = F.try_divide(F.col("_rank_Close"), F.col("_count_Close"))
@@ -157,7 +157,7 @@ def describe_clusters(panel: DataFrame, clusters: DataFrame, lookback: int = 250
 def performance_by_cluster(predictions: DataFrame, clusters: DataFrame, min_rows: int = 5) -> DataFrame:
     """Per cluster with enough rows: counts, Pearson and rank correlation, hit rate, mean and deviation of returns."""
     rows = with_cluster(predictions, clusters).withColumnRenamed("Cluster", "cluster")
-    ranked = average_ranks(rows, ["predicted_score", "actual_return"], ["cluster"], ["timestamp", "ticker"])
+    ranked = average_ranks(rows, ["predicted_score", "actual_return"], ["cluster"])
     return ranked.groupBy("cluster").agg(
         F.count(F.lit(1)).alias("n_predictions"), F.count_distinct("ticker").alias("n_unique_tickers"),
         pearson("predicted_score", "actual_return").alias("pearson_ic"),

@@ -11,9 +11,9 @@ from pyspark.sql import types as T
 
 from panelforge.functions.columns import DAY_MS, clip
 from panelforge.operators.ordered import (
-    average_ranks, fill_last, fits_one_task, group_quantiles, lookup, number_rows,
+    average_ranks, fill_last, fits_one_task, group_quantiles, group_sizes, lookup, number_rows,
 )
-from panelforge.session import shared_folder
+from panelforge.session import max_group_rows, stored
 
 YEAR_DAYS = 365.25
 
@@ -64,7 +64,7 @@ def max_labelable_ts(max_ts: Column | int, days: int):
 
 def date_ranks(df: DataFrame, score: str, ascending: bool = False, name: str = "rank") -> DataFrame:
     """Tie-averaged rank of the score per timestamp."""
-    ranked = average_ranks(df, [score], ["timestamp"], ["ticker"])
+    ranked = average_ranks(df, [score], ["timestamp"])
     up = F.col(f"_rank_{score}")
     value = up if ascending else F.col(f"_count_{score}") + 1 - up
     return ranked.withColumn(name, value).select(*df.columns, name)
@@ -145,11 +145,15 @@ def temporal_validation(df: DataFrame, fraction: float = 0.2) -> DataFrame:
     return lookup(df, marked, ["timestamp"])
 
 
+# Up to this many distinct dates are folded in one row.
+FOLDED_DATES = 20_000
+
+
 def rebalance_dates(df: DataFrame, horizon_days: int) -> DataFrame:
     """Greedy non-overlapping dates: the first timestamp, then each next one at least a horizon later."""
     horizon = horizon_days * DAY_MS
     dates = df.select("timestamp").distinct()
-    if fits_one_task(dates, []):
+    if group_sizes(dates, []).total <= min(FOLDED_DATES, max_group_rows(df.sparkSession)):
         folded = dates.agg(F.sort_array(F.collect_list("timestamp")).alias("all")).select(F.aggregate(
             "all", F.expr("cast(array() as array<bigint>)"),
             lambda acc, t: F.when(
@@ -157,25 +161,23 @@ def rebalance_dates(df: DataFrame, horizon_days: int) -> DataFrame:
             ).otherwise(acc),
         ).alias("kept"))
         return folded.select(F.explode("kept").alias("timestamp"))
-    # Too many distinct dates for one task: jump from date to date over a written, sorted table, whose
-    # row-group statistics leave only the part around the next date to read. The number of jumps is the
-    # covered span over the horizon, whatever the row count.
-    spark = df.sparkSession
-    path = shared_folder(spark, "dates")
-    dates.repartitionByRange("timestamp").sortWithinPartitions("timestamp").write.parquet(path)
-    stored = spark.read.parquet(path)
-
-    def earliest(low: int, high: int | None) -> int | None:
-        rows = stored.filter(F.col("timestamp") >= low)
-        return (rows if high is None else rows.filter(F.col("timestamp") < high)).agg(F.min("timestamp")).first()[0]
-
-    kept, at = [], stored.agg(F.min("timestamp")).first()[0]
-    while at is not None:
-        kept.append((at,))
-        ahead = at + horizon
-        near = earliest(ahead, ahead + 2 * horizon)
-        at = earliest(ahead, None) if near is None else near
-    return spark.createDataFrame(kept, "timestamp bigint")
+    return _dates_by_doubling(stored(dates), horizon)
+
+
+def _dates_by_doubling(dates: DataFrame, horizon: int) -> DataFrame:
+    """The orbit of the first date under "next date a horizon later", in rounds that double the reach of a jump."""
+    none = F.lit(None).cast("bigint")
+    asked = dates.select((F.col("timestamp") + horizon).alias("at"), F.lit(0).alias("known"), "timestamp", none.alias("next"))
+    known = dates.select(F.col("timestamp").alias("at"), F.lit(1).alias("known"), none.alias("timestamp"), F.col("timestamp").alias("next"))
+    filled = fill_last(asked.unionByName(known), ["next"], [], ["at", "known"], backward=True)
+    jump = stored(filled.filter("known = 0 and next is not null").select("timestamp", "next"))
+    kept = stored(dates.agg(F.min("timestamp").alias("timestamp")).filter("timestamp is not null"))
+    while True:
+        reached = kept.join(jump, "timestamp").select(F.col("next").alias("timestamp"))
+        if reached.isEmpty():
+            return kept
+        kept = stored(kept.union(reached))
+        jump = stored(jump.join(jump.select(F.col("timestamp").alias("next"), F.col("next").alias("far")), "next").select("timestamp", F.col("far").alias("next")))
 
 
 @dataclass(frozen=True)

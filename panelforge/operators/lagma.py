@@ -6,7 +6,7 @@ import re
 from collections.abc import Sequence
 from dataclasses import dataclass
 
-from pyspark.sql import Column, DataFrame, Window
+from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from panelforge.functions.columns import pct, rmean, rstd
@@ -14,7 +14,7 @@ from panelforge.operators.ordered import over_series
 
 # Name parts that mark a column as generated.
 GENERATED = ("_Lag_", "_MA_", "_Mom_", "_Spike", "_Vol_")
-# From this length on a moving mean is taken from running totals instead of a recomputed frame.
+# From this length on a moving mean adds up doubled sums instead of its whole frame; both read the same rows.
 LONG_FRAME = 252
 
 
@@ -120,22 +120,42 @@ def add_lag_features(df: DataFrame, configs: Sequence[LagConfig], scope: str) ->
             made[x] = F.col(f"`{s}`").cast("double")
         return made
 
-    def totals(w) -> dict[str, Column]:
-        so_far = w.spec.rowsBetween(Window.unboundedPreceding, 0)
-        made = {}
-        for _, x, config, plan in jobs:
-            made[f"{x}_sum"], made[f"{x}_n"] = F.sum(x).over(so_far), F.count(x).over(so_far)
-            if any(r[0] == "vol" for r in plan.values()):
-                made[f"{x}_pct"] = pct(x, 1, w)
-        return made
+    deep = [n for n in windows if n >= LONG_FRAME]
+    depth = max(n.bit_length() for n in deep) if deep else 0
+
+    def doubled(level: int):
+        """Sums and counts of the last 2**level rows, each from two halves, so nothing outside a frame touches it."""
+        def stage(w) -> dict[str, Column]:
+            made = {}
+            for _, x, _c, plan in jobs:
+                if level == 0:
+                    made[f"{x}_s0"], made[f"{x}_n0"] = F.coalesce(x, F.lit(0.0)), F.col(x).isNotNull().cast("int")
+                    continue
+                for part in ("s", "n"):
+                    half = f"{x}_{part}{level - 1}"
+                    made[f"{x}_{part}{level}"] = F.col(half) + F.coalesce(w.lag(half, 2 ** (level - 1)), F.lit(0))
+            return made
+        return stage
+
+    def changes(w) -> dict[str, Column]:
+        return {f"{x}_pct": pct(x, 1, w) for _, x, _c, plan in jobs if any(r[0] == "vol" for r in plan.values())}
+
+    def framed(x: str, part: str, n: int, w) -> Column:
+        """Sum over the last n rows: one doubled sum for each binary digit of n."""
+        total, passed = F.lit(0), 0
+        for bit in range(n.bit_length()):
+            if n >> bit & 1:
+                name = f"{x}_{part}{bit}"
+                total = total + (F.coalesce(w.lag(name, passed), F.lit(0)) if passed else F.col(name))
+                passed += 2**bit
+        return total
 
     def mean(x: str, n: int, config: LagConfig, w) -> Column:
         need = max(1, int(n * config.min_periods_ratio))
         if n < LONG_FRAME:
             return rmean(x, n, w, need)
-        total = F.coalesce(F.col(f"{x}_sum"), F.lit(0.0)) - F.coalesce(w.lag(f"{x}_sum", n), F.lit(0.0))
-        count = F.col(f"{x}_n") - F.coalesce(w.lag(f"{x}_n", n), F.lit(0))
-        return F.when(count >= need, total / F.when(count > 0, count))
+        count = framed(x, "n", n, w)
+        return F.when(count >= need, framed(x, "s", n, w) / F.when(count > 0, count))
 
     def finish(w) -> dict[str, Column]:
         made: dict[str, Column] = {}
@@ -157,7 +177,7 @@ def add_lag_features(df: DataFrame, configs: Sequence[LagConfig], scope: str) ->
         return made
 
     keys = ("ticker",) if scope == "ticker" else ()
-    return over_series(df, [sources, totals, finish], max(windows) + 1, keys=keys)
+    return over_series(df, [sources, changes, *[doubled(k) for k in range(depth)], finish], max(windows) + 1, keys=keys)
 
 
 def add_all_ticker_lags(df: DataFrame) -> DataFrame:

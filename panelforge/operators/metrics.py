@@ -36,7 +36,7 @@ def rank_ic_by_date(df: DataFrame, min_stocks: int = 5) -> DataFrame:
     """(timestamp, rank_ic, n): correlation of tie-averaged ranks of complete pairs."""
     rows = _pairs(df)
     complete = rows.filter(f"{SCORE} is not null and {ACTUAL} is not null")
-    ranked = average_ranks(complete, [SCORE, ACTUAL], ["timestamp"], ["ticker"]).select(
+    ranked = average_ranks(complete, [SCORE, ACTUAL], ["timestamp"]).select(
         "timestamp", F.col(f"_rank_{SCORE}").alias("a"), F.col(f"_rank_{ACTUAL}").alias("b"))
     out = ranked.groupBy("timestamp").agg(_guarded_corr("a", "b").alias("rank_ic"))
     sizes = rows.groupBy("timestamp").agg(F.count(F.lit(1)).alias("n")).filter(F.col("n") >= min_stocks)

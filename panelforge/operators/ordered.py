@@ -5,9 +5,8 @@ group in order. Where every group is known to be small that is a plain window
 (one shuffle). A group that is too long for one task is cut into contiguous
 blocks instead: rows are range-partitioned on (keys, order), the partition tag
 is checkpointed, and only one summary row per (group, block) crosses block
-borders. Both layouts give the same rows; the measured group size decides.
-
-Group keys must not be null.
+borders. Both layouts give the same rows, null keys and repeated rows included;
+the measured group size decides.
 """
 
 from __future__ import annotations
@@ -16,18 +15,18 @@ import math
 from collections.abc import Callable, Sequence
 from contextlib import contextmanager
 from dataclasses import dataclass
+from functools import reduce
 
 from pyspark.sql import Column, DataFrame, Window, WindowSpec
 from pyspark.sql import functions as F
+from pyspark.sql import types as T
 
 from panelforge.session import ensure_checkpoint_dir, max_broadcast_rows, max_group_rows
 
 # Range partitioning samples rows per partition on the driver, so their number stops here and blocks grow instead.
 MAX_BLOCKS = 20_000
-
-
-# Up to this many columns are ranked by a window each.
-FEW_RANKS = 4
+# Largest table that is sent to all tasks, by the width of its columns.
+BROADCAST_BYTES = 64_000_000
 
 
 @dataclass(frozen=True)
@@ -82,7 +81,7 @@ def fits_one_task(df: DataFrame, keys: Sequence[str]) -> bool:
 
 
 def fits_broadcast(table: DataFrame, on: Sequence[str], one_per_key: bool) -> bool:
-    limit = max_broadcast_rows(table.sparkSession)
+    limit = min(max_broadcast_rows(table.sparkSession), BROADCAST_BYTES // _row_bytes(table.schema))
     if one_per_key:
         for sizes, _ in reversed(_bounds):
             known = sizes().get(tuple(sorted(on)))
@@ -91,6 +90,18 @@ def fits_broadcast(table: DataFrame, on: Sequence[str], one_per_key: bool) -> bo
     return group_sizes(table, []).largest <= limit
 
 
+def _row_bytes(schema: T.StructType) -> int:
+    """Width of a row: 8 bytes a number, and a guess for what varies."""
+    return sum(64 if isinstance(f.dataType, (T.ArrayType, T.MapType, T.StructType, T.StringType, T.BinaryType)) else 8 for f in schema.fields) or 1
+
+
+def join_same(left: DataFrame, right: DataFrame, on: Sequence[str], how: str = "inner") -> DataFrame:
+    """Join on equal values, where null equals null."""
+    named = right.select(*[F.col(c).alias(f"_on_{i}") for i, c in enumerate(on)], *[c for c in right.columns if c not in on])
+    same = reduce(lambda a, b: a & b, [F.col(c).eqNullSafe(F.col(f"_on_{i}")) for i, c in enumerate(on)], F.lit(True))
+    return left.join(named, same, how).drop(*[f"_on_{i}" for i in range(len(on))])
+
+
 def _tagged(df: DataFrame, keys: Sequence[str], order: Sequence[str]) -> DataFrame:
     """Range-partition on (keys, order) and store each row's block number in ``_part``."""
     spark = df.sparkSession
@@ -120,7 +131,7 @@ def number_rows(df: DataFrame, keys: Sequence[str], order: Sequence[str]) -> Dat
     )
     inside = Window.partitionBy(*keys, "_part").orderBy(*order)
     return (
-        parts.join(starts, [*keys, "_part"])
+        join_same(parts, starts, [*keys, "_part"])
         .withColumn("_pos", F.col("_before") + F.row_number().over(inside) - 1)
         .drop("_before")
     )
@@ -238,7 +249,7 @@ def fill_last(
         *[F.last(f"_end_{i}", ignorenulls=True).over(prior).alias(f"_carry_{i}") for i in range(len(columns))],
     )
     local = parts.withColumns(filled([*keys, "_part"]))
-    out = local.join(carry, [*keys, "_part"])
+    out = join_same(local, carry, [*keys, "_part"])
     out = out.withColumns({c: F.coalesce(F.col(c), F.col(f"_carry_{i}")) for i, c in enumerate(columns)})
     return out.select(*df.columns)
 
@@ -262,7 +273,7 @@ def running(
     carry = ends.select(
         *keys, "_part", *[kinds[k](f"_end_{n}").over(prior).alias(f"_carry_{n}") for n, (k, _) in totals.items()]
     )
-    out = parts.withColumns(local([*keys, "_part"])).join(carry, [*keys, "_part"])
+    out = join_same(parts.withColumns(local([*keys, "_part"])), carry, [*keys, "_part"])
 
     def joined(name: str, kind: str) -> Column:
         mine, before = F.col(name), F.col(f"_carry_{name}")
@@ -275,16 +286,12 @@ def running(
     return out.withColumns({n: joined(n, k) for n, (k, _) in totals.items()}).select(*df.columns, *totals)
 
 
-def average_ranks(
-    df: DataFrame, columns: Sequence[str], keys: Sequence[str], row_id: Sequence[str]
-) -> DataFrame:
+def average_ranks(df: DataFrame, columns: Sequence[str], keys: Sequence[str]) -> DataFrame:
     """Add ``_rank_<c>`` (ascending, ties averaged, null for null) and ``_count_<c>`` (non-null rows) per group.
 
-    ``keys`` and ``row_id`` together identify a row.
+    Rows may repeat, keys may be null, and values are compared in their own type.
     """
-    keys, row_id, columns = list(keys), list(row_id), list(columns)
-    if fits_one_task(df, keys) and len(columns) > FEW_RANKS:
-        return _ranks_of_many(df, columns, keys, row_id)
+    keys, columns = list(keys), list(columns)
     if fits_one_task(df, keys):
         made: dict[str, Column] = {}
         for c in columns:
@@ -294,47 +301,18 @@ def average_ranks(
             made[f"_rank_{c}"] = F.when(F.col(c).isNotNull(), (F.rank().over(spec) + last) / 2.0)
             made[f"_count_{c}"] = F.count(c).over(Window.partitionBy(*keys))
         return df.withColumns(made)
-    tall = df.select(
-        *keys, *row_id,
-        F.explode(F.array(*[F.struct(F.lit(c).alias("f"), F.col(c).cast("double").alias("v")) for c in columns])).alias("_x"),
-    ).select(*keys, *row_id, F.col("_x.f").alias("_f"), F.col("_x.v").alias("_v")).filter("_v is not null")
-    numbered = number_rows(tall, [*keys, "_f"], ["_v", *row_id])
-    runs = numbered.groupBy(*keys, "_f", "_v", "_part").agg(F.min("_pos").alias("_lo"), F.max("_pos").alias("_hi"))
-    tied = Window.partitionBy(*keys, "_f", "_v")
-    runs = runs.select(
-        *keys, "_f", "_v", "_part", ((F.min("_lo").over(tied) + F.max("_hi").over(tied)) / 2.0 + 1).alias("_rank")
-    )
-    ranks = numbered.join(runs, [*keys, "_f", "_v", "_part"])
-    wide = ranks.groupBy(*keys, *row_id).agg(
-        *[F.max(F.when(F.col("_f") == c, F.col("_rank"))).alias(f"_rank_{c}") for c in columns]
-    )
+    out = df
+    for c in columns:
+        # A rank belongs to a value: distinct values with their counts are placed, and looked up again.
+        spread = df.filter(F.col(c).isNotNull()).groupBy(*keys, c).agg(F.count(F.lit(1)).alias("_n"))
+        placed = running(spread, {"_end": ("sum", F.col("_n"))}, keys, [c])
+        ranks = placed.select(*keys, c, (F.col("_end") - (F.col("_n") - 1) / 2.0).alias(f"_rank_{c}"))
+        out = join_same(out, ranks, [*keys, c], "left")
     counts = df.groupBy(*keys).agg(*[F.count(c).alias(f"_count_{c}") for c in columns])
-    out = df.join(wide, [*keys, *row_id], "left")
-    return lookup(out, counts, keys)
-
-
-def _ranks_of_many(df: DataFrame, columns: list[str], keys: list[str], row_id: list[str]) -> DataFrame:
-    """All columns in one sort of narrow (key, column, value) rows, instead of one sort of wide rows per column."""
-    ids = [*keys, *row_id]
-    values = F.array(*[F.col(c).cast("double") for c in columns])
-    tall = df.select(*ids, F.posexplode(values).alias("_f", "_v"))
-    spec = Window.partitionBy(*keys, "_f").orderBy(F.col("_v").asc_nulls_last())
-    last = F.count(F.lit(1)).over(spec.rangeBetween(Window.unboundedPreceding, Window.currentRow))
-    ranked = tall.select(
-        *ids, "_f", "_v", F.when(F.col("_v").isNotNull(), (F.rank().over(spec) + last) / 2.0).alias("_r"),
-        F.count("_v").over(Window.partitionBy(*keys, "_f")).alias("_n"),
-    )
-    # One entry per column, so the list has a fixed length; sorted by column number it is read by position.
-    gathered = ranked.groupBy(*ids).agg(F.sort_array(F.collect_list(F.struct("_f", "_v", "_r", "_n"))).alias("_all"))
-    made = []
-    for i, c in enumerate(columns):
-        one = F.col("_all")[i]
-        made += [one["_v"].cast(df.schema[c].dataType).alias(c), one["_r"].alias(f"_rank_{c}"), one["_n"].alias(f"_count_{c}")]
-    wide = gathered.select(*ids, *made)
-    others = [c for c in df.columns if c not in ids and c not in columns]
-    if others:
-        wide = wide.join(df.select(*ids, *others), ids)
-    return wide.select(*df.columns, *[f"{p}_{c}" for c in columns for p in ("_rank", "_count")])
+    if fits_broadcast(counts, keys, True):
+        counts = F.broadcast(counts)
+    out = join_same(out, counts, keys, "left")
+    return out.select(*df.columns, *[f"{p}_{c}" for c in columns for p in ("_rank", "_count")])
 
 
 def lookup(df: DataFrame, table: DataFrame, on: Sequence[str], how: str = "left", one_per_key: bool = True) -> DataFrame:
@@ -347,11 +325,17 @@ def lookup(df: DataFrame, table: DataFrame, on: Sequence[str], how: str = "left"
         return df.join(F.broadcast(table), on, how)
     if fits_one_task(df, on):
         return df.join(table, on, how)
-    salts = math.ceil(group_sizes(df, on).largest / max_group_rows(df.sparkSession)) * 2
+    ensure_checkpoint_dir(df.sparkSession)
+    # Only the hot keys are salted: their rows are dealt to several copies of their entry, all others join plainly.
+    limit = max_group_rows(df.sparkSession)
+    hot = df.groupBy(*on).agg(F.count(F.lit(1)).alias("_n")).filter(F.col("_n") > limit).select(*on).checkpoint()
+    hot = F.broadcast(hot) if group_sizes(hot, []).total <= max_broadcast_rows(df.sparkSession) else hot
+    salts = math.ceil(group_sizes(df, on).largest / limit) * 2
     rest = [c for c in df.columns if c not in on] or on
-    salted = df.withColumn("_salt", F.pmod(F.xxhash64(*rest), F.lit(salts)).cast("int"))
-    copies = table.withColumn("_salt", F.explode(F.sequence(F.lit(0), F.lit(salts - 1))))
-    return salted.join(copies, [*on, "_salt"], how).drop("_salt")
+    salted = df.join(hot, on, "left_semi").withColumn("_salt", F.pmod(F.xxhash64(*rest), F.lit(salts)).cast("int"))
+    copies = table.join(hot, on, "left_semi").withColumn("_salt", F.explode(F.sequence(F.lit(0), F.lit(salts - 1))))
+    plain = df.join(hot, on, "left_anti").join(table, on, how)
+    return plain.unionByName(salted.join(copies, [*on, "_salt"], how).drop("_salt"))
 
 
 def group_quantiles(df: DataFrame, keys: Sequence[str], value: str, probs: Sequence[float]) -> DataFrame:

@@ -11,11 +11,14 @@ from pyspark.sql import types as T
 
 from panelforge.functions.columns import DAY_MS, clip, finite
 from panelforge.operators.ordered import fill_last, lookup, over_series
+from panelforge.session import stored
 
 EXACT = ("Close", "Open", "High", "Low", "Volume", "AdjClose", "Dividend", "Split")
 LOCAL_SUFFIX = ".NZ"
 MACRO_PREFIX = "MACRO_"
 KEYS = ("timestamp", "ticker")
+# Says which of repeated observations came last, where the long table has such a column.
+INGEST_ORDER = "ingest_order"
 # Up to this many features a reshape is one conditional aggregate.
 WIDE_PIVOT = 50
 # Columns that are never model inputs.
@@ -53,10 +56,20 @@ def anchors(long: DataFrame) -> DataFrame:
 
 
 def _spread_features(long: DataFrame, keys: Sequence[str], features: Sequence[str]) -> DataFrame:
+    """A column per feature: the last of repeated observations by ``ingest_order``, or the largest where the rows carry no order."""
+    ordered = INGEST_ORDER in long.columns
     if len(features) > WIDE_PIVOT:
-        return long.groupBy(*keys).pivot("feature", list(features)).agg(F.max("value"))
+        value = F.max_by("value", F.when(F.col("value").isNotNull(), F.struct(INGEST_ORDER, "value"))) if ordered else F.max("value")
+        return long.groupBy(*keys).pivot("feature", list(features)).agg(value)
+
+    def one(f: str) -> Column:
+        mine = F.col("feature") == f
+        if not ordered:
+            return F.max(F.when(mine, F.col("value")))
+        return F.max_by("value", F.when(mine & F.col("value").isNotNull(), F.struct(INGEST_ORDER, "value")))
+
     # One shuffle instead of the pivot's two.
-    return long.groupBy(*keys).agg(*[F.max(F.when(F.col("feature") == f, F.col("value"))).alias(f) for f in features])
+    return long.groupBy(*keys).agg(*[one(f).alias(f) for f in features])
 
 
 def exact_pivot(long: DataFrame, features: Sequence[str] = EXACT) -> DataFrame:
@@ -95,11 +108,20 @@ def macro_asof(panel: DataFrame, macro: DataFrame, dates: DataFrame | None = Non
 
 
 def long_to_wide(
-    long: DataFrame, ticker_features: Sequence[str] = (), macro_features: Sequence[str] = (),
+    long: DataFrame, ticker_features: Sequence[str] | None = None, macro_features: Sequence[str] | None = None,
     exact: Sequence[str] = EXACT,
 ) -> DataFrame:
-    """The whole reshape: classify, prefix, anchor, exact pivot, as-of fills."""
+    """The whole reshape: classify, prefix, anchor, exact pivot, as-of fills.
+
+    Without lists every other feature of the tickers and every market-wide series is found and filled.
+    """
     rows = add_macro_prefix(classify_tickers(long))
+    if ticker_features is None or macro_features is None:
+        rows = stored(rows)  # the names are read before the values
+    if ticker_features is None:
+        ticker_features = [f for f in feature_names(rows.filter(F.col("ticker") != "")) if f not in {"Close", *exact}]
+    if macro_features is None:
+        macro_features = feature_names(rows.filter(F.col("ticker") == ""))
     wide = ticker_asof(rows, ticker_features, exact) if ticker_features else exact_pivot(rows, exact)
     if macro_features:
         wide = macro_asof(wide, macro_table(rows, macro_features), rows.filter((F.col("feature") == "Close") & (F.col("ticker") != "")))

@@ -58,20 +58,20 @@ def positions(
     sizes = rows.groupBy(*keys, "timestamp").agg(F.count(F.lit(1)).alias("_rows"))
     enough = sizes.withColumn("_c", F.explode(_config_rows(configs))).select("*", "_c.*").filter(
         F.col("_rows") >= F.col("top_n") + F.col("bottom_n")).select(*scope, "top_n", "shorts", "bps")
-    tagged = rows.withColumn("_c", F.explode(_config_rows(configs))).select(*rows.columns, "_c.config_id")
 
     def side(best: bool, limit: int, sign: int) -> DataFrame:
         order = F.col("_score").desc_nulls_last() if best else F.col("_score").asc_nulls_last()
-        place = F.row_number().over(Window.partitionBy(*scope).orderBy(order, F.col("ticker")))
-        return tagged.withColumn("_place", place).filter(F.col("_place") <= limit).withColumn("side", F.lit(sign))
+        place = F.row_number().over(Window.partitionBy(*keys, "timestamp").orderBy(order, F.col("ticker")))
+        return rows.withColumn("_place", place).filter(F.col("_place") <= limit).withColumn("side", F.lit(sign))
 
+    # Rows are ranked once, for the largest N; the configurations multiply only what was picked.
     picked = side(True, max(c.top_n for c in configs), 1)
     shorts = max(0 if c.long_only else c.bottom_n for c in configs)
     if shorts:
         picked = picked.unionByName(side(False, shorts, -1))
     count = F.when(F.col("side") == 1, F.col("top_n")).otherwise(F.col("shorts"))
-    # Both sides hold one row per date and config at most N times, so this joins small tables.
-    return picked.join(enough, scope).filter(F.col("_place") <= count).select(
+    # Both sides hold at most N rows per date, so this joins small tables.
+    return picked.join(enough, [*keys, "timestamp"]).filter(F.col("_place") <= count).select(
         *scope, "ticker", "side", (F.col("side") / count).alias("weight"), "actual_return", "bps")
 
 

@@ -233,7 +233,7 @@ def fear_attention(macro: DataFrame) -> DataFrame:
 def add_date_percentiles(df: DataFrame, columns: tuple[str, ...] = RANKED) -> DataFrame:
     """``Rank_<c>``: tie-averaged rank over the non-null count of the timestamp; one half where null."""
     present = [c for c in columns if c in df.columns]
-    ranked = average_ranks(df, present, ["timestamp"], ["ticker"])
+    ranked = average_ranks(df, present, ["timestamp"])
     return ranked.select(*df.columns, *[
         F.coalesce(F.try_divide(F.col(f"_rank_{c}"), F.col(f"_count_{c}")), F.lit(0.5)).alias(f"Rank_{c}") for c in present
     ])

@@ -118,3 +118,14 @@ def test_date_percentiles(spark):
     pdf = pd.DataFrame({"timestamp": [1] * 4, "ticker": list("abcd"), "RSI_14": [1.0, 2.0, 2.0, np.nan]})
     got = ratios.add_date_percentiles(frame(spark, pdf)).toPandas().sort_values("ticker")
     assert np.allclose(got["Rank_RSI_14"], [1 / 3, 2.5 / 3, 2.5 / 3, 0.5])
+
+
+def test_long_means_forget_an_infinity(spark):
+    pdf = walk(1, 700)
+    pdf.loc[5, "Close"] = np.inf
+    one = lagma.LagConfig(r"^Close$", "Px", mas=(251, 252, 300))
+    got = lagma.add_lag_features(frame(spark, pdf), [one], "ticker").toPandas().sort_values("timestamp").reset_index(drop=True)
+    close = pdf.sort_values("timestamp").reset_index(drop=True)["Close"]
+    for n in (251, 252, 300):
+        tail = got[f"Px_MA_{n}"][5 + n:]
+        assert np.allclose(tail, close[6:].rolling(n).mean()[n - 1:], rtol=1e-12)

@@ -82,7 +82,7 @@ def test_running(spark, layout, keys):
 def test_average_ranks(spark, layout):
     pdf = skewed()
     pdf["z"] = pdf["s"]
-    got = by_key(O.average_ranks(frame(spark, pdf), ["v", "z"], ["k"], ["t"]), "k", "t")
+    got = by_key(O.average_ranks(frame(spark, pdf), ["v", "z"], ["k"]), "k", "t")
     want = pdf.sort_values(["k", "t"]).reset_index(drop=True)
     for c in ("v", "z"):
         assert np.allclose(got[f"_rank_{c}"].astype(float), want.groupby("k")[c].rank(), equal_nan=True)
@@ -94,7 +94,7 @@ def test_ranks_of_many_columns(spark, layout):
     names = [f"c{i}" for i in range(6)]
     for i, c in enumerate(names):
         pdf[c] = pdf["s"] if i == 0 else np.round(pdf["v"] * (i + 1), 1)
-    got = by_key(O.average_ranks(frame(spark, pdf), names, ["k"], ["t"]), "k", "t")
+    got = by_key(O.average_ranks(frame(spark, pdf), names, ["k"]), "k", "t")
     want = pdf.sort_values(["k", "t"]).reset_index(drop=True)
     assert got.columns[: len(pdf.columns)].tolist() == pdf.columns.tolist() and len(got) == len(pdf)
     for c in [*names, "v"]:
@@ -134,3 +134,26 @@ def test_ewm_equals_pandas(spark, layout):
     for span in (12, 26):
         assert np.allclose(got[f"e{span}"], pdf["x"].ewm(span=span, adjust=False).mean(), rtol=1e-12)
     assert np.allclose(got["es"].astype(float), pdf["r"].ewm(span=20, min_periods=10).std(), rtol=1e-9, equal_nan=True)
+
+
+def test_null_keys_and_repeated_rows_stay(spark, layout):
+    pdf = skewed()
+    df = frame(spark, pdf).withColumn("k", F.when(F.col("t") % 3 == 0, F.lit(None)).otherwise(F.col("k").cast("string")))
+    df = df.withColumn("big", F.col("t").cast("long") % 2 + 9007199254740992).union(df.withColumn("big", F.lit(9007199254740993)).limit(60))
+    n = df.count()
+    assert O.number_rows(df, ["k"], ["t"]).count() == n
+    assert O.fill_last(df, ["s"], ["k"], ["t"]).count() == n
+    assert O.running(df, {"a": ("sum", F.col("v"))}, ["k"], ["t"]).count() == n
+    got = O.average_ranks(df, ["big", "v"], ["k"]).toPandas()
+    assert len(got) == n and got["big"].max() == 9007199254740993
+    want = df.toPandas()
+    by = lambda d: d.sort_values(["t", "big", "v"], na_position="first").reset_index(drop=True)
+    want["r"] = (want["big"] - 9007199254740992).groupby(want["k"].fillna("none")).rank()
+    assert np.allclose(by(got)["_rank_big"], by(want)["r"])
+
+
+def test_only_hot_keys_are_salted(spark, hot):
+    rows = [(1, i) for i in range(200)] + [(k, 0) for k in range(2, 12)] + [(None, 5)]
+    table = spark.createDataFrame([(k, k * 10) for k in range(1, 9)], "k int, x int")
+    got = O.lookup(spark.createDataFrame(rows, "k int, v int"), table, ["k"]).collect()
+    assert sorted((r["k"] or 0, r["v"], r["x"] or 0) for r in got) == sorted((k or 0, v, k * 10 if k and k < 9 else 0) for k, v in rows)
