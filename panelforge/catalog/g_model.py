@@ -4,8 +4,9 @@ from __future__ import annotations
 
 from pyspark.sql import functions as F
 
+from panelforge.catalog.a_panel import LONG, MACRO_ASOF
 from panelforge.catalog.b_features import ALP, F0, TEC
-from panelforge.catalog.base import DAY, PANEL, Inputs, keyed, labelled_cte, query, r, rounded
+from panelforge.catalog.base import DAY, PANEL, Inputs, keyed, labelled_cte, lag, query, r, rounded
 from panelforge.catalog.d_labels_metrics import P, TS
 from panelforge.operators import alpha as A
 from panelforge.operators import model as M
@@ -56,3 +57,9 @@ WIDE = ("RSI_14", "ROC_10", "NATR_14", "BB_Width_20", "Dist_MA_50", "Vol_20", "V
 DEEP = ("Rev_5d", "Trend_RSq_60", "IdioVol_20", "InfoDisc_63", "MAX_21d", "RelVol_20d", "MomAccel_21_63", "Near52wHigh")
 query("all_features", lambda i: rounded(E.add_features(i.panel), 6, ["timestamp", "ticker", *WIDE, *DEEP]),
       f"WITH {F0} " + keyed({**{c: f"CASE WHEN n >= 50 THEN {TEC[c]} END" for c in WIDE}, **{c: f"CASE WHEN n >= 260 THEN {ALP[c]} END" for c in DEEP}}, "f2"))
+# Generated lags have entries of their own; with them one run of the chain spends most of its time on compiling 395 columns.
+query("feature_chain_without_lags", lambda i: E.add_all_features(i.panel, i.macro, lags=False))
+query("plan_build_panel", lambda i: rounded(E.build_panel(i.long).select("timestamp", "ticker", "Close", "MACRO_rate"), 4),
+      f"""WITH {LONG}{MACRO_ASOF}, rets AS (SELECT ts, ticker, c, rate, c / nullif({lag('c')}, 0) - 1 AS ret FROM full_panel WHERE ts >= 946684800000),
+      trimmed AS (SELECT *, min(CASE WHEN abs(ret) > 2.0 THEN ts END) OVER (PARTITION BY ticker) AS first_ts FROM rets)
+      {keyed({'Close': 'c', 'MACRO_rate': 'rate'}, 'trimmed WHERE first_ts IS NULL OR ts >= first_ts', 4)}""")
