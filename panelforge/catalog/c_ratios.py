@@ -13,6 +13,7 @@ from panelforge.operators import technical as T
 from panelforge.operators.groups import apply_groups
 from panelforge.operators.ordered import average_ranks
 from panelforge.operators.panel import macro_asof
+from panelforge.session import stored
 
 KEY = ["timestamp", "ticker"]
 
@@ -205,6 +206,21 @@ DOLVOL = [L.TICKER_CONFIGS[0]]
 q("lag01_ticker", lambda i: L.add_lag_features(R.add_dollar_volume(i.panel).select(*KEY, "DollarVolume"), DOLVOL, "ticker"),
   lag_sql(DOLVOL, "ticker", {"DollarVolume": "x"}),
   f"{PANEL}, x0 AS (SELECT ts, ticker, v * c AS x FROM panel), x1 AS (SELECT *, {change('x', 1)} AS x_pct FROM x0)@@x1", 3)
+
+def declared(config: L.LagConfig) -> None:
+    """An entry for one declaration over all of its source columns, rounded first as for the ranks."""
+    names = L.matching([*TEC, *ALP], config.pattern)
+    q(f"lag01_{config.prefix.lower()}", lambda i: L.add_lag_features(stored(rounded(apply_groups(i.panel, [*T.TECHNICAL, *A.ALPHA]), 6, [*KEY, *names])), [config], "ticker"),
+      lag_sql([config], "ticker", {c: f'"{c}"' for c in names}),
+      f"""{F0}, base AS (SELECT ts, ticker, {', '.join(r(f'CASE WHEN n >= {50 if c in TEC else 260} THEN {TEC.get(c) or ALP[c]} END', c) for c in names)} FROM f2)@@base""", 3)
+
+
+for _config in L.TICKER_CONFIGS:
+    if L.matching([*TEC, *ALP], _config.pattern):
+        declared(_config)
+YIELD = [c for c in L.TICKER_CONFIGS if L.matching(["TrailingDivYield_252d"], c.pattern)]
+q("lag01_divyld", lambda i: L.add_lag_features(stored(rounded(R.add_dividend_yield(i.panel), 6, [*KEY, "TrailingDivYield_252d"])), YIELD, "ticker"),
+  lag_sql(YIELD, "ticker", {"TrailingDivYield_252d": "x"}), f"{PANEL}, base AS (SELECT ts, ticker, {r(DY, 'x')} FROM panel)@@base", 3)
 MACRO_SOURCES = {"MACRO_OECD_Consumer": "consumer", R.LONG_RATE: "lr", R.SHORT_RATE: "sr", "MACRO_GC=F_Close": "gold", "MACRO_^FTSE_Close": "ftse"}
 q("lag02_macro", lambda i: L.add_all_macro_lags(i.macro.select("timestamp", *[F.col(f"`{c}`") for c in MACRO_SOURCES])),
   lag_sql(L.MACRO_CONFIGS, "global", MACRO_SOURCES), f"{MACRO}@@macro", 4, ["timestamp"], MK)

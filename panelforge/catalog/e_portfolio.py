@@ -101,7 +101,7 @@ DREC = {**REC, "max_drawdown": "ddd", "annualized_volatility": "dv", "calmar": "
 query("prt07_backtest_daily", lambda i: rounded(tall(B.backtest(damped(i), CFG, 30, coarse(i))), 5),
       f"""{DP}, {hold(5, 5, 'sub')}, {nets(15.0)}, {RECORD}, {DAILY}, dst AS (SELECT count(*) AS dn, stddev_samp(ret) * {math.sqrt(252)!r} AS dv FROM drt),
       dw AS (SELECT ts, product(1 + ret) OVER (ORDER BY ts) AS w FROM drt), dmd AS (SELECT max((m - w) / m) AS ddd FROM (SELECT w, max(w) OVER (ORDER BY ts) AS m FROM dw)) {tall_sql(DREC, 'bt, md, dst, dmd WHERE n > 0', 5)}""")
-TRIALS = 20
+TRIALS = 100
 query("prt08_random_baseline", lambda i: rounded(tall(B.random_baseline(damped(i), CFG, 30, TRIALS, 0.5))),
       f"""{DP}, sco AS (SELECT CAST(t AS INT) AS trial, ts, ticker, r, md5('42|' || t || '|' || ts || '|' || ticker) AS s FROM sub, range({TRIALS}) AS x(t)),
       {hold(5, 5, 'sco', 's', 'trial, ts')}, {nets(15.0, 'trial, ')},
