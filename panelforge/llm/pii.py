@@ -3,8 +3,9 @@
 Patterns give the base spans. The field then labels further mentions in a document. Its nodes are the base spans, which
 are observed, the tokens outside them that hold a digit or an ``@``, and the tokens that repeat a part of a base span. Its edges
 are the chain (next node, at most ``CHAIN`` characters on) and skip edges between distant mentions that are alike: the same letters and digits, the same
-last digits of a number, or the name part of an e-mail address. Mentions of one kind are linked one to the next, so a thousand
-repeats make a thousand edges. Loopy message passing (sum-product, damped) carries labels along both kinds of edges, which
+last digits of a number, or the name part of an e-mail address. Every mention has an edge to each node alike of known label (a base
+span or a "none"), however far off; as their labels are fixed, these edges are counts per key, in linear time. Mentions without a known label are
+also linked one to the next of their key. Loopy message passing (sum-product, damped, until it has converged) carries labels along the edges, which
 makes a document label its mentions alike: a number written another way, or a name that stands in an
 address, gets the label of the mention that a pattern recognised. Tokens that are like no base span only carry context: their label is
 "none", as the patterns have seen and refused them. Base spans always stay.
@@ -19,7 +20,9 @@ in its length, whatever its characters.
 from __future__ import annotations
 
 import re
+from collections import Counter
 from collections.abc import Iterator
+from itertools import combinations
 
 import numpy as np
 import pyarrow as pa
@@ -35,8 +38,10 @@ CHAIN = 40
 #: Documents on which the weights are fitted, about, and nodes of a document that count there.
 SAMPLE_ROWS = 4_000
 SAMPLE_NODES = 200
-ROUNDS = 30
 DAMPING = 0.5
+#: Message passing ends when no message of a document changes more than this; the damping of documents that swing grows every SETTLE rounds.
+CONVERGED = 1e-6
+SETTLE = 100
 #: A node is a mention if its label other than "none" reaches this marginal.
 SURE = 0.8
 
@@ -163,19 +168,37 @@ class Graph:
         self.nodes = nodes
         self.features = [features(text[a:b]) for a, b, _ in nodes]
         self.chain = [(i, i + 1) for i in range(len(nodes) - 1) if nodes[i + 1][0] - nodes[i][1] <= CHAIN]
+        shared = [sorted(set(keys(text[a:b], y == 1))) for a, b, y in nodes]
+        self.alike = [y == 0 and not known.isdisjoint(ks) for (_, _, y), ks in zip(nodes, shared)]
+        self.around = _around(shared, [-1 if free else y for free, (_, _, y) in zip(self.alike, nodes)])
         last: dict[str, int] = {}
         skip: dict[tuple[int, int], None] = {}
-        for i, (a, b, y) in enumerate(nodes):
-            for k in keys(text[a:b], y == 1):
-                if k in last and last[k] != i:
+        for i, ks in enumerate(shared):
+            for k in ks if self.alike[i] else ():
+                if k in last:
                     skip[(last[k], i)] = None
                 last[k] = i
         self.skip = list(skip)
-        self.alike = [y == 0 and not known.isdisjoint(keys(text[a:b], False)) for a, b, y in nodes]
+
+
+def _around(shared: list[list[str]], label: list[int]) -> list[tuple[int, int, int]]:
+    """(node, label, count of other nodes with that known label that share a key with it), where not zero.
+
+    A node that shares several keys counts once: sets of keys are counted too, and added with alternating signs.
+    """
+    sets = [[(c, 1 if size % 2 else -1) for size in range(1, len(ks) + 1) for c in combinations(ks, size)] for ks in shared]
+    count = Counter((c, y) for cs, y in zip(sets, label) if y >= 0 for c, _ in cs)
+    out = []
+    for i, (cs, own) in enumerate(zip(sets, label)):
+        for y in range(len(KINDS) + 1) if cs else ():
+            n = sum(sign * count[c, y] for c, sign in cs if (c, y) in count) - (own == y)
+            if n:
+                out.append((i, y, n))
+    return out
 
 
 class Batch:
-    """Graphs laid end to end, as arrays."""
+    """Graphs laid end to end, as arrays. ``around`` counts the known labels of the nodes alike, ``graph`` numbers the graph of a node."""
 
     def __init__(self, graphs: list[Graph]):
         base = np.cumsum([0] + [len(g.nodes) for g in graphs])
@@ -187,6 +210,11 @@ class Batch:
         self.x[rows[:, 0], rows[:, 1]] = 1.0
         pairs = [(a + o, b + o, s) for g, o in zip(graphs, base.tolist()) for s, es in ((0, g.chain), (1, g.skip)) for a, b in es]
         self.edges = np.array(pairs, dtype=np.int64).reshape(-1, 3)
+        self.around = np.zeros((self.size, len(KINDS) + 1))
+        for g, o in zip(graphs, base.tolist()):
+            for i, y, n in g.around:
+                self.around[o + i, y] = n
+        self.graph = np.repeat(np.arange(len(graphs)), np.diff(base))
 
 
 class Model:
@@ -208,10 +236,10 @@ class Model:
         n = len(KINDS) + 1
         seen = np.eye(n)[batch.label]
         seen[batch.alike] = 0.0
-        around = np.zeros((2, batch.size, n))
-        for a, b, s in ((0, 1, 0), (1, 0, 0), (0, 1, 1), (1, 0, 1)):
-            e = batch.edges[batch.edges[:, 2] == s]
-            np.add.at(around[s], e[:, a], seen[e[:, b]])
+        around = np.stack([np.zeros((batch.size, n)), batch.around])
+        chain = batch.edges[batch.edges[:, 2] == 0]
+        for a, b in ((0, 1), (1, 0)):
+            np.add.at(around[0], chain[:, a], seen[chain[:, b]])
         x, y = batch.x[target], seen[target]
         prior = [self.unary.copy(), self.pair.copy()]
         weight = [self.unary, self.pair]
@@ -229,30 +257,37 @@ class Model:
                 w -= rate * (m / (1 - 0.9**step)) / (np.sqrt(v / (1 - 0.999**step)) + 1e-8)
         return self
 
-    def marginals(self, batch: Batch, rounds: int = ROUNDS) -> np.ndarray:
-        """Loopy sum-product over all graphs of the batch at once; exact where a graph is a tree and ``rounds`` reach across it."""
-        own = batch.x @ self.unary
+    def marginals(self, batch: Batch, rounds: int | None = None) -> np.ndarray:
+        """Loopy sum-product over all graphs of the batch at once, each until it has converged (or for ``rounds``); exact where a graph is a tree."""
+        own = batch.x @ self.unary + batch.around @ self.pair[1]
         own = own - own.max(axis=1, keepdims=True)
         fixed = (batch.label > 0) | ~batch.alike  # a token that is like no base span is none: its pattern has decided
         own[fixed] = -40.0
         own[fixed, batch.label[fixed]] = 0.0
-        if not len(batch.edges):
+        edges = batch.edges[~(fixed[batch.edges[:, 0]] & fixed[batch.edges[:, 1]])]
+        if not len(edges):
             return _normal(own)
-        source = np.r_[batch.edges[:, 0], batch.edges[:, 1]]
-        target = np.r_[batch.edges[:, 1], batch.edges[:, 0]]
-        back = np.r_[np.arange(len(batch.edges)) + len(batch.edges), np.arange(len(batch.edges))]
-        factor = np.exp(self.pair[np.r_[batch.edges[:, 2], batch.edges[:, 2]]])
+        source = np.r_[edges[:, 0], edges[:, 1]]
+        target = np.r_[edges[:, 1], edges[:, 0]]
+        back = np.r_[np.arange(len(edges)) + len(edges), np.arange(len(edges))]
+        factor = np.exp(self.pair[np.r_[edges[:, 2], edges[:, 2]]])
         message = np.zeros((len(source), own.shape[1]))
-        for _ in range(rounds):
+        graph = batch.graph[source]
+        live, done, damping = np.arange(len(source)), 0, DAMPING
+        while len(live) and done != rounds:
             belief = own.copy()
-            np.add.at(belief, target, message)
-            out = belief[source] - message[back]
-            out = np.log(np.einsum("ei,eij->ej", np.exp(out - out.max(axis=1, keepdims=True)), factor))
+            np.add.at(belief, target[live], message[live])
+            out = belief[source[live]] - message[back[live]]
+            out = np.log(np.einsum("ei,eij->ej", np.exp(out - out.max(axis=1, keepdims=True)), factor[live]))
             out -= out.max(axis=1, keepdims=True)
-            change = np.abs(out - message).max()
-            message = DAMPING * message + (1 - DAMPING) * out
-            if change < 1e-6:
-                break
+            change = np.zeros(len(batch.graph) and int(batch.graph[-1]) + 1)
+            np.maximum.at(change, graph[live], np.abs(out - message[live]).max(axis=1))
+            message[live] = damping * message[live] + (1 - damping) * out
+            done += 1
+            if done % SETTLE == 0:
+                damping = (1 + damping) / 2
+            # Halves of an edge are of one graph, so what stays holds both.
+            live = live[change[graph[live]] >= CONVERGED / (1 - damping) * (1 - DAMPING)]
         belief = own.copy()
         np.add.at(belief, target, message)
         return _normal(belief)
@@ -267,19 +302,20 @@ def fit(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", sample_
     """Weights from a sample of about ``sample_rows`` documents. Only feature numbers and edges reach the driver."""
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in slices(batches, "_text"):
-            label, alike, feats, edges = [], [], [], []
+            label, alike, feats, edges, around = [], [], [], [], []
             for text in as_text(batch, "_text"):
                 g = Graph(text, base_spans(text))
                 n = min(len(g.nodes), sample_nodes)
                 label.append([y for _, _, y in g.nodes[:n]])
                 alike.append([int(v) for v in g.alike[:n]])
                 feats.append([i * len(FEATURES) + f for i in range(n) for f in g.features[i]])
-                edges.append([(a * n + b) * 2 + s for s, es in ((0, g.chain), (1, g.skip)) for a, b in es if b < n])
+                edges.append([(a * n + b) * 2 for a, b in g.chain if b < n])
+                around.append([v for e in g.around if e[0] < n for v in e])
             kind = pa.list_(pa.int64())
-            yield pa.RecordBatch.from_arrays([pa.array(v, type=kind) for v in (label, alike, feats, edges)], names=["label", "alike", "feats", "edges"])
+            yield pa.RecordBatch.from_arrays([pa.array(v, type=kind) for v in (label, alike, feats, edges, around)], names=["label", "alike", "feats", "edges", "around"])
 
     sample = hashed_sample(docs, F.col(id_col), sample_rows).select(F.col(text_col).alias("_text"))
-    found = sample.mapInArrow(run, "label array<long>, alike array<long>, feats array<long>, edges array<long>").where(F.size("label") > 0)
+    found = sample.mapInArrow(run, "label array<long>, alike array<long>, feats array<long>, edges array<long>, around array<long>").where(F.size("label") > 0)
     rows = sorted(tuple(map(tuple, r)) for r in found.collect())  # bounded: see sample_rows and sample_nodes
     batch = Batch([])
     sizes = [len(r[0]) for r in rows]
@@ -290,6 +326,9 @@ def fit(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", sample_
     batch.x = np.zeros((batch.size, len(FEATURES)))
     batch.x.reshape(-1)[[o * len(FEATURES) + f for r, o in zip(rows, base.tolist()) for f in r[2]]] = 1.0
     batch.edges = np.array([(o + e // 2 // n, o + e // 2 % n, e % 2) for r, o, n in zip(rows, base.tolist(), sizes) for e in r[3]], dtype=np.int64).reshape(-1, 3)
+    counts = np.array([(o + i, y, c) for r, o in zip(rows, base.tolist()) for i, y, c in zip(r[4][::3], r[4][1::3], r[4][2::3])], dtype=np.int64).reshape(-1, 3)
+    batch.around = np.zeros((batch.size, len(KINDS) + 1))
+    batch.around[counts[:, 0], counts[:, 1]] = counts[:, 2]
     return Model().fit(batch)
 
 

@@ -316,6 +316,26 @@ def test_alike_mentions_are_labelled_and_others_left_alone(spark):
     assert pii.find(docs.limit(0)).count() == 0
 
 
+@pytest.mark.parametrize("n", [1, 2, 10, 1000])
+@pytest.mark.parametrize("gap", [" then ", " and a good deal of other plain words in between "])
+def test_every_mention_alike_one_base_span_is_labelled(n, gap):
+    after = "Call +1 (648) 555-1250 now." + (gap + "648-555-1250") * n
+    for text in (after, ("648-555-1250" + gap) * n + "+1 (648) 555-1250"):
+        base, spans = pii.label(pii.Model(), [text])[0]
+        assert len(base) == 1 and len(spans) == n + 1 and {k for k, _, _ in spans} == {3}
+
+
+def test_known_labels_alike_are_counted_once():
+    text = "Ask +1 (648) 555-1250, 1-648-555-1250 or 648-555-1250; +1 (648) 555-1250 then 12345678901 a.b.cd@x.com 123456789-01 a-bcd a.b.cd@x.com abcd1 abc-d1"
+    g = pii.Graph(text, pii.base_spans(text))
+    share = [set(pii.keys(text[a:b], y == 1)) for a, b, y in g.nodes]
+    want = {}
+    for i, j in itertools.permutations(range(len(share)), 2):
+        if share[i] & share[j] and not g.alike[j]:
+            want[i, g.nodes[j][2]] = want.get((i, g.nodes[j][2]), 0) + 1
+    assert {(i, y): n for i, y, n in g.around} == want and max(want.values()) > 1 and any(g.alike)
+
+
 # ---- classifiers
 
 @tables
