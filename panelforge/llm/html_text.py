@@ -2,10 +2,12 @@
 
 The standard library's parser streams events into lines: a line is the text between two borders of block elements. Elements that
 are never article text (menus, headers and footers of the page, sidebars, notices, adverts, forms, scripts, styles, reader comments, hidden
-parts), known by their tag, role, class or id, give no lines. A line's ratio is its text outside links by its tags. The ratios are smoothed
+parts), known by their tag, role, class or id, give no lines. A class or id counts as a whole: "sidebar" or "site-nav", but not "with-sidebar" or
+"comments-open"; and it does not count against an element that holds most of the content, unless an article or main element beside it has content.
+A line's ratio is its text outside links by its tags. The ratios are smoothed
 with a Gaussian, and lines above the threshold (the smoothed ratios' deviation, but not over their mean) are clustered as content. The region is
-the article or main element that holds most of that text, or else the deepest element that holds nearly all; the text is every line of the region,
-so short headings and paragraphs of the article stay, while lines made of links only go.
+the deepest element that holds all of that text, widened to the outermost article or main element around it; the text is every line of the region,
+so short headings, paragraphs and lists of links in the article stay.
 
 Character references are decoded, white space within a line becomes one space, lines are joined by a newline. Null, empty and
 text-free pages give an empty text. The work on a page is linear in its length.
@@ -23,8 +25,6 @@ from pyspark.sql import DataFrame
 from panelforge.llm.common import as_text, map_texts
 
 SIGMA = 1.5
-#: Share of the content's text that the region must hold if no article or main element does.
-NEARLY_ALL = 0.8
 
 _VOID = frozenset("area base br col embed hr img input link meta param source track wbr".split())
 _BLOCK = frozenset(
@@ -40,7 +40,12 @@ _NAMES = frozenset(
     " comment comments commentlist reply replies respond disqus discussion pagination pager skip toolbar paywall".split())
 #: Names that mean the page's own head or foot, unless an article holds them.
 _HEADS = frozenset("header topbar".split())
-_PARTS = re.compile(r"[a-z]+|[A-Z][a-z]*")
+_COMMENTS = frozenset("comment comments commentlist reply replies respond disqus discussion".split())
+#: Parts that may stand beside a name and leave its meaning; with any other part ("with", "no", "category", "open") the class means something else.
+_BESIDE = frozenset(
+    "site page main global primary secondary top bottom left right upper lower inner outer mobile desktop container wrapper wrap holder box bar block area list item items links link buttons button"
+    " icons section group panel row column col posts thread form inline fixed sticky the js".split())
+_PARTS = re.compile(r"[A-Z]+(?![a-z])|[A-Z]?[a-z]+")
 _CLOSED_BY_BLOCK = frozenset(["p"])
 _ITEMS = {"li": ("ul", "ol", "menu", "dir"), "dt": ("dl",), "dd": ("dl",), "tr": ("table",), "td": ("tr", "table"), "th": ("tr", "table"), "option": ("select",)}
 
@@ -59,13 +64,21 @@ def _never(tag: str, attrs: list[tuple[str, str | None]], in_article: bool) -> b
             return True
         if name == "style" and value and re.search(r"display\s*:\s*none|visibility\s*:\s*hidden", value, re.I):
             return True
-        if name in ("class", "id") and value:
-            parts = {p.lower() for p in _PARTS.findall(value)}
-            if not parts.isdisjoint(_NAMES) or not in_article and not parts.isdisjoint(_HEADS):
-                return True
     return False
 
 
+def _named(tag: str, attrs: list[tuple[str, str | None]], in_article: bool) -> int:
+    """1 if a class or the id names something other than article text, 2 if reader comments, else 0."""
+    found = 0
+    for name, value in attrs if tag not in ("html", "body", "main") else ():
+        for token in value.split() if name in ("class", "id") and value else ():
+            parts = {p.lower() for p in _PARTS.findall(token)}
+            named = parts & _NAMES if in_article else parts & (_NAMES | _HEADS)
+            if named and parts - named <= _BESIDE:
+                found = max(found, 1 if named.isdisjoint(_COMMENTS) else 2)
+    return found
+
+
 class Lines(HTMLParser):
     """Turns events into lines: (text, characters outside links, tags, open regions)."""
 
@@ -74,6 +87,7 @@ class Lines(HTMLParser):
         self.stack: list[tuple[str, int]] = []  # open elements, each with its region or -1
         self.open: list[int] = []  # regions, innermost last
         self.regions: list[tuple[str, int]] = [("body", -1)]  # tag and parent of each region
+        self.named: dict[int, int] = {}  # regions that by their name are no article text
         self.never = 0  # depth in the stack at which the outermost unwanted element stands, plus one
         self.links = self.articles = 0
         self.lines: list[tuple[str, int, int, int]] = []
@@ -103,8 +117,12 @@ class Lines(HTMLParser):
             self.cut()
             self.never = len(self.stack) + 1
         region = -1
-        if tag in _REGION and not self.never:
+        named = 0 if self.never else _named(tag, attrs, self.articles > 0)
+        if (tag in _REGION or named) and not self.never:
             region = len(self.regions)
+            if named:
+                self.cut()
+                self.named[region] = named
             self.regions.append((tag, self.open[-1] if self.open else 0))
             self.open.append(region)
         self.stack.append((tag, region))
@@ -127,7 +145,7 @@ class Lines(HTMLParser):
     def pop(self, to: int) -> None:
         while len(self.stack) > to:
             tag, region = self.stack.pop()
-            if tag in _BLOCK:
+            if tag in _BLOCK or region >= 0:
                 self.cut()
             if region >= 0:
                 self.open.pop()
@@ -161,32 +179,73 @@ def smoothed(x: np.ndarray, sigma: float = SIGMA) -> np.ndarray:
     return np.convolve(padded, kernel / kernel.sum(), mode="valid")
 
 
+def _content(lines: list[tuple[str, int, int, int]]) -> list[tuple[int, int]]:
+    """(region, characters) of the lines above the threshold. Only lines of links are looked at if there are no others."""
+    lines = [x for x in lines if x[1] > 0] or [(x[0], len(x[0]), x[2], x[3]) for x in lines]
+    ratio = smoothed(np.array([x[1] / max(1, x[2]) for x in lines]))
+    return [(x[3], x[1]) for x, on in zip(lines, ratio >= min(ratio.std(), ratio.mean())) if on]
+
+
+def _mass(regions: list[tuple[str, int]], content: list[tuple[int, int]], walls: set[int] | frozenset[int] = frozenset()) -> list[int]:
+    """Characters of content in each region, those within the regions of ``walls`` counted there only."""
+    mass = [0] * len(regions)
+    for r, n in content:
+        mass[r] += n
+    for r in range(len(mass) - 1, 0, -1):  # children come after their parents
+        if r not in walls:
+            mass[regions[r][1]] += mass[r]
+    return mass
+
+
+def _within(regions: list[tuple[str, int]], tops: set[int]) -> list[bool]:
+    inside = [False] * len(regions)
+    for r in range(len(regions)):
+        inside[r] = r in tops or r > 0 and inside[regions[r][1]]
+    return inside
+
+
+def _unwanted(regions: list[tuple[str, int]], named: dict[int, int], lines: list[tuple[str, int, int, int]]) -> list[bool]:
+    """Regions in an element that goes by its name. One that holds most of the content stays if no article or main element beside it has content.
+
+    For reader comments the article or main element around them counts too.
+    """
+    content = _content(lines)
+    mass = _mass(regions, content)
+    walls = set(named)
+    for kind in (1, 2):
+        most = {r for r in walls if named[r] == kind and 2 * mass[r] > mass[0]}  # one in the other, if several
+        if most:
+            own, lost = _mass(regions, content, walls), _within(regions, walls)
+            around = set()
+            up = max(most) if kind == 1 else -1
+            while up >= 0:
+                around.add(up)
+                up = regions[up][1]
+            if not any(own[r] and not lost[r] and r not in around for r, (tag, _) in enumerate(regions) if tag in ("article", "main")):
+                walls -= most
+    return _within(regions, walls)
+
+
 def main_text(html: str) -> str:
     parser = Lines()
     parser.feed(html)
     parser.close()
     parser.pop(0)
     parser.cut()
-    lines = [x for x in parser.lines if x[1] > 0]
+    lines, regions = parser.lines, parser.regions
+    if lines and parser.named:
+        lost = _unwanted(regions, parser.named, lines)
+        lines = [x for x in lines if not lost[x[3]]]
     if not lines:
         return ""
-    plain = np.array([x[1] for x in lines], dtype=np.float64)
-    ratio = smoothed(plain / np.maximum(1, [x[2] for x in lines]))
-    content = ratio >= min(ratio.std(), ratio.mean())
-    mass = np.zeros(len(parser.regions))
-    np.add.at(mass, [x[3] for x in lines], np.where(content, plain, 0.0))
-    for r in range(len(mass) - 1, 0, -1):  # children come after their parents
-        mass[parser.regions[r][1]] += mass[r]
-    wanted = [r for r, (tag, _) in enumerate(parser.regions) if tag in ("article", "main") and mass[r] > 0]
-    if wanted and max(mass[r] for r in wanted) >= mass[0] / 2:
-        most = max(mass[r] for r in wanted)
-        region = next(r for r in reversed(wanted) if mass[r] >= NEARLY_ALL * most)
-    else:
-        region = max(r for r in range(len(mass)) if mass[r] >= NEARLY_ALL * mass[0])
-    inside = np.zeros(len(mass), dtype=bool)
-    inside[region] = True
-    for r in range(region + 1, len(mass)):
-        inside[r] = inside[parser.regions[r][1]]
+    mass = _mass(regions, _content(lines))
+    region = max(r for r in range(len(mass)) if mass[r] == mass[0])
+    up = region
+    while up >= 0:
+        if regions[up][0] in ("article", "main"):
+            region = up
+        up = regions[up][1]
+    inside = _within(regions, {region})
     return "\n".join(x[0] for x in lines if inside[x[3]])
 
 

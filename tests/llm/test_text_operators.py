@@ -387,6 +387,37 @@ def test_main_text(wrap):
     assert html_text.main_text(PAGE % (wrap % BODY)) == WANT
 
 
+LONG = "<p>A paragraph of the article that is long enough to count as its text, word after word.</p>" * 4
+
+
+@pytest.mark.parametrize("tag", [
+    "div class='content with-sidebar'", "article class='post category-social comments-open'", "div id='search-results'", "div class='no-comments'", "div class=hasSidebar", "div class='widget'", "main class=search",
+    "div class='comments'"])
+def test_names_do_not_drop_the_article(tag):
+    page = f"<nav>Menu</nav><{tag}>{LONG}<div class='share-buttons'>Share this</div></{tag.split()[0]}><div class='site-footer'>Foot of the page</div><div id=sidebar>Side</div>"
+    assert html_text.main_text(page) == html_text.main_text(LONG) != ""
+
+
+@pytest.mark.parametrize("name", ["comments", "comment-list", "commentsArea", "COMMENTS"])
+def test_comments_longer_than_the_article_go(name):
+    short = "<p>A short article of some words.</p>"
+    for page in (f"<article>{short}</article><div id={name}>{LONG}</div>", f"<main>{short}<div class={name}>{LONG}</div></main>"):
+        assert html_text.main_text(page) == "A short article of some words."
+
+
+def test_lines_of_links_in_the_article_stay():
+    page = f"<nav><a href=x>Home</a></nav><article><h2><a href=a>Linked heading</a></h2>{LONG}<ul><li><a href=b>First reference</a><li><a href=c>Second reference</a></ul></article>"
+    assert html_text.main_text(page).split("\n") == ["Linked heading", *html_text.main_text(LONG).split("\n"), "First reference", "Second reference"]
+    assert html_text.main_text("<p><a href=x>All of it is a link</a></p>") == "All of it is a link"
+
+
+def test_region_holds_all_content():
+    lead = "<p>The lead of the article, in which it says what it is about.</p>"
+    for page in (f"<div><div>{lead}</div><div>{LONG}</div></div>", f"<main><article>{LONG}</article><article>{lead}</article></main>", f"<article>{LONG}</article><div>{lead}</div>"):
+        got = html_text.main_text(page).split("\n")
+        assert len(got) == 5 and any("The lead" in x for x in got)
+
+
 def test_pages_without_article(spark):
     rows = [(1, "u", None), (2, "u", ""), (3, None, "just text &eacute;"), (4, "u", "<nav>menu</nav>"), (5, "u", "<p>" * 20_000), (6, "u", "<div>" * 5_000 + "deep text")]
     got = {r["page_id"]: (r["text"], r["n_chars"]) for r in html_text.extract(spark.createDataFrame(rows, "page_id long, url string, html string").withColumn("text", F.lit("clash"))).collect()}
