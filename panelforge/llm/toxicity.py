@@ -1,10 +1,9 @@
 """Toxicity: FTRL-proximal logistic regression over hashed word n-grams and skip-grams.
 
 A text's features are its distinct words, word beginnings of ``STEM`` characters, pairs of neighbouring words, and pairs with one word
-between, lowered and stripped of marks at their ends, hashed to ``2**BITS`` places. The labelled sample is dealt to ``shards`` tasks by a hash; each
-makes ``epochs`` passes of FTRL-proximal steps in hashed order: a learning rate per coordinate, and an L1 term that
-keeps weights at zero until their gradients add up. The weights of the shards are averaged. What is sent to the scoring
-tasks is the list of places that are not zero.
+between, lowered and stripped of marks at their ends, hashed to ``2**BITS`` places. One task makes ``epochs`` passes of FTRL-proximal
+steps over the whole labelled sample in hashed order, whatever its size: a learning rate per coordinate, and an L1 term that
+keeps weights at zero until their gradients add up. What is sent to the scoring tasks is the list of places that are not zero.
 
 Ids, language, source and labels are no features. A null or empty text has only the bias. Rows with null labels are not learned from; without
 labelled rows every score is 0.5.
@@ -25,9 +24,6 @@ from panelforge.llm.common import as_bytes, map_texts, slices
 BITS = 20
 #: Labelled documents that are learned from, at most: those with the smallest hash of their id.
 SAMPLE_ROWS = 12_000
-#: Tasks that learn, at most, and labelled documents that each needs at least.
-SHARDS = 4
-SHARD_ROWS = 3_000
 EPOCHS = 3
 ALPHA, BETA, L1, L2 = 2.0, 1.0, 5.0, 0.1
 STEM = 4
@@ -86,35 +82,29 @@ def train(places: list[np.ndarray], labels: list[int], bits: int = BITS, epochs:
 
 
 def learn(
-    docs: DataFrame, labels: DataFrame, label_col: str, id_col: str = "doc_id", text_col: str = "text", sample_rows: int = SAMPLE_ROWS, shards: int = SHARDS,
+    docs: DataFrame, labels: DataFrame, label_col: str, id_col: str = "doc_id", text_col: str = "text", sample_rows: int = SAMPLE_ROWS,
 ) -> tuple[np.ndarray, np.ndarray]:
     """(places, weights) that are not zero."""
     chosen = (
         labels.where(F.col(label_col).isNotNull()).select(F.xxhash64(F.col(id_col).cast("string")).alias("_h"), F.col(id_col).alias("_id"), F.col(label_col).cast("int").alias("_label"))
         .orderBy("_h", "_id", "_label").limit(sample_rows)
     )
-    shards = max(1, min(shards, chosen.count() // SHARD_ROWS))
     texts = docs.where(F.col(text_col).isNotNull()).select(F.col(id_col).alias("_id"), F.col(text_col).alias("_text"))
-    rows = texts.join(F.broadcast(chosen), "_id").select("_h", "_label", "_text", F.pmod(F.col("_h"), F.lit(shards)).alias("_shard"))
-    rows = rows.repartition(8 * shards, "_shard").sortWithinPartitions("_shard", "_h", "_label", "_text")
+    rows = texts.join(F.broadcast(chosen), "_id").select("_h", "_label", "_text").orderBy("_h", "_label", "_text").limit(sample_rows)  # one ordered partition
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         hasher = Hasher()
-        held: dict[int, tuple[list, list]] = {}
+        at, ys = [], []
         for batch in slices(batches, "_text"):
-            for shard, label, text in zip(batch.column(3).to_pylist(), batch.column(1).to_pylist(), as_bytes(batch, "_text")):
-                at, ys = held.setdefault(shard, ([], []))
-                at.append(np.unique(hasher.places(text)).astype(np.int32))
-                ys.append(label)
-        for at, ys in held.values():
+            at += [np.unique(hasher.places(text)).astype(np.int32) for text in as_bytes(batch, "_text")]
+            ys += batch.column(1).to_pylist()
+        if ys:
             w = train(at, ys)
             found = np.flatnonzero(w)
-            yield pa.RecordBatch.from_arrays([pa.array(np.r_[-1, found]), pa.array(np.r_[1.0, w[found]])], names=["place", "weight"])
+            yield pa.RecordBatch.from_arrays([pa.array(found), pa.array(w[found])], names=["place", "weight"])
 
-    found = rows.mapInArrow(run, "place long, weight double").groupBy("place").agg(F.sum("weight").alias("weight")).orderBy("place").collect()
-    trained = sum(r["weight"] for r in found if r["place"] < 0) or 1.0
-    kept = [(r["place"], r["weight"] / trained) for r in found if r["place"] >= 0]
-    return np.array([p for p, _ in kept], dtype=np.int64), np.array([w for _, w in kept], dtype=np.float64)
+    found = rows.mapInArrow(run, "place long, weight double").collect()  # at most 2**BITS places
+    return np.array([r["place"] for r in found], dtype=np.int64), np.array([r["weight"] for r in found], dtype=np.float64)
 
 
 def score(docs: DataFrame, model: tuple[np.ndarray, np.ndarray], text_col: str = "text") -> DataFrame:

@@ -352,6 +352,21 @@ def test_held_out_accuracy(spark, module, label, parts, held):
     assert module.score(docs.limit(0), model).count() == 0
 
 
+def test_rare_toxic_words_are_learned_from_a_full_sample(spark):
+    r = random.Random(3)
+    n, rare, each = toxicity.SAMPLE_ROWS, 50, 16
+    texts = [[f"w{r.randrange(400)}" for _ in range(12)] for _ in range(n)]
+    toxic = r.sample(range(n), rare * each)
+    for k, i in enumerate(toxic):
+        texts[i][r.randrange(12)] = f"{k % rare:03d}bad"
+    y = set(toxic)
+    docs = spark.createDataFrame([(i, " ".join(t)) for i, t in enumerate(texts)], "doc_id long, text string")
+    model = toxicity.learn(docs, spark.createDataFrame([(i, int(i in y)) for i in range(n)], "doc_id long, toxic int"), "toxic")
+    asked = [[f"w{r.randrange(400)}" for _ in range(11)] + [f"{k:03d}bad" if k < rare else "w1"] for k in range(500)]
+    got = toxicity.score(spark.createDataFrame([(k, " ".join(t)) for k, t in enumerate(asked)], "doc_id long, text string"), model)
+    assert got.where(f"doc_id < {rare} and predicted = 1").count() >= 0.9 * rare and got.where(f"doc_id >= {rare} and predicted = 1").count() <= 20
+
+
 @pytest.mark.parametrize("module", [quality_knn, toxicity])
 def test_without_labels_every_score_is_a_half(spark, module):
     docs = docs_of(spark, ["a b", None])
