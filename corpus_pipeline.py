@@ -14,7 +14,7 @@ from panelforge.llm import decontaminate, mixing, pii, quality_knn, simhash
 from panelforge.llm.common import read, remainder, stored
 from panelforge.session import shared_folder
 
-#: Most ids that the third stage sends to all tasks; beyond it a plain join removes them.
+#: Most keys that the third stage sends to all tasks; beyond it a plain join removes them.
 BROADCAST_IDS = 100_000
 
 
@@ -34,12 +34,12 @@ def near_dedup(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
 
 
 def decontamination(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """Documents with a twentieth of their words in benchmark passages go. Rows that share an id are one document."""
-    found = decontaminate.decontaminate(docs, read(spark, sf_dir, "benchmark"))
-    bad = stored(found.where(decontaminate.contaminated(decontaminate.n_hit(), F.col("n_words"))).select(F.struct(F.col("doc_id").alias("id")).alias("__key")).distinct())
+    """Rows with a twentieth of their words in benchmark passages go. The key holds the text, so clean rows that share an id with them, or have none, stay."""
+    keyed = docs.withColumn("__key", F.xxhash64("doc_id", "text"))
+    found = decontaminate.decontaminate(keyed, read(spark, sf_dir, "benchmark"), id_col="__key")
+    bad = stored(found.where(decontaminate.contaminated(decontaminate.n_hit(), F.col("n_words"))).select(F.col("doc_id").alias("__key")).distinct())
     if bad.count() <= BROADCAST_IDS:
         bad = F.broadcast(bad)
-    keyed = docs.withColumn("__key", F.struct(F.col("doc_id").cast("long").alias("id")))
     return keyed.join(bad, "__key", "left_anti").select(*docs.columns)
 
 

@@ -90,6 +90,15 @@ def test_stages(spark):
         assert stage(spark, docs.limit(0), SMALL).count() == 0, name
 
 
+def test_clean_rows_stay_beside_contaminated_ones_of_their_id(spark):
+    bench = spark.read.parquet(f"{SMALL}/benchmark.parquet").limit(1).collect()[0]["text"]
+    rows = [(i, t, "en", "x", 1) for i in (None, 7) for t in (bench, "a clean text", "another clean text", None)]
+    docs = spark.createDataFrame(rows, "doc_id long, text string, lang string, source string, n_chars long")
+    kept = corpus_pipeline.decontamination(spark, docs, SMALL)
+    assert kept.columns == docs.columns
+    assert sorted(map(str, kept.collect())) == sorted(map(str, docs.where("text is null or text like '%clean text'").collect()))
+
+
 def test_whole_run(spark):
     out = corpus_pipeline.run(spark, TINY)
     first = spark.read.parquet(f"{TINY}/documents.parquet")
