@@ -18,12 +18,16 @@ BROADCAST_ROWS_KEY = "spark.panelforge.maxBroadcastRows"
 BROADCAST_ROWS_DEFAULT = 200_000
 
 
-def build_session(app: str = "panelforge", master: str | None = None, shuffle: int | None = None) -> SparkSession:
+def build_session(
+    app: str = "panelforge", master: str | None = None, shuffle: int | None = None, settings: dict[str, str] | None = None
+) -> SparkSession:
     builder = SparkSession.builder.appName(app).config("spark.ui.enabled", "false").config("spark.ui.showConsoleProgress", "false")
     if master:
         builder = builder.master(master)
     if shuffle:
         builder = builder.config("spark.sql.shuffle.partitions", str(shuffle))
+    for key, value in (settings or {}).items():
+        builder = builder.config(key, value)
     return configure(builder.getOrCreate())
 
 
