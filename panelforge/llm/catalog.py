@@ -7,7 +7,9 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from panelforge.llm import chat, decontaminate, html_text, mixing, pii, quality_knn, quality_rules, simhash, sql, toxicity, warc
+from panelforge.llm import (
+    chat, decontaminate, html_text, language, manifest, mixing, pii, quality_knn, quality_rules, simhash, sql, tokens, toxicity, warc,
+)
 from panelforge.llm.common import read, remainder
 
 
@@ -67,10 +69,32 @@ def op10_html_extraction(spark: SparkSession, folder: str) -> DataFrame:
     return html_text.extract(read(spark, folder, "pages").select("page_id", "url", "html"))
 
 
+def op11_alignment(spark: SparkSession, folder: str) -> DataFrame:
+    aligned = tokens.align(read(spark, folder, "documents").select("doc_id", "text"))
+    digest = F.when(F.col("n_groups") > 0, F.sha2("groups", 256)).otherwise("").alias("groups_sha256")
+    counts = ["n_a", "n_b", "n_groups", "n_links", "n_overlaps"]
+    return tokens.consistency(aligned.select("doc_id", *counts, digest, "pairs", "times")).select(
+        "doc_id", *counts[:4], "n_best", "count_sum", "groups_sha256", "n_overlaps")
+
+
+def op12_manifest(spark: SparkSession, folder: str) -> DataFrame:
+    found = manifest.manifest(read(spark, folder, "documents"), check={"text": manifest.tampered("text", "doc_id")})
+    return manifest.verify(found).select(
+        F.col("id").alias("doc_id"), "leaf", "subroot", "root", manifest.proof_digest(F.col("path")).alias("proof_sha256"), "folded_root", "verified")
+
+
+def op13_language(spark: SparkSession, folder: str) -> DataFrame:
+    docs = read(spark, folder, "documents")
+    held = remainder("doc_id", 4) == 2
+    model = language.learn(docs.where(~held))
+    return language.identify(docs.select("doc_id", "text"), model).select("doc_id", held.alias("held_out"), "lang_pred", "score", "spans")
+
+
 def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
     import corpus_pipeline
 
-    own = [op1_chat_formatting, op2_quality_rules, op3_simhash, op4_warc_revisits, op5_quality_classifier, op6_pii, op7_toxicity, op8_decontamination, op9_mixing, op10_html_extraction]
+    own = [op1_chat_formatting, op2_quality_rules, op3_simhash, op4_warc_revisits, op5_quality_classifier, op6_pii, op7_toxicity, op8_decontamination, op9_mixing, op10_html_extraction,
+           op11_alignment, op12_manifest, op13_language]
     return {**{f.__name__: f for f in own}, "pipeline": corpus_pipeline.run}
 
 

@@ -28,7 +28,7 @@ def stored(df: DataFrame) -> DataFrame:
     return df.checkpoint()
 
 
-def slices(batches: Iterator[pa.RecordBatch], text: str) -> Iterator[pa.RecordBatch]:
+def slices(batches: Iterator[pa.RecordBatch], text: str, most_bytes: int = SLICE_BYTES) -> Iterator[pa.RecordBatch]:
     """Cut Arrow batches so that the texts of a slice stay small."""
     for batch in batches:
         if not batch.num_rows:
@@ -37,7 +37,7 @@ def slices(batches: Iterator[pa.RecordBatch], text: str) -> Iterator[pa.RecordBa
         sizes = np.array([0 if s is None else s for s in pc.binary_length(column).to_pylist()], dtype=np.int64)
         begin, held = 0, 0
         for i, size in enumerate(sizes):
-            if i > begin and (i - begin >= SLICE_ROWS or held + size > SLICE_BYTES):
+            if i > begin and (i - begin >= SLICE_ROWS or held + size > most_bytes):
                 yield batch.slice(begin, i - begin)
                 begin, held = i, 0
             held += int(size)
@@ -55,7 +55,8 @@ def as_text(batch: pa.RecordBatch, column: str) -> list[str]:
 
 
 def map_texts(
-    df: DataFrame, make: Callable[[pa.RecordBatch], dict[str, object]], added: str, text: str = "text", drop: tuple[str, ...] = ()
+    df: DataFrame, make: Callable[[pa.RecordBatch], dict[str, object]], added: str, text: str = "text", drop: tuple[str, ...] = (),
+    most_bytes: int = SLICE_BYTES,
 ) -> DataFrame:
     """Add the columns of the DDL string ``added`` to every row, computed from slices of rows.
 
@@ -70,10 +71,10 @@ def map_texts(
     kept = [f.name for f in keep]
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for batch in slices(batches, text):
+        for batch in slices(batches, text, most_bytes):
             made = make(batch)
             arrays = [batch.column(batch.schema.get_field_index(c)) for c in kept]
-            arrays += [pa.array(made[c], type=kind) for c, kind in kinds.items()]
+            arrays += [made[c] if isinstance(made[c], pa.Array) else pa.array(made[c], type=kind) for c, kind in kinds.items()]
             yield pa.RecordBatch.from_arrays(arrays, names=[*kept, *kinds])
 
     return df.mapInArrow(run, schema)
