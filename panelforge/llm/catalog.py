@@ -99,4 +99,5 @@ def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
 
 
 def oracle_sql() -> dict[str, str]:
-    return {"op1_chat_formatting": sql.CHAT, "op2_quality_rules": sql.QUALITY_RULES, "op4_warc_revisits": sql.WARC, "op8_decontamination": sql.DECONTAMINATION}
+    return {"op1_chat_formatting": sql.CHAT, "op2_quality_rules": sql.QUALITY_RULES, "op4_warc_revisits": sql.WARC, "op8_decontamination": sql.DECONTAMINATION,
+            "op12_manifest": sql.MANIFEST}

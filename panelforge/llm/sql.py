@@ -87,3 +87,50 @@ SELECT doc_id, len(w)::BIGINT AS n_words, coalesce(n_hit, 0)::BIGINT AS n_hit, c
        coalesce(n_hit, 0) > 0 AND 20 * coalesce(n_hit, 0) >= len(w) AS contaminated
 FROM d LEFT JOIN hit USING (r) LEFT JOIN held USING (r)
 """
+
+
+def _written(x: str) -> str:
+    return f"coalesce(strlen(({x})::VARCHAR) || ':' || ({x})::VARCHAR, '-')"
+
+
+def _tree(name: str, levels: int) -> list[str]:
+    """Levels of the trees of ``name``0 (tree, pos, n, digest) and the siblings on each, ``name``_s0 and so on."""
+    out = []
+    for k in range(levels):
+        out.append(f"{name}{k + 1} AS (SELECT tree, pos // 8 AS pos, (any_value(n) + 7) // 8 AS n, sha256(string_agg(digest, '' ORDER BY pos)) AS digest FROM {name}{k} WHERE n > 1 GROUP BY tree, pos // 8)")
+        run = "OVER (PARTITION BY tree, pos // 8 ORDER BY pos ROWS BETWEEN"
+        out.append(f"""{name}_s{k} AS (SELECT tree, pos, coalesce(string_agg(digest, '') {run} UNBOUNDED PRECEDING AND 1 PRECEDING), '') AS l,
+          coalesce(string_agg(digest, '') {run} 1 FOLLOWING AND UNBOUNDED FOLLOWING), '') AS r FROM {name}{k} WHERE n > 1)""")
+    out.append(f"{name}_top AS (" + " UNION ALL ".join(f"SELECT tree, digest FROM {name}{k} WHERE n = 1" for k in range(levels + 1)) + ")")
+    return out
+
+
+def _fold(name: str, first: str, tree: str, place: str, levels: int) -> list[str]:
+    """Fold the rows of ``first`` (digest, proof) with their siblings, level by level, into ``name``_f."""
+    out, before = [], first
+    for k in range(levels):
+        now = f"{name}_f" if k == levels - 1 else f"{name}_f{k}"
+        out.append(f"""{now} AS (SELECT f.* REPLACE (CASE WHEN s.pos IS NULL THEN f.digest ELSE sha256(s.l || f.digest || s.r) END AS digest, f.proof || coalesce(s.l || s.r, '') AS proof)
+          FROM {before} f LEFT JOIN {name}_s{k} s ON s.tree = {tree} AND s.pos = {place} // {8 ** k})""")
+        before = now
+    return out
+
+
+#: Levels written out: 8 ** 8 rows a language, 8 ** 4 languages.
+_LEAF = " || ".join(_written(c) for c in ("doc_id", "source", "lang", "n_chars", "text"))
+_CHECKED = " || ".join(_written(c) for c in ("doc_id", "source", "lang", "n_chars", "CASE WHEN crc % 3 = 0 THEN translate(text, 'ABCDEFGHIJKLMNOPQRSTUVWXYZ', 'abcdefghijklmnopqrstuvwxyz') ELSE text END"))
+MANIFEST = ",\n".join([
+    "WITH RECURSIVE step(i, k, c) AS (SELECT i, 0, i FROM range(256) AS t(i) UNION ALL SELECT i, k + 1, CASE WHEN c % 2 = 1 THEN xor(c >> 1, 3988292384) ELSE c >> 1 END FROM step WHERE k < 8)",
+    "crcs AS (SELECT list(c ORDER BY i) AS tab FROM step WHERE k = 8)",
+    """d AS (SELECT documents.*, xor(list_reduce(list_prepend(4294967295::BIGINT, list_transform(string_split(coalesce(doc_id::VARCHAR, ''), ''), lambda x: ascii(x)::BIGINT)),
+          lambda s, b: xor(tab[1 + xor(s, b) % 256], s >> 8)), 4294967295) AS crc FROM documents, crcs)""",
+    f"leaves AS (SELECT doc_id, coalesce('=' || lang, '') AS tree, sha256({_LEAF}) AS leaf, sha256({_CHECKED}) AS checked FROM d)",
+    """places AS (SELECT *, row_number() OVER (PARTITION BY tree ORDER BY doc_id NULLS FIRST, leaf, checked) - 1 AS pos, count(*) OVER (PARTITION BY tree) AS n FROM leaves)""",
+    "g0 AS (SELECT tree, pos, n, leaf AS digest FROM places)", *_tree("g", 8),
+    "groups AS (SELECT tree AS grp, digest, row_number() OVER (ORDER BY tree) - 1 AS pos, count(*) OVER () AS n FROM g_top)",
+    "u0 AS (SELECT '' AS tree, pos, n, digest FROM groups)", *_tree("u", 4),
+    "first AS (SELECT p.doc_id, p.tree, p.pos, p.leaf, g.pos AS place, g.digest AS subroot, p.checked AS digest, '' AS proof FROM places p JOIN groups g ON g.grp = p.tree)",
+    *_fold("g", "first", "f.tree", "f.pos", 8), *_fold("u", "g_f", "''", "f.place", 4),
+]) + """
+SELECT doc_id, leaf, subroot, t.digest AS root, sha256(proof) AS proof_sha256, u_f.digest AS folded_root, u_f.digest = t.digest AS verified FROM u_f, u_top t
+"""
