@@ -91,7 +91,7 @@ class Model:
         self.log = np.log((runs + 0.1) / (total + 0.1 * PLACES)).astype(np.float32).T.copy() if languages else np.zeros((PLACES, 0), np.float32)
         uses = letters >= SCRIPT_SHARE * np.maximum(letters.sum(axis=1, keepdims=True), 1)
         uses &= letters > 0
-        uses[:, ~uses.any(axis=0)] = True  # a script of no language leaves all alike
+        self.unknown = ~uses.any(axis=0)  # scripts of no language
         self.uses = uses.T
 
     def scores(self, words: Sequence[str]) -> np.ndarray:
@@ -101,9 +101,8 @@ class Model:
         starts = np.r_[0, np.cumsum(np.bincount(owner, minlength=len(words)))[:-1]]
         sums = np.add.reduceat(self.log[place[order]], starts, axis=0) / LONGEST
         script = scripts_of(words)
-        allowed = self.uses[script]
-        sums[~allowed] += FOREIGN
-        sums[allowed.all(axis=1) & (script == SCRIPTS.index(""))] = 0.0
+        sums[~self.uses[script]] += FOREIGN
+        sums[self.unknown[script]] = 0.0  # all languages alike
         return sums.astype(np.float64)
 
 
