@@ -54,10 +54,11 @@ def edges_sql(value: str, n: int, keys: str, source: str) -> str:
 
 
 BIN = "CASE WHEN len(e) >= 2 THEN greatest(len(list_filter(e, lambda x: x < {v})), 1) - 1 END"
+GRADED = f"""eg AS {edges_sql('r', 5, 'ts', 'pred')}, gb AS (SELECT p.*, {BIN.format(v='r')} AS b, row_number() OVER (PARTITION BY p.ts ORDER BY ticker) - 1 AS pos,
+  count(*) OVER (PARTITION BY p.ts) AS size FROM pred p JOIN eg USING (ts)),
+  graded AS (SELECT ts, ticker, s, r, CAST(coalesce(b, CASE WHEN size > 1 THEN least(greatest(ceil(pos * 5.0 / (size - 1)) - 1, 0), 4) ELSE 2 END) AS INT) AS relevance FROM gb)"""
 query("lbl04_relevance_grades", lambda i: L.relevance_grades(i.stored_predictions, "actual_return").select("timestamp", "ticker", "relevance"),
-      f"""{P}, eg AS {edges_sql('r', 5, 'ts', 'pred')}, gb AS (SELECT p.*, {BIN.format(v='r')} AS b, row_number() OVER (PARTITION BY p.ts ORDER BY ticker) - 1 AS pos,
-      count(*) OVER (PARTITION BY p.ts) AS size FROM pred p JOIN eg USING (ts))
-      SELECT {TS}, ticker, CAST(coalesce(b, CASE WHEN size > 1 THEN least(greatest(ceil(pos * 5.0 / (size - 1)) - 1, 0), 4) ELSE 2 END) AS INT) AS relevance FROM gb""")
+      f"{P}, {GRADED} SELECT {TS}, ticker, relevance FROM graded")
 query("spl01_windows", lambda i: L.windows_frame(i.panel, 6, 0.5, 30, 1.0),
       f"""WITH {PANEL}, t AS (SELECT max(ts) - {30 * DAY} AS m FROM panel) SELECT CAST(i AS INT) AS window_id, m - i * {int(0.5 * 365.25 * DAY)} - {int(365.25 * DAY)} AS train_end_ts,
       m - i * {int(0.5 * 365.25 * DAY)} AS test_end_ts FROM t, range(6) AS x(i)""")

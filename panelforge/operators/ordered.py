@@ -80,8 +80,8 @@ def fits_one_task(df: DataFrame, keys: Sequence[str]) -> bool:
     return group_sizes(df, keys).largest <= limit
 
 
-def fits_broadcast(table: DataFrame, on: Sequence[str], one_per_key: bool) -> bool:
-    limit = min(max_broadcast_rows(table.sparkSession), BROADCAST_BYTES // _row_bytes(table.schema))
+def fits_broadcast(table: DataFrame, on: Sequence[str], one_per_key: bool, row_bytes: int | None = None) -> bool:
+    limit = min(max_broadcast_rows(table.sparkSession), BROADCAST_BYTES // (row_bytes or _row_bytes(table.schema)))
     if one_per_key:
         for sizes, _ in reversed(_bounds):
             known = sizes().get(tuple(sorted(on)))
@@ -292,6 +292,8 @@ def average_ranks(df: DataFrame, columns: Sequence[str], keys: Sequence[str]) ->
     Rows may repeat, keys may be null, and values are compared in their own type.
     """
     keys, columns = list(keys), list(columns)
+    if keys and len(columns) > 2 and all(isinstance(df.schema[c].dataType, _FITS_DOUBLE) for c in columns):
+        return _ranks_of_many(df, columns, keys)
     if fits_one_task(df, keys):
         made: dict[str, Column] = {}
         for c in columns:
@@ -315,13 +317,56 @@ def average_ranks(df: DataFrame, columns: Sequence[str], keys: Sequence[str]) ->
     return out.select(*df.columns, *[f"{p}_{c}" for c in columns for p in ("_rank", "_count")])
 
 
-def lookup(df: DataFrame, table: DataFrame, on: Sequence[str], how: str = "left", one_per_key: bool = True) -> DataFrame:
+# Types whose values a double holds exactly.
+_FITS_DOUBLE = (T.DoubleType, T.FloatType, T.IntegerType, T.ShortType, T.ByteType)
+
+
+def _ranks_of_many(df: DataFrame, columns: list[str], keys: list[str]) -> DataFrame:
+    """``average_ranks`` of many columns by one sort: rows are taken apart into (row, column, value), ranked, and put together again.
+
+    The wide rows move once. Where a group is too large for one task, the values of all columns are placed by one range shuffle.
+    """
+    values = F.array(*[F.col(c).cast("double") for c in columns])
+    apart = F.posexplode(values).alias("_at", "_value")
+    if fits_one_task(df, keys):
+        # Dealt by the keys before they are taken apart, so that the windows and the putting together need no other exchange.
+        rows = df.repartition(*keys).withColumn("_row", F.monotonically_increasing_id())
+        tall = rows.select(*rows.columns, apart)
+        own = Window.partitionBy(*keys, "_at").orderBy(F.col("_value").asc_nulls_last())
+        last = F.count(F.lit(1)).over(own.rangeBetween(Window.unboundedPreceding, Window.currentRow))
+        ranked = tall.select(
+            *keys, "_row", "_at", F.when(F.col("_at") == 0, F.struct(*df.columns)).alias("_wide"),
+            F.when(F.col("_value").isNotNull(), (F.rank().over(own) + last) / 2.0).alias("_rank"),
+            F.count("_value").over(own.rowsBetween(Window.unboundedPreceding, Window.unboundedFollowing)).alias("_count"))
+        whole = ranked.groupBy(*keys, "_row").agg(
+            F.first("_wide", ignorenulls=True).alias("_wide"), F.sort_array(F.collect_list(F.struct("_at", "_rank", "_count"))).alias("_all"))
+        return whole.select("_wide.*", *[
+            F.get("_all", F.lit(i))[f"_{p}"].alias(f"_{p}_{c}") for i, c in enumerate(columns) for p in ("rank", "count")])
+    ensure_checkpoint_dir(df.sparkSession)
+    rows = df.withColumn("_row", F.monotonically_increasing_id()).checkpoint()
+    tall = rows.select(*keys, "_row", apart).filter(F.col("_value").isNotNull())
+    spread = tall.groupBy(*keys, "_at", "_value").agg(F.count(F.lit(1)).alias("_n"))
+    placed = running(spread, {"_end": ("sum", F.col("_n"))}, [*keys, "_at"], ["_value"])
+    ranks = placed.select(*keys, "_at", "_value", (F.col("_end") - (F.col("_n") - 1) / 2.0).alias("_rank"))
+    each = join_same(tall, ranks, [*keys, "_at", "_value"])
+    back = each.groupBy("_row").agg(*[F.max(F.when(F.col("_at") == i, F.col("_rank"))).alias(f"_rank_{c}") for i, c in enumerate(columns)])
+    counts = df.groupBy(*keys).agg(*[F.count(c).alias(f"_count_{c}") for c in columns])
+    if fits_broadcast(counts, keys, True):
+        counts = F.broadcast(counts)
+    out = join_same(rows.join(back, "_row", "left"), counts, keys, "left")
+    return out.select(*df.columns, *[f"_{p}_{c}" for c in columns for p in ("rank", "count")])
+
+
+def lookup(
+    df: DataFrame, table: DataFrame, on: Sequence[str], how: str = "left", one_per_key: bool = True, row_bytes: int | None = None
+) -> DataFrame:
     """Join a table of one row per key (or, with ``one_per_key=False``, a few).
 
-    Broadcast when its rows are known to be few, else salted when a key of ``df`` is hot.
+    Broadcast when its rows are known to be few, else salted when a key of ``df`` is hot. ``row_bytes`` is the width of a
+    row of ``table`` where its columns do not tell.
     """
     on = list(on)
-    if fits_broadcast(table, on, one_per_key):
+    if fits_broadcast(table, on, one_per_key, row_bytes):
         return df.join(F.broadcast(table), on, how)
     if fits_one_task(df, on):
         return df.join(table, on, how)
