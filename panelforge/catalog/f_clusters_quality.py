@@ -38,8 +38,49 @@ fc AS (SELECT ticker, count(*) AS n_obs, stddev_samp(x) * {Y} AS volatility, avg
   avg(CASE WHEN x > 0 THEN 1.0 ELSE 0.0 END) AS pos_days_pct, stddev_samp(s20) * {Y} AS vol_of_vol FROM g_y GROUP BY ticker HAVING count(*) >= 60)"""
 query("clu02_fast_characteristics", lambda i: rounded(C.fast_characteristics(coarse(i), 500, 60), 6),
       f"WITH {PANEL}, {COARSE}, {FAST} SELECT ticker, n_obs, {', '.join(r(c, c) for c in C.FAST_FEATURES)} FROM fc")
-query("clu03_assign_clusters", lambda i: C.assign_clusters(C.stored(C.ticker_characteristics(i.panel, 1500))))
-query("clu04_rolling_clusters", lambda i: C.rolling_clusters(coarse(i), 946684800000 + 400 * DAY, 5, 500, 60))
+
+
+def kmeans_sql(source: str, features, k: int, divisor: int, starts: int = 10, rounds: int = 20, seed: int = 42) -> str:
+    """Twin of the clusters: every start's centres drawn by hash, moved a fixed number of times, the cheapest start kept."""
+    cost = f"list_sum(list_transform(range(1, {len(features) + 1}), lambda i: (p.x[i] - c.x[i]) * (p.x[i] - c.x[i])))"
+    clean = ", ".join(f"coalesce(CASE WHEN isfinite({f}) THEN {f} END, 0.0) AS {f}" for f in features)
+    scales = ", ".join(f"avg({f}) AS m_{f}, stddev_pop({f}) AS s_{f}" for f in features)
+    x = ", ".join(f"({f} - m_{f}) / coalesce(nullif(s_{f}, 0), 1.0)" for f in features)
+    means = ", ".join(f"avg(x[{i + 1}])" for i in range(len(features)))
+
+    def drawn(turn: int, away: str) -> str:
+        chance = f"(('0x' || substr(md5('{seed}|' || start || '|{turn}|' || ticker), 1, 13))::BIGINT + 0.5) / {16**13}"
+        return f"""SELECT start, {turn} AS cluster, x FROM {away}, km_k WHERE cost > 0 AND {turn} < k
+          QUALIFY row_number() OVER (PARTITION BY start ORDER BY -ln({chance}) / cost, ticker) = 1"""
+
+    def nearest(centers: str) -> str:
+        return f"""SELECT p.start, p.ticker, p.x, c.cluster, {cost} AS cost FROM km_p p JOIN {centers} c USING (start)
+          QUALIFY row_number() OVER (PARTITION BY p.start, p.ticker ORDER BY {cost}, c.cluster) = 1"""
+
+    parts = [f"km_f AS (SELECT ticker, {clean} FROM {source})", f"km_m AS (SELECT {scales} FROM km_f)",
+             f"km_k AS (SELECT CASE WHEN count(*) < {k} THEN greatest(2, count(*) // {divisor}) ELSE {k} END AS k FROM km_f)",
+             f"km_p AS MATERIALIZED (SELECT ticker, [{x}] AS x, CAST(s AS INT) AS start FROM km_f, km_m, range({starts}) AS t(s))",
+             "km_0 AS (SELECT *, 1.0 AS cost FROM km_p)", f"km_c0 AS MATERIALIZED ({drawn(0, 'km_0')})"]
+    for j in range(1, k):
+        parts += [f"km_{j} AS (SELECT p.start, p.ticker, p.x, min({cost}) AS cost FROM km_p p JOIN km_c{j - 1} c USING (start) GROUP BY ALL)",
+                  f"km_c{j} AS MATERIALIZED (SELECT * FROM km_c{j - 1} UNION ALL {drawn(j, f'km_{j}')})"]
+    last = f"km_c{k - 1}"
+    for j in range(rounds):
+        parts += [f"km_a{j} AS MATERIALIZED ({nearest(last)})", f"km_m{j} AS (SELECT start, cluster, [{means}] AS x FROM km_a{j} GROUP BY start, cluster)",
+                  f"km_r{j} AS MATERIALIZED (SELECT o.start, o.cluster, coalesce(m.x, o.x) AS x FROM {last} o LEFT JOIN km_m{j} m USING (start, cluster))"]
+        last = f"km_r{j}"
+    parts += [f"km_l AS MATERIALIZED ({nearest(last)})",
+              "km_b AS (SELECT start FROM (SELECT start, floor(sum(cost) * 1e6 + 0.5) AS cost FROM km_l GROUP BY start) ORDER BY cost, start LIMIT 1)",
+              "km_n AS (SELECT cluster, row_number() OVER (ORDER BY min(ticker)) - 1 AS number FROM km_l JOIN km_b USING (start) GROUP BY cluster)",
+              "km AS (SELECT ticker, CAST(number AS INT) AS cluster FROM km_l JOIN km_b USING (start) JOIN km_n USING (cluster))"]
+    return ", ".join(parts)
+
+
+query("clu03_assign_clusters", lambda i: C.assign_clusters(C.stored(C.ticker_characteristics(i.panel, 1500))),
+      f"WITH {PANEL}, {chars_sql('panel', 'c', 1500)}, {kmeans_sql('ch', C.FULL_FEATURES, 6, 5)} SELECT ticker, cluster FROM km")
+CUT = 946684800000 + 400 * DAY
+query("clu04_rolling_clusters", lambda i: C.rolling_clusters(coarse(i), CUT, 5, 500, 60),
+      f"WITH {PANEL}, {COARSE.replace('coarse AS', 'coarse_all AS', 1)}, coarse AS (SELECT * FROM coarse_all WHERE ts <= {CUT}), {FAST}, {kmeans_sql('fc', C.FAST_FEATURES, 5, 3)} SELECT ticker, cluster FROM km")
 
 
 def cluster_map(i: Inputs):
@@ -83,6 +124,12 @@ PAIRS = "pa AS (SELECT 'g' || (s_nationkey % 3) AS grp, 'T' || s_suppkey || '.NZ
 query("clu08_pair_correlations", lambda i: rounded(C.pair_correlations(C.grid_returns(coarse(i)), pairs(i), 40)),
       f"""WITH {PANEL}, {COARSE}, {FAST}, {PAIRS}, pcn AS (SELECT a, b, corr(x.x, y.x) AS c, count(*) AS n FROM pa JOIN g_x x ON x.ticker = a JOIN g_x y ON y.ticker = b AND y.ts = x.ts GROUP BY a, b),
       v AS (SELECT pa.a, pa.b, coalesce(CASE WHEN n >= 40 THEN c END, 0.0) AS c FROM pa LEFT JOIN pcn USING (a, b)) SELECT a, b, {r('c', 'correlation')}, {r('least(greatest(1 - c, 0.0), 2.0)', 'distance')} FROM v""")
+query("clu08_nearest_tickers", lambda i: rounded(C.nearest_tickers(C.grid_returns(coarse(i)), 10, 40, 32)),
+      f"""WITH {PANEL}, {COARSE}, {FAST}, tks AS (SELECT DISTINCT ticker FROM g_x),
+      prs AS (SELECT x.ticker AS a, y.ticker AS b, corr(x.x, y.x) AS c, count(*) AS n FROM g_x x JOIN g_x y ON y.ts = x.ts AND y.ticker <> x.ticker GROUP BY x.ticker, y.ticker),
+      v AS (SELECT t.ticker AS a, o.ticker AS b, coalesce(CASE WHEN n >= 40 AND isfinite(c) THEN c END, 0.0) AS c FROM tks t JOIN tks o ON o.ticker <> t.ticker LEFT JOIN prs ON prs.a = t.ticker AND prs.b = o.ticker),
+      w AS (SELECT *, row_number() OVER (PARTITION BY a ORDER BY c DESC, b) AS p FROM v)
+      SELECT a AS ticker, CAST(p AS INT) AS place, b AS other, {r('c', 'correlation')}, {r('least(greatest(1 - c, 0.0), 2.0)', 'distance')} FROM w WHERE p <= 10""")
 query("clu09_pair_agreement", lambda i: rounded(C.pair_agreement(pairs(i), cluster_map(i))),
       f"""WITH {MAP}, {PAIRS} SELECT grp AS "group", {r('avg(CASE WHEN x.cluster = y.cluster THEN 1.0 ELSE 0.0 END)', 'share_together')}, count(*) AS n_pairs
       FROM pa JOIN cm x ON x.ticker = a JOIN cm y ON y.ticker = b GROUP BY grp""")

@@ -5,9 +5,9 @@ from __future__ import annotations
 import math
 from collections.abc import Sequence
 
-from pyspark.ml.clustering import KMeans
-from pyspark.ml.feature import VectorAssembler
-from pyspark.sql import Column, DataFrame
+import numpy as np
+import pandas as pd
+from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from panelforge.functions.columns import clip, finite, kurt_sample, pearson, rstd, skew_sample
@@ -79,17 +79,55 @@ def z_scores(stats: DataFrame, features: Sequence[str]) -> DataFrame:
     return clean.select("ticker", *[((F.col(c) - F.lit(row[c]["m"])) / F.lit(row[c]["s"] or 1.0)).alias(c) for c in features])
 
 
-def assign_clusters(stats: DataFrame, features: Sequence[str] = FULL_FEATURES, k: int = 6, divisor: int = 5, seed: int = 42, starts: int = 10) -> DataFrame:
-    """(ticker, cluster): k-means on standardised figures, best of several starts; fewer clusters for few tickers."""
+def assign_clusters(
+    stats: DataFrame, features: Sequence[str] = FULL_FEATURES, k: int = 6, divisor: int = 5, seed: int = 42, starts: int = 10, rounds: int = 20
+) -> DataFrame:
+    """(ticker, cluster): k-means on standardised figures, the cheapest of several starts; fewer clusters for few tickers.
+
+    All starts run side by side. A start draws its centres by hash, each with a chance in proportion to the squared distance from those it has, and
+    moves them ``rounds`` times; a centre that lost all its tickers stays where it was. The same figures always give the same clusters.
+    """
     n = stats.count()
     if n < 2:
         return stats.select("ticker", F.lit(0).alias("cluster"))
     if n < k:
         k = max(2, n // divisor)
-    points = VectorAssembler(inputCols=list(features), outputCol="features").transform(stored(z_scores(stats, features)))
-    fits = [KMeans(k=k, seed=seed + s, maxIter=100).fit(points) for s in range(starts)]
-    best = min(fits, key=lambda m: m.summary.trainingCost)
-    return best.transform(points).select("ticker", F.col("prediction").alias("cluster"))
+    names = list(features)
+    points = stored(z_scores(stats, names).select("ticker", F.array(*names).alias("x"), F.explode(F.sequence(F.lit(0), F.lit(starts - 1))).alias("start")))
+    centers: dict[tuple[int, int], list[float]] = {}
+    for turn in range(k):
+        draw = F.md5(F.concat_ws("|", F.lit(str(seed)), F.col("start").cast("string"), F.lit(str(turn)), F.col("ticker")))
+        chance = (F.conv(F.substring(draw, 1, 13), 16, 10).cast("double") + 0.5) / F.lit(16.0**13)
+        away = _nearest(points, centers) if centers else points.withColumn("cost", F.lit(1.0))
+        # The first of exponential arrivals, at rates in proportion to the costs.
+        drawn = away.filter("cost > 0").groupBy("start").agg(F.min_by("x", F.struct((-F.log(chance) / F.col("cost")).alias("wait"), F.col("ticker"))).alias("x"))
+        centers |= {(r["start"], turn): r["x"] for r in drawn.collect()}  # one row per start
+    for _ in range(rounds):
+        means = _nearest(points, centers).groupBy("start", "cluster").agg(F.array(*[F.avg(F.get("x", F.lit(i))) for i in range(len(names))]).alias("x"))
+        centers |= {(r["start"], r["cluster"]): r["x"] for r in means.collect()}  # one row per start and cluster
+    last = stored(_nearest(points, centers))
+    # Starts that end alike differ in the last digits only.
+    cost = F.floor(F.sum("cost") * F.lit(1e6) + F.lit(0.5)).alias("cost")
+    best = last.groupBy("start").agg(cost).orderBy("cost", "start").first()["start"]
+    kept = last.filter(F.col("start") == best).select("ticker", "cluster")
+    # Numbered by their first ticker, since two starts may find the same clusters in another order.
+    firsts = kept.groupBy("cluster").agg(F.min("ticker").alias("first"))
+    numbers = firsts.select("cluster", (F.row_number().over(Window.orderBy("first")) - 1).alias("number"))  # k rows
+    return kept.join(F.broadcast(numbers), "cluster").select("ticker", F.col("number").cast("int").alias("cluster"))
+
+
+def _nearest(points: DataFrame, centers: dict[tuple[int, int], list[float]]) -> DataFrame:
+    """Add the ``cluster`` of each point among the centres of its start, the smaller number where two are as near, and its ``cost``."""
+    spark = points.sparkSession
+    rows = [(s, k, [float(v) for v in x]) for (s, k), x in sorted(centers.items())]
+    table = spark.createDataFrame(rows, "start int, cluster int, c array<double>").groupBy("start").agg(
+        F.sort_array(F.collect_list(F.struct("cluster", "c"))).alias("_centers"))  # starts times clusters rows
+
+    def cost(c: Column) -> Column:
+        return F.aggregate(F.zip_with("x", c["c"], lambda a, b: (a - b) * (a - b)), F.lit(0.0), lambda s, d: s + d)
+
+    best = F.array_min(F.transform("_centers", lambda c: F.struct(cost(c).alias("cost"), c["cluster"].alias("cluster"))))
+    return points.join(F.broadcast(table), "start").withColumn("_best", best).select("ticker", "x", "start", "_best.cluster", "_best.cost")
 
 
 def rolling_clusters(panel: DataFrame, train_end: int, k: int = 10, lookback: int = 500, min_obs: int = 100) -> DataFrame:
@@ -185,6 +223,71 @@ def pair_correlations(returns: DataFrame, pairs: DataFrame, min_common: int = 50
     return joined.select("a", "b", value.alias("correlation"), clip(1 - value, 0.0, 2.0).alias("distance"))
 
 
+#: Tickers in a block of ``nearest_tickers``: a task holds two blocks' returns and six square arrays of this side.
+BLOCK_TICKERS = 256
+
+
+def nearest_tickers(returns: DataFrame, k: int = 10, min_common: int = 50, block_tickers: int = BLOCK_TICKERS) -> DataFrame:
+    """(ticker, place, other, correlation, distance): each ticker's ``k`` most correlated others, best first, ties by name.
+
+    Correlations are taken over the dates common to both; under ``min_common`` of them, or without spread, they are zero. Tickers are dealt to
+    blocks by hash, every two blocks meet in one task, which multiplies them as matrices and passes on ``k`` rows per ticker; the whole matrix is never formed.
+    A task holds two blocks of ``block_tickers`` rows by the number of dates.
+    """
+    series = returns.filter("ticker is not null and x is not null").groupBy("ticker").agg(
+        F.sort_array(F.collect_list(F.struct("timestamp", "x"))).alias("_rows"))
+    series = stored(series.select("ticker", F.col("_rows.timestamp").alias("at"), F.col("_rows.x").alias("x")))
+    blocks = max(1, math.ceil(series.count() / block_tickers))
+    own = F.pmod(F.xxhash64("ticker"), F.lit(blocks)).cast("int")
+    other = F.explode(F.sequence(F.lit(0), F.lit(blocks - 1)))
+    dealt = series.withColumn("own", own).withColumn("other", other).select(
+        F.least("own", "other").alias("a"), F.greatest("own", "other").alias("b"), "own", "ticker", "at", "x")
+
+    def meet(rows: pd.DataFrame) -> pd.DataFrame:
+        rows = rows.sort_values("ticker", ignore_index=True)
+        first, second = (rows[rows["own"] == rows[side].iloc[0]] for side in ("a", "b"))
+        r = _correlations(first, second, min_common)
+        found = [_best_of(first, second, r, k)]
+        if rows["a"].iloc[0] != rows["b"].iloc[0]:
+            found.append(_best_of(second, first, r.T, k))
+        return pd.concat(found, ignore_index=True)
+
+    met = dealt.groupBy("a", "b").applyInPandas(meet, "ticker string, other string, correlation double")
+    place = F.row_number().over(Window.partitionBy("ticker").orderBy(F.col("correlation").desc(), "other"))
+    best = met.withColumn("place", place).filter(F.col("place") <= k)
+    return best.select("ticker", "place", "other", "correlation", clip(1 - F.col("correlation"), 0.0, 2.0).alias("distance"))
+
+
+def _correlations(first: pd.DataFrame, second: pd.DataFrame, min_common: int) -> np.ndarray:
+    """Correlation of every row of one block with every row of the other, over their common dates."""
+    dates = np.unique(np.concatenate([*first["at"], *second["at"]]))
+
+    def grid(block: pd.DataFrame) -> tuple[np.ndarray, np.ndarray]:
+        value, known = np.zeros((len(block), len(dates))), np.zeros((len(block), len(dates)))
+        for i, (at, x) in enumerate(zip(block["at"], block["x"])):
+            place = np.searchsorted(dates, at)
+            value[i, place], known[i, place] = x, 1.0
+        return value, known
+
+    (x, p), (y, q) = grid(first), grid(second)
+    n = p @ q.T
+    with np.errstate(divide="ignore", invalid="ignore"):
+        mx, my = x @ q.T / n, p @ y.T / n
+        cov, vx, vy = x @ y.T / n - mx * my, (x * x) @ q.T / n - mx * mx, p @ (y * y).T / n - my * my
+        r = np.clip(cov / np.sqrt(vx * vy), -1.0, 1.0)
+    spread = (vx > 1e-14 * (mx * mx + vx)) & (vy > 1e-14 * (my * my + vy))
+    return np.where((n >= min_common) & spread & np.isfinite(r), r, 0.0)
+
+
+def _best_of(rows: pd.DataFrame, others: pd.DataFrame, r: np.ndarray, k: int) -> pd.DataFrame:
+    """The ``k`` best columns of each row; columns are sorted by name, so a stable sort settles ties."""
+    names, mine = others["ticker"].to_numpy(), rows["ticker"].to_numpy()
+    r = np.where(mine[:, None] == names[None, :], -np.inf, r)
+    order = np.argsort(-r, axis=1, kind="stable")[:, :k]
+    out = pd.DataFrame({"ticker": np.repeat(mine, order.shape[1]), "other": names[order.ravel()], "correlation": np.take_along_axis(r, order, 1).ravel()})
+    return out[np.isfinite(out["correlation"])]
+
+
 def pair_agreement(pairs: DataFrame, clusters: DataFrame) -> DataFrame:
     """Per group of listed pairs (group, a, b): share whose two tickers are in one cluster, of pairs with both known."""
     side = lambda c: clusters.select(F.col("ticker").alias(c), F.col("cluster").alias(f"{c}_cluster"))

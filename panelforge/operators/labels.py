@@ -13,7 +13,8 @@ from panelforge.functions.columns import DAY_MS, clip
 from panelforge.operators.ordered import (
     average_ranks, fill_last, fits_one_task, group_quantiles, group_sizes, lookup, number_rows,
 )
-from panelforge.session import max_group_rows, stored
+from panelforge.operators.quantiles import exact_quantiles
+from panelforge.session import max_group_rows, stored, written
 
 YEAR_DAYS = 365.25
 
@@ -193,16 +194,10 @@ def robust_stats(df: DataFrame, columns: Sequence[str]) -> DataFrame:
     """(feature, q25, median, q75, is_binary) over all rows: exact quantiles, no sample."""
     columns = list(columns)
     spark = df.sparkSession
-    whole = df.select(*[F.col(c).cast("double").alias(c) for c in columns])
+    whole = written(df.select(*[F.col(c).cast("double").alias(c) for c in columns]), "columns")
     ends = [F.struct(F.min(c).alias("lo"), F.max(c).alias("hi")).alias(f"e{i}") for i, c in enumerate(columns)]
-    quarters = F.array(F.lit(0.25), F.lit(0.5), F.lit(0.75))
-    if fits_one_task(df, []):
-        row = whole.agg(*ends, *[F.percentile(c, quarters).alias(f"q{i}") for i, c in enumerate(columns)]).first()
-        edges = {c: row[f"q{i}"] for i, c in enumerate(columns)}
-    else:
-        row = whole.agg(*ends).first()
-        tall = whole.select(F.inline(F.array(*[F.struct(F.lit(c).alias("feature"), F.col(c).alias("value")) for c in columns])))
-        edges = {r["feature"]: r["edges"] for r in group_quantiles(tall, ["feature"], "value", [0.25, 0.5, 0.75]).collect()}
+    row = whole.agg(*ends).first()
+    edges = exact_quantiles(whole, columns, [0.25, 0.5, 0.75])
     bounds = {c: row[f"e{i}"] for i, c in enumerate(columns)}
     # Binary <=> nothing strictly between the smallest and largest value. A quartile in between
     # settles most columns; the rest are counted in one more pass.

@@ -227,12 +227,39 @@ def backtest(df: DataFrame, config: PortfolioConfig, horizon_days: int = 1, pric
     }).drop("n", "daily_vol", "daily_dd", "config_id")
 
 
+def _extreme_orders(rows: DataFrame, wanted: int, n_trials: int, seed: int) -> DataFrame:
+    """timestamp, ticker, actual_return, trial, order: of each date and trial a few more than the ``wanted`` rows at either end of a random order.
+
+    The order is a hash, so an end is the rows beyond a threshold, set by the date's size to pass a little more than needed. Where
+    it passes fewer, all rows of that date and trial are taken.
+    """
+    rows = stored(rows.select("timestamp", "ticker", "actual_return"))
+    sizes = stored(rows.groupBy("timestamp").agg(F.count(F.lit(1)).alias("_n")))
+    share = (wanted + 4 * wanted**0.5 + 4) / F.col("_n")
+    sizes = sizes.withColumn("_share", F.when(share > 0.5, F.lit(1.0)).otherwise(share))
+    trials = F.sequence(F.lit(0), F.lit(n_trials - 1))
+
+    def ordered(df: DataFrame) -> DataFrame:
+        return df.withColumn("order", F.md5(F.concat_ws("|", F.lit(str(seed)), F.col("trial").cast("string"), F.col("timestamp").cast("string"), F.col("ticker"))))
+
+    place = F.conv(F.substring("order", 1, 8), 16, 10).cast("double") / F.lit(16.0**8)
+    drawn = ordered(lookup(rows, sizes, ["timestamp"]).withColumn("trial", F.explode(trials))).withColumn("_place", place)
+    low, high = F.col("_place") < F.col("_share"), F.col("_place") >= 1 - F.col("_share")
+    passed = stored(drawn.filter(low | high))
+    enough = passed.groupBy("timestamp", "trial").agg(F.count_if(low).alias("_low"), F.count_if(high).alias("_high"), F.max("_share").alias("_of"))
+    full = enough.filter((F.col("_of") >= 1) | ((F.col("_low") >= wanted) & (F.col("_high") >= wanted))).select("timestamp", "trial")
+    short = stored(sizes.select("timestamp", F.explode(trials).alias("trial")).join(full, ["timestamp", "trial"], "left_anti"))
+    names = ["timestamp", "ticker", "actual_return", "trial", "order"]
+    # Both sides are rare, so they are joined by date without a look at sizes.
+    whole = ordered(rows.join(short, "timestamp"))
+    return passed.join(short, ["timestamp", "trial"], "left_anti").select(*names).unionByName(whole.select(*names))
+
+
 def random_baseline(
     df: DataFrame, config: PortfolioConfig, horizon_days: int, n_trials: int = 100, model_sharpe: float | None = None, seed: int = 42
 ) -> DataFrame:
     """One row over ``n_trials`` hash-ordered portfolios: Sharpe and return moments, percentile of the model."""
-    trials = on_dates(df, horizon_days).select("timestamp", "ticker", "actual_return", F.explode(F.sequence(F.lit(0), F.lit(n_trials - 1))).alias("trial"))
-    scored = trials.withColumn("order", F.md5(F.concat_ws("|", F.lit(str(seed)), F.col("trial").cast("string"), F.col("timestamp").cast("string"), F.col("ticker"))))
+    scored = _extreme_orders(on_dates(df, horizon_days), max(config.top_n, 0 if config.long_only else config.bottom_n), n_trials, seed)
     held = stored(positions(scored, [config], ["trial"], "order"))
     runs = trial_records(stored(net_returns(held, ["trial"])))
     ok = runs.filter("sharpe is not null and not isnan(sharpe)")

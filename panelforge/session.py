@@ -70,3 +70,10 @@ def stored(df: DataFrame) -> DataFrame:
     """Write an intermediate that several later steps read to the checkpoint folder, once."""
     ensure_checkpoint_dir(df.sparkSession)
     return df.checkpoint()
+
+
+def written(df: DataFrame, name: str) -> DataFrame:
+    """Write an intermediate as a table by columns, for steps that read a few of them at a time."""
+    path = shared_folder(df.sparkSession, name)
+    df.write.parquet(path)
+    return df.sparkSession.read.schema(df.schema).parquet(path)
