@@ -1,6 +1,7 @@
 """Main text of web pages: parser events, text-to-tag ratios per line, Gaussian smoothing and a threshold.
 
-The standard library's parser streams events into lines: a line is the text between two borders of block elements. Elements that
+The standard library's parser streams events into lines: a line is the text between two borders of block elements. An unwanted element within a line
+is left out of it and does not cut it; the words of a label or button in a paragraph are its own. Elements that
 are never article text (menus, headers and footers of the page, sidebars, notices, adverts, forms, scripts, styles, reader comments, hidden
 parts), known by their tag, role, class or id, give no lines. A class or id counts as a whole: "sidebar" or "site-nav", but not "with-sidebar" or
 "comments-open"; and it does not count against an element that holds most of the content, unless an article or main element beside it has content.
@@ -17,6 +18,7 @@ from __future__ import annotations
 
 import re
 from html.parser import HTMLParser
+from itertools import groupby
 
 import numpy as np
 import pyarrow as pa
@@ -47,6 +49,8 @@ _BESIDE = frozenset(
     " icons section group panel row column col posts thread form inline fixed sticky the js".split())
 _PARTS = re.compile(r"[A-Z]+(?![a-z])|[A-Z]?[a-z]+")
 _CLOSED_BY_BLOCK = frozenset(["p"])
+#: Form elements whose words, in a paragraph, are words of the paragraph.
+_WORDED = frozenset(["button", "label"])
 _ITEMS = {"li": ("ul", "ol", "menu", "dir"), "dt": ("dl",), "dd": ("dl",), "tr": ("table",), "td": ("tr", "table"), "th": ("tr", "table"), "option": ("select",)}
 
 
@@ -80,7 +84,10 @@ def _named(tag: str, attrs: list[tuple[str, str | None]], in_article: bool) -> i
 
 
 class Lines(HTMLParser):
-    """Turns events into lines: (text, characters outside links, tags, open regions)."""
+    """Turns events into lines: (text, characters outside links, tags, innermost region, text as it stands, block).
+
+    A block is one line, or several where a named element within it makes a region of its own.
+    """
 
     def __init__(self):
         super().__init__(convert_charrefs=True)
@@ -90,38 +97,44 @@ class Lines(HTMLParser):
         self.named: dict[int, int] = {}  # regions that by their name are no article text
         self.never = 0  # depth in the stack at which the outermost unwanted element stands, plus one
         self.links = self.articles = 0
-        self.lines: list[tuple[str, int, int, int]] = []
+        self.lines: list[tuple[str, int, int, int, str, int]] = []
         self.parts: list[str] = []
-        self.plain = self.tags = 0
+        self.plain = self.tags = self.block = 0
 
-    def cut(self) -> None:
-        if self.parts:
-            text = " ".join("".join(self.parts).split())
-            if text:
-                self.lines.append((text, self.plain, self.tags, self.open[-1] if self.open else 0))
+    def cut(self, border: bool = True) -> None:
+        """End a line; ``border`` ends its block too. Nothing ends within an unwanted element."""
+        if self.never:
+            return
+        raw = "".join(self.parts)
+        text = " ".join(raw.split())
+        if text:
+            self.lines.append((text, self.plain, self.tags, self.open[-1] if self.open else 0, raw, self.block))
+        if text or border:
             self.parts = []
         self.plain = self.tags = 0
+        self.block += border
 
     def handle_starttag(self, tag: str, attrs: list[tuple[str, str | None]]) -> None:
+        around = max(0, self.never - 1)  # what opens in an unwanted element closes nothing around it
         if tag in _BLOCK:
-            self.close_to(_CLOSED_BY_BLOCK, ("body", "article", "section", "div", "td", "th", "li", "table", "button", "object"))
+            self.close_to(_CLOSED_BY_BLOCK, ("body", "article", "section", "div", "td", "th", "li", "table", "button", "object"), around)
             self.cut()
         if tag in _ITEMS:
-            self.close_to((tag,) if tag not in ("dt", "dd", "td", "th") else ("dt", "dd") if tag in ("dt", "dd") else ("td", "th"), _ITEMS[tag])
-        self.tags += 1
+            self.close_to((tag,) if tag not in ("dt", "dd", "td", "th") else ("dt", "dd") if tag in ("dt", "dd") else ("td", "th"), _ITEMS[tag], around)
+        self.tags += not self.never
         if tag in _VOID:
             if tag == "br" and not self.never:
                 self.parts.append(" ")
             return
-        if not self.never and _never(tag, attrs, self.articles > 0):
-            self.cut()
+        worded = tag in _WORDED and any(t == "p" for t, _ in self.stack)
+        if not self.never and not worded and _never(tag, attrs, self.articles > 0):
             self.never = len(self.stack) + 1
         region = -1
         named = 0 if self.never else _named(tag, attrs, self.articles > 0)
         if (tag in _REGION or named) and not self.never:
             region = len(self.regions)
             if named:
-                self.cut()
+                self.cut(tag in _BLOCK)
                 self.named[region] = named
             self.regions.append((tag, self.open[-1] if self.open else 0))
             self.open.append(region)
@@ -130,11 +143,12 @@ class Lines(HTMLParser):
         self.articles += tag in ("article", "main")
 
     def handle_startendtag(self, tag: str, attrs: list[tuple[str, str | None]]) -> None:
-        self.handle_starttag(tag, attrs)  # in HTML the slash means nothing
+        if tag not in ("svg", "math"):  # elsewhere the slash means nothing
+            self.handle_starttag(tag, attrs)
 
-    def close_to(self, tags: tuple[str, ...] | frozenset[str], walls: tuple[str, ...]) -> None:
-        """Close the nearest open element among ``tags``, unless one of ``walls`` stands before it."""
-        for i in range(len(self.stack) - 1, -1, -1):
+    def close_to(self, tags: tuple[str, ...] | frozenset[str], walls: tuple[str, ...], lowest: int = 0) -> None:
+        """Close the nearest open element among ``tags``, unless one of ``walls`` stands before it or it stands below ``lowest``."""
+        for i in range(len(self.stack) - 1, lowest - 1, -1):
             tag = self.stack[i][0]
             if tag in tags:
                 self.pop(i)
@@ -146,17 +160,16 @@ class Lines(HTMLParser):
         while len(self.stack) > to:
             tag, region = self.stack.pop()
             if tag in _BLOCK or region >= 0:
-                self.cut()
+                self.cut(tag in _BLOCK)
             if region >= 0:
                 self.open.pop()
             self.links -= tag == "a"
             self.articles -= tag in ("article", "main")
             if self.never > len(self.stack):
-                self.parts = []
                 self.never = 0
 
     def handle_endtag(self, tag: str) -> None:
-        self.tags += 1
+        self.tags += not self.never
         if tag in _VOID:
             return
         if tag in _BLOCK:
@@ -179,9 +192,9 @@ def smoothed(x: np.ndarray, sigma: float = SIGMA) -> np.ndarray:
     return np.convolve(padded, kernel / kernel.sum(), mode="valid")
 
 
-def _content(lines: list[tuple[str, int, int, int]]) -> list[tuple[int, int]]:
+def _content(lines: list[tuple[str, int, int, int, str, int]]) -> list[tuple[int, int]]:
     """(region, characters) of the lines above the threshold. Only lines of links are looked at if there are no others."""
-    lines = [x for x in lines if x[1] > 0] or [(x[0], len(x[0]), x[2], x[3]) for x in lines]
+    lines = [x for x in lines if x[1] > 0] or [(x[0], len(x[0]), *x[2:]) for x in lines]
     ratio = smoothed(np.array([x[1] / max(1, x[2]) for x in lines]))
     return [(x[3], x[1]) for x, on in zip(lines, ratio >= min(ratio.std(), ratio.mean())) if on]
 
@@ -204,7 +217,7 @@ def _within(regions: list[tuple[str, int]], tops: set[int]) -> list[bool]:
     return inside
 
 
-def _unwanted(regions: list[tuple[str, int]], named: dict[int, int], lines: list[tuple[str, int, int, int]]) -> list[bool]:
+def _unwanted(regions: list[tuple[str, int]], named: dict[int, int], lines: list[tuple[str, int, int, int, str, int]]) -> list[bool]:
     """Regions in an element that goes by its name. One that holds most of the content stays if no article or main element beside it has content.
 
     For reader comments the article or main element around them counts too.
@@ -246,7 +259,8 @@ def main_text(html: str) -> str:
             region = up
         up = regions[up][1]
     inside = _within(regions, {region})
-    return "\n".join(x[0] for x in lines if inside[x[3]])
+    kept = groupby((x for x in lines if inside[x[3]]), key=lambda x: x[5])
+    return "\n".join(" ".join("".join(x[4] for x in block).split()) for _, block in kept)
 
 
 def extract(pages: DataFrame, html_col: str = "html") -> DataFrame:
