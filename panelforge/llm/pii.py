@@ -299,7 +299,7 @@ def _normal(score: np.ndarray) -> np.ndarray:
 
 
 def fit(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", sample_rows: int = SAMPLE_ROWS, sample_nodes: int = SAMPLE_NODES) -> Model:
-    """Weights from a sample of about ``sample_rows`` documents. Only feature numbers and edges reach the driver."""
+    """Weights from a sample of at most ``sample_rows`` documents and the first ``sample_nodes`` mentions of each. Only feature numbers and edges reach the driver."""
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in slices(batches, "_text"):
             label, alike, feats, edges, around = [], [], [], [], []
@@ -314,7 +314,7 @@ def fit(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", sample_
             kind = pa.list_(pa.int64())
             yield pa.RecordBatch.from_arrays([pa.array(v, type=kind) for v in (label, alike, feats, edges, around)], names=["label", "alike", "feats", "edges", "around"])
 
-    sample = hashed_sample(docs, F.col(id_col), sample_rows).select(F.col(text_col).alias("_text"))
+    sample = hashed_sample(docs, id_col, text_col, sample_rows)
     found = sample.mapInArrow(run, "label array<long>, alike array<long>, feats array<long>, edges array<long>, around array<long>").where(F.size("label") > 0)
     rows = sorted(tuple(map(tuple, r)) for r in found.collect())  # bounded: see sample_rows and sample_nodes
     batch = Batch([])

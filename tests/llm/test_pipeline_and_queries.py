@@ -83,8 +83,10 @@ def test_stages(spark):
     assert all(r["text"] is None or r["n_chars"] == len(r["text"]) and not pii.base_spans(r["text"]) for r in after.values())
 
     mixed = stages["mixing"](spark, docs, SMALL)
-    assert set(names) <= set(mixed.columns) and mixed.count() > 0
+    assert set(mixed.columns) == {*names, "doc_shard", "pass", "words", "place"} and {r[0] for r in mixed.select("doc_shard").distinct().collect()} == {"clash"}
     assert mixed.where("size(regexp_extract_all(text, '[^ \\\\t\\\\n\\\\x0B\\\\f\\\\r]+', 0)) <> words").count() == 0
+    # Whole rows only, as they came in.
+    assert 0 < mixed.count() and {tuple(r) for r in mixed.select(*COLUMNS).collect()} <= {tuple(r) for r in docs.select(*COLUMNS).collect()}
 
     for name, stage in corpus_pipeline.STAGES:
         assert stage(spark, docs.limit(0), SMALL).count() == 0, name

@@ -388,6 +388,45 @@ def test_nearest_votes_against_brute_force():
     assert np.allclose(quality_knn.votes(space, asked), want, atol=1e-5)
 
 
+def test_directions_against_exact_decomposition():
+    """Projections on all directions keep every product of the weighted term shares."""
+    texts = [" ".join(prose(i, 60, 80)).encode() for i in range(30)]
+    space = quality_knn.fit(texts, [1] * 15 + [0] * 15, dims=200)
+    x = quality_knn.matrix([quality_knn.terms(t) for t in texts], space.column, len(space.weight)) * space.weight
+    u, d, _ = np.linalg.svd(x, full_matrices=False)
+    assert space.directions.shape[1] == 30 and np.allclose(space.directions.T @ space.directions, np.eye(30), atol=1e-4)
+    want = u * d
+    want /= np.linalg.norm(want, axis=1, keepdims=True)
+    assert np.allclose(space.vectors @ space.vectors.T, want @ want.T, atol=1e-3)
+    few = quality_knn.leading(x, 5)
+    assert np.linalg.norm(x @ few) ** 2 >= 0.98 * (d[:5] ** 2).sum()
+
+
+def test_labels_that_show_in_the_vocabulary_alone():
+    """Both classes have the same word shapes and repetitions; only the words differ."""
+    r = random.Random(11)
+    words = [[f"{a}{b}{c}e" for a in "bcdf" for b in vowels for c in "lmnr"] for vowels in ("ai", "ou")]
+    texts, labels = [], []
+    for i in range(300):
+        y = i % 2
+        texts.append(" ".join(r.choice(words[y]) for _ in range(80)).encode())
+        labels.append(y)
+    space = quality_knn.fit(texts[:200], labels[:200])
+    got = quality_knn.votes(space, texts[200:]) >= 0.5
+    assert (got == np.array(labels[200:], dtype=bool)).mean() >= 0.98
+
+
+def test_sample_is_bounded_where_ids_are_null_or_repeat(spark):
+    rows = spark.range(9_000).select(
+        F.when(F.col("id") % 3 == 0, None).when(F.col("id") % 3 == 1, 7).otherwise(F.col("id")).alias("doc_id"), F.concat(F.lit("text "), F.col("id")).alias("text"))
+    got = quality_rules.hashed_sample(rows, "doc_id", "text", 500)
+    again = quality_rules.hashed_sample(rows.repartition(7), "doc_id", "text", 500)
+    assert got.count() == 500 and sorted(got.collect()) == sorted(again.collect())
+    alike = rows.select(F.lit(None).cast("long").alias("doc_id"), F.lit("same").alias("text"))
+    assert quality_rules.hashed_sample(alike, "doc_id", "text", 500).count() <= 1
+    assert quality_rules.hashed_sample(rows.limit(0), "doc_id", "text", 500).count() == 0
+
+
 # ---- HTML
 
 PAGE = """<!DOCTYPE html><html><head><title>T</title><script>if (a < b) "</p>";</script></head><body class="has-sidebar"><div id="topbar">Site</div>
@@ -433,6 +472,16 @@ def test_region_holds_all_content():
         assert len(got) == 5 and any("The lead" in x for x in got)
 
 
+@pytest.mark.parametrize("html, want", [
+    ("<p>foo <svg/> bar <script>x</script> baz</p>", "foo bar baz"), ("<p>foo <span hidden>no</span>bar</p><p>x", "foo bar\nx"), ("<div>a <select><option>x<option>y</select> b</div>", "a b"),
+    ("<p>Press <button>Go</button> or <label>this</label> now.</p><form><label>Name</label></form>", "Press Go or this now."), ("<p>one<noscript><p>no</p></noscript> two</p>", "one two"),
+    ("<p>foo <audio><p>no</audio>bar <video>no</video></p><nav>m<p>n</nav><p>end", "foo bar\nend"), ("<ul><li hidden>x<li>y<li>z</ul>", "y\nz"), ("<p>a<math/>b</p><button>Share</button>", "ab"),
+    ("<p>f(x) = <svg><path d=1/><text>no</text></svg>2</p>", "f(x) = 2"),
+])
+def test_unwanted_elements_within_a_block_do_not_cut_it(html, want):
+    assert html_text.main_text(html) == want
+
+
 def test_pages_without_article(spark):
     rows = [(1, "u", None), (2, "u", ""), (3, None, "just text &eacute;"), (4, "u", "<nav>menu</nav>"), (5, "u", "<p>" * 20_000), (6, "u", "<div>" * 5_000 + "deep text")]
     got = {r["page_id"]: (r["text"], r["n_chars"]) for r in html_text.extract(spark.createDataFrame(rows, "page_id long, url string, html string").withColumn("text", F.lit("clash"))).collect()}
