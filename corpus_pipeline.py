@@ -49,16 +49,20 @@ def private(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
 
 
 def mixture(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """The training mix: a row for each draw of a document, dealt to its shard and in the shard's order.
+    """The training mix: a row for each draw of a document, dealt to its shard and in the shard's order; ``words`` is its size.
 
-    A document of which only the first words are drawn, one at most for each source, is cut to them, joined by single spaces.
+    Documents stay whole: the one per source of which the target takes a part is taken or left out, whichever is nearer. Columns of the
+    documents that are named like those added here (shard, pass, words, place) are kept with ``doc_`` before their name.
     """
-    names = list(docs.columns)
-    drawn = mixing.shards(mixing.mix(docs, carry=tuple(names)))
-    first = F.array_join(F.slice(F.regexp_extract_all("row.text", F.lit(r"[^\x20\x09-\x0D]+"), 0), F.lit(1), F.col("words").cast("int")), " ")
-    text = F.when(F.col("words") < F.col("size"), first).otherwise(F.col("row.text"))
-    kept = [text.alias(c) if c == "text" else F.col(f"row.`{c}`").alias(c) for c in names if c not in ("shard", "pass", "words", "place")]
-    return drawn.select(*kept, "shard", "pass", "words", "place")
+    names, added = list(docs.columns), ["shard", "pass", "words", "place"]
+    drawn = mixing.shards(mixing.mix(docs, carry=tuple(names))).where(2 * F.col("words") >= F.col("size"))
+    kept = []
+    for c in names:
+        as_name = c
+        while as_name in added or as_name != c and as_name in names:
+            as_name = f"doc_{as_name}"
+        kept.append(F.col(f"row.`{c}`").alias(as_name))
+    return drawn.select(*kept, "shard", "pass", F.col("size").alias("words"), "place")
 
 
 STAGES = [
