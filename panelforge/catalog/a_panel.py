@@ -2,12 +2,17 @@
 
 from __future__ import annotations
 
+import uuid
+
 from pyspark.sql import functions as F
 
-from panelforge.catalog.base import DAY, MACRO, PANEL, PREDICTIONS, Inputs, keyed, lag, query, r, rounded
+from panelforge.catalog.base import DAY, MACRO, PANEL, PREDICTIONS, Inputs, keyed, lag, query, r, roll, rounded
 from panelforge.operators import panel as P
+from panelforge.operators.groups import apply_groups
+from panelforge.operators.technical import MA_DISTANCE
 from panelforge.session import shared_folder
 from panelforge.sources import longtable as S
+from panelforge.sources import panelstore
 
 # The mixed long table used by the reshape queries.
 LONG = PANEL + """,
@@ -55,6 +60,16 @@ def _stored_panel(i: Inputs):
     return rounded(S.since_2000(i.spark.read.parquet(path).filter("year >= 2000")), 4, ["timestamp", "ticker", "Close"])
 
 
+def _bucketed_panel(i: Inputs):
+    """Write the panel in buckets by ticker, find it again by its path, and roll over it without a shuffle."""
+    path = shared_folder(i.spark, "buckets")
+    name = f"panel_{uuid.uuid4().hex}"
+    panelstore.write_panel(i.panel.select("timestamp", "ticker", "Close"), path, name)
+    store = panelstore.read_panel(i.spark, path)
+    with store.known():
+        return rounded(apply_groups(store.table(i.spark, name), [MA_DISTANCE]), 6, ["timestamp", "ticker", *MA_DISTANCE.outputs])
+
+
 def _stored_csv(i: Inputs):
     path = shared_folder(i.spark, "long")
     S.write_csv(i.events_long, path)
@@ -70,6 +85,8 @@ def _stored_results(i: Inputs):
 query("snk01_csv_round_trip", _stored_csv,
       f"SELECT {MS} AS \"timestamp\", CAST(user_id AS VARCHAR) AS ticker, event_type AS feature, {r('value', 'value')} FROM events")
 query("snk02_stored_panel", _stored_panel, f"WITH {PANEL} {keyed({'Close': 'c'}, 'panel WHERE ts >= 946684800000', 4)}")
+MEANS = {f"Dist_MA_{n}": f"CASE WHEN count(*) OVER (PARTITION BY ticker) >= 50 THEN (c - {roll('avg', 'c', n)}) / ({roll('avg', 'c', n)} + 1e-6) END" for n in (20, 50, 200)}
+query("snk02_bucketed_panel", _bucketed_panel, f"WITH {PANEL} {keyed(MEANS, 'panel')}")
 query("snk03_stored_results", _stored_results,
       f"WITH {PREDICTIONS} {keyed({'predicted_score': 's', 'actual_return': 'r'}, 'pred')}")
 query("pnl01_classify_tickers", lambda i: rounded(P.classify_tickers(i.long), 4).select("timestamp", "ticker", "feature", "value"),

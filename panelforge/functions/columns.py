@@ -32,7 +32,10 @@ def pct(x: str, n: int, w) -> Column:
 def rolled(kind: str, x: str, n: int, w, min_periods: int | None = None) -> Column:
     """Aggregate of the last ``n`` rows, null until ``min_periods`` (default ``n``) non-null values exist."""
     need = n if min_periods is None else min_periods
-    return F.when(w.agg("count", x, n) >= need, w.agg(kind, x, n))
+    if need < n:
+        return F.when(w.agg("count", x, n) >= need, w.agg(kind, x, n))
+    # All rows have a value, so the mean needs no count.
+    return F.when(w.full(x, n), w.agg("sum", x, n) / F.lit(float(n)) if kind == "avg" else w.agg(kind, x, n))
 
 
 def rmean(x, n, w, min_periods=None) -> Column:
@@ -58,8 +61,7 @@ def rmin(x, n, w, min_periods=None) -> Column:
 def powers(x: str, upto: int) -> dict[str, Column]:
     """Columns ``x2`` .. ``x<upto>``: inputs of the power-sum forms below.
 
-    A sliding frame evaluates its aggregates once per row and frame position;
-    plain sums are many times cheaper there than the moment aggregates.
+    Sums of powers add up over the blocks of a frame, so all moments of a series share them.
     """
     out, c = {}, F.col(x)
     for k in range(2, upto + 1):
@@ -72,14 +74,10 @@ def _sums(x: str, n: int, w, upto: int) -> list[Column]:
     return [w.agg("sum", x if k == 1 else f"{x}{k}", n) for k in range(1, upto + 1)]
 
 
-def _full(x: str, n: int, w) -> Column:
-    return w.agg("count", x, n) >= n
-
-
 def pstd(x: str, n: int, w) -> Column:
     """Sample deviation of the last ``n`` values from power sums (needs ``powers(x, 2)``)."""
     s1, s2 = _sums(x, n, w, 2)
-    return F.when(_full(x, n, w), F.sqrt(F.greatest(s2 - s1 * s1 / n, F.lit(0.0)) / (n - 1)))
+    return F.when(w.full(x, n), F.sqrt(F.greatest(s2 - s1 * s1 / n, F.lit(0.0)) / (n - 1)))
 
 
 def pskew(x: str, n: int, w) -> Column:
@@ -88,7 +86,7 @@ def pskew(x: str, n: int, w) -> Column:
     mean = s1 / n
     m2, m3 = s2 / n - mean * mean, s3 / n - 3 * mean * s2 / n + 2 * mean * mean * mean
     factor = (n * (n - 1)) ** 0.5 / (n - 2)
-    return F.when(_full(x, n, w) & (m2 > 1e-14 * s2 / n), m3 / F.pow(m2, 1.5) * F.lit(factor))
+    return F.when(w.full(x, n) & (m2 > 1e-14 * s2 / n), m3 / F.pow(m2, 1.5) * F.lit(factor))
 
 
 def pkurt(x: str, n: int, w) -> Column:
@@ -99,7 +97,7 @@ def pkurt(x: str, n: int, w) -> Column:
     m4 = s4 / n - 4 * mean * s3 / n + 6 * mean * mean * s2 / n - 3 * mean * mean * mean * mean
     excess = m4 / (m2 * m2) - 3
     value = F.lit((n - 1) / ((n - 2) * (n - 3))) * (F.lit(float(n + 1)) * excess + 6)
-    return F.when(_full(x, n, w) & (m2 > 1e-14 * s2 / n), value)
+    return F.when(w.full(x, n) & (m2 > 1e-14 * s2 / n), value)
 
 
 def pcorr(x: str, y: str, n: int, w) -> Column:

@@ -37,7 +37,7 @@ def _trend(w):
         ss_xy = sxy - (F.col("_x") - (n - 1) / 2.0) * sy
         scale = ss_xx * (syy - sy * sy / n)
         fit = F.when(scale > EPS, ss_xy * ss_xy / (scale + EPS)).otherwise(0.0)
-        made[f"Trend_RSq_{n}"] = F.when(w.agg("count", "Close", n) >= n, clip(fit, 0.0, 1.0))
+        made[f"Trend_RSq_{n}"] = F.when(w.full("Close", n), clip(fit, 0.0, 1.0))
         made[f"QualMom_{n}"] = pct("Close", n, w) * made[f"Trend_RSq_{n}"]
     return made
 
@@ -65,10 +65,10 @@ DISCRETENESS = Group("info_discreteness", (returns_stage, lambda w: {"_sign": F.
 
 
 def _extremes(w):
-    top = F.slice(F.sort_array(w.agg("list", "_ret", 21), asc=False), 1, 5)
+    top = w.best("_ret", 21, 5)
     mean5 = F.aggregate(top, F.lit(0.0), lambda a, x: a + x) / 5
     high, low = rmax("_ret", 21, w), rmin("_ret", 21, w)
-    full = w.agg("count", "_ret", 21) >= 21
+    full = w.full("_ret", 21)
     return {"MAX_21d": high, "MIN_21d": low, "MAX5_21d": F.when(full, mean5), "MaxMinSpread_21d": high - low}
 
 
@@ -104,8 +104,8 @@ VOLUME = Group(
         "RelVol_20d": ratio(F.col("Volume"), F.col("_vol_ma20")), "RelVol_60d": ratio(F.col("Volume"), rmean("Volume", 60, w)),
         "VolMom_20d": pct("_vol_ma20", 20, w),
         **{f"Amihud_{n}{s}": rmean("_illiq", n, w) for n, s in ((21, "d"), (63, "d"), (20, ""))},
-        "VolRetCorr_60d": F.when(w.agg("count", "_ret", 60) >= 60, pcorr("_ret", "Volume", 60, w)),
-        "AbsVolRetCorr_60d": F.when(w.agg("count", "_ret", 60) >= 60, pcorr("_absret", "Volume", 60, w)),
+        "VolRetCorr_60d": F.when(w.full("_ret", 60), pcorr("_ret", "Volume", 60, w)),
+        "AbsVolRetCorr_60d": F.when(w.full("_ret", 60), pcorr("_absret", "Volume", 60, w)),
     }),
     ("RelVol_20d", "RelVol_60d", "VolMom_20d", "Amihud_21d", "Amihud_63d", "Amihud_20", "VolRetCorr_60d", "AbsVolRetCorr_60d"),
     64, MIN_ROWS,
@@ -117,7 +117,7 @@ def _acceleration(w):
     first, second = w.agg("sum", "_ret", 15, 15), w.agg("sum", "_ret", 15)
     return {
         "MomAccel_21_63": m[21] - m[63] / 3, "MomAccel_63_126": m[63] - m[126] / 2,
-        "MomConsist_60d": F.when(w.agg("count", "_ret", 30) >= 30, first * second),
+        "MomConsist_60d": F.when(w.full("_ret", 30), first * second),
         "Near52wHigh": ratio(F.col("Close"), rmax("High", 252, w)),
     }
 
@@ -128,7 +128,7 @@ ACCELERATION = Group("momentum_accel", (returns_stage, _acceleration),
 
 def _quarters(w):
     def back(offset: int) -> Column:
-        return F.when(w.agg("count", "_ret", 63, offset) >= 63, w.agg("sum", "_ret", 63, offset))
+        return F.when(w.full("_ret", 63, offset), w.agg("sum", "_ret", 63, offset))
 
     return {**{f"_q{k}": back(63 * k) for k in range(4)}, "_month": rsum("_ret", 21, w)}
 
@@ -143,7 +143,7 @@ def _long_consistency(w):
     return {
         "PosQuarters_252d": sum(positive[1:], positive[0]), "AvgQuarterRet_252d": (q[0] + q[1] + q[2] + q[3]) / 4,
         "MomConsist_252d": spread, "MomQuality_252d": ratio(pct("Close", 252, w), spread),
-        "TrendPersist_252d": F.when(w.agg("count", "_month", 252) >= 252, pcorr("_month", "_month_1", 251, w)),
+        "TrendPersist_252d": F.when(w.full("_month", 252), pcorr("_month", "_month_1", 251, w)),
         "MomDivergence_126_252": pct("Close", 126, w) - pct("Close", 252, w) / 2,
     }
 

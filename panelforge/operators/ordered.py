@@ -138,8 +138,27 @@ def number_rows(df: DataFrame, keys: Sequence[str], order: Sequence[str]) -> Dat
 
 
 _AGGREGATES = {
-    "count": F.count, "sum": F.sum, "avg": F.avg, "std": F.stddev_samp, "max": F.max, "min": F.min, "list": F.collect_list,
+    "count": F.count, "sum": F.sum, "avg": F.avg, "max": F.max, "min": F.min, "list": F.collect_list, "var": F.var_pop,
 }
+#: Longest frame that is evaluated row by row, and how many blocks of it make a longer one.
+STEP = 8
+LONG = STEP * STEP
+
+
+def _blocks(n: int, end: int) -> list[tuple[int, int]]:
+    """(rows, rows to go back) of blocks that add up to the ``n`` rows that end ``end`` rows before this one."""
+    out = []
+    for size in (LONG, STEP):
+        while n >= size:
+            out.append((size, end))
+            n, end = n - size, end + size
+    return [*out, (n, end)] if n else out
+
+
+def _covers(n: int, end: int) -> list[tuple[int, int]]:
+    """Blocks of one size that cover those rows and no others; they may overlap."""
+    size = LONG if n >= LONG else STEP
+    return [(size, end + at) for at in [*range(0, n - size, size), n - size]]
 
 
 class Frames:
@@ -147,32 +166,109 @@ class Frames:
 
     The optimizer evaluates every occurrence of a window expression, so repeated
     ones are given a name here and projected before the stage's own columns.
+
+    No frame is longer than ``STEP`` rows. Longer ones are put together from blocks of that many rows, and of
+    ``LONG`` rows made of them, which earlier rows have already: sums add up, extremes may overlap, and deviations merge by their counts, means
+    and squares, so nothing outside a frame ever enters its value. ``fresh`` holds the named columns in layers, each reading the ones before.
     """
 
     def __init__(self, spec: WindowSpec, known: dict[str, str]):
         self.spec, self.known = spec, dict(known)
-        self.fresh: dict[str, Column] = {}
+        self.fresh: list[dict[str, Column]] = []
+        self.layer: dict[str, int] = {}
 
-    def _named(self, name: str, source: str, value: Column) -> Column:
+    def _named(self, name: str, source: str, value: Column, *reads: str) -> str:
+        """Name a value that depends on the series ``source`` and reads the columns ``reads``."""
         if name not in self.known:
-            self.known[name] = source
-            self.fresh[name] = value
-        return F.col(name)
+            layer = 1 + max((self.layer.get(c, -1) for c in reads), default=-1)
+            while len(self.fresh) <= layer:
+                self.fresh.append({})
+            self.known[name], self.layer[name] = source, layer
+            self.fresh[layer][name] = value
+        return name
+
+    def _frame(self, kind: str, x: str, n: int, end: int) -> str:
+        frame = self.spec.rowsBetween(-(n - 1) - end, -end)
+        return self._named(f"_{kind}_{n}_{end}_{x}", x, _AGGREGATES[kind](x).over(frame), x)
+
+    def _back(self, name: str, source: str, n: int) -> str:
+        return self._named(f"_lag_{n}_{name}", source, F.lag(name, n).over(self.spec), name) if n else name
+
+    def _block(self, kind: str, x: str, rows: int, end: int) -> str:
+        """Name of the aggregate of a block: a frame, or a block of ``LONG`` rows made of frames."""
+        if rows < STEP:
+            return self._frame(kind, x, rows, end)
+        short = self._frame(kind, x, STEP, 0)
+        if rows == STEP:
+            return self._back(short, x, end)
+        parts = [self._back(short, x, STEP * i) for i in range(STEP)]
+        return self._back(self._named(f"_{kind}_{LONG}_0_{x}", x, self._joined(kind, parts), *parts), x, end)
+
+    @staticmethod
+    def _joined(kind: str, parts: Sequence[str]) -> Column:
+        if kind in ("max", "min"):
+            return (F.greatest if kind == "max" else F.least)(*parts) if len(parts) > 1 else F.col(parts[0])
+        zero = F.lit(0).cast("long") if kind == "count" else F.lit(0.0)
+        return reduce(lambda a, b: a + b, [F.coalesce(F.col(c), zero) for c in parts])
 
     def agg(self, kind: str, x: str, n: int, end: int = 0) -> Column:
-        """Aggregate of the ``n`` rows that end ``end`` rows before this one."""
-        frame = self.spec.rowsBetween(-(n - 1) - end, -end)
-        return self._named(f"_{kind}_{n}_{end}_{x}", x, _AGGREGATES[kind](x).over(frame))
+        """``count``, ``sum`` (0 without values), ``avg``, ``std``, ``max`` or ``min`` of the ``n`` rows that end ``end`` rows before this one."""
+        if kind == "std":
+            return self._deviation(x, n, end)
+        if n <= STEP:
+            value = F.col(self._frame(kind, x, n, end))
+            return F.coalesce(value, F.lit(0.0)) if kind == "sum" else value
+        if kind == "avg":
+            return F.try_divide(self.agg("sum", x, n, end), self.agg("count", x, n, end))
+        pieces = _covers(n, end) if kind in ("max", "min") else _blocks(n, end)
+        parts = [self._block(kind, x, rows, back) for rows, back in pieces]
+        return F.col(self._named(f"_{kind}_{n}_{end}_{x}", x, self._joined(kind, parts), *parts))
+
+    def _deviation(self, x: str, n: int, end: int) -> Column:
+        """Sample deviation: squares about the blocks' own means, plus those of the means about the whole one."""
+        whole = {p: [self._block(p, x, rows, back) for rows, back in _blocks(n, end) if rows < LONG] for p in ("count", "avg", "var")}
+        for rows, back in _blocks(n, end):
+            if rows == LONG:
+                for i in range(STEP):
+                    for p in whole:
+                        whole[p].append(self._back(self._frame(p, x, STEP, 0), x, back + STEP * i))
+        known = lambda c: F.coalesce(F.col(c), F.lit(0.0))
+        groups = list(zip(whole["count"], whole["avg"], whole["var"]))
+        total = self._named(f"_std_n_{n}_{end}_{x}", x, reduce(lambda a, b: a + b, [known(c) for c, _, _ in groups]), *whole["count"])
+        mean = self._named(
+            f"_std_mean_{n}_{end}_{x}", x, F.try_divide(reduce(lambda a, b: a + b, [known(c) * known(m) for c, m, _ in groups]), F.col(total)), total, *whole["avg"])
+        squares = reduce(lambda a, b: a + b, [known(c) * (known(v) + (known(m) - F.col(mean)) * (known(m) - F.col(mean))) for c, m, v in groups])
+        return F.col(self._named(
+            f"_std_{n}_{end}_{x}", x, F.when(F.col(total) >= 2, F.sqrt(squares / (F.col(total) - 1))), mean, *whole["var"]))
+
+    def best(self, x: str, n: int, k: int) -> Column:
+        """The ``k`` largest values of the last ``n`` rows as an array, largest first."""
+        top = lambda a: F.slice(F.sort_array(a, asc=False), 1, k)
+        parts = []
+        for rows, back in [(size // STEP * STEP and STEP, at + STEP * i) if size >= STEP else (size, at) for size, at in _blocks(n, 0) for i in range(max(1, size // STEP))]:
+            own = self._frame("list", x, rows, 0 if rows == STEP else back)
+            short = self._named(f"_best{k}{own}", x, top(F.col(own)), own)
+            parts.append(self._back(short, x, back if rows == STEP else 0))
+        none = F.array().cast("array<double>")
+        return F.col(self._named(f"_best{k}_{n}_{x}", x, top(F.concat(*[F.coalesce(F.col(c), none) for c in parts])), *parts))
+
+    def full(self, x: str, n: int, end: int = 0) -> Column:
+        """Whether the ``n`` rows that end ``end`` rows before this one exist and all have a value."""
+        place = self._named("_place", "", F.row_number().over(self.spec))
+        gap = F.max(F.when(F.col(x).isNull(), F.col(place))).over(self.spec.rowsBetween(Window.unboundedPreceding, 0))
+        last = self._named(f"_gap_{x}", x, gap, place, x)
+        run = self._named(f"_run_{x}", x, F.col(place) - F.coalesce(F.col(last), F.lit(0)), place, last)
+        return F.coalesce(F.col(self._back(run, x, end)) >= n, F.lit(False))
 
     def lag(self, x: str, n: int = 1) -> Column:
-        return self._named(f"_lag_{n}_{x}", x, F.lag(x, n).over(self.spec))
+        return F.col(self._named(f"_lag_{n}_{x}", x, F.lag(x, n).over(self.spec), x))
 
     def lead(self, x: str, n: int = 1) -> Column:
-        return self._named(f"_lead_{n}_{x}", x, F.lead(x, n).over(self.spec))
+        return F.col(self._named(f"_lead_{n}_{x}", x, F.lead(x, n).over(self.spec), x))
 
     def place(self) -> Column:
         """Row number, counted from the series or block start."""
-        return self._named("_place", "", F.row_number().over(self.spec))
+        return F.col(self._named("_place", "", F.row_number().over(self.spec)))
 
 
 Stage = Callable[[Frames], dict[str, Column]]
@@ -215,7 +311,7 @@ def over_series(
     for stage in stages:
         frames = Frames(spec, known)
         made = stage(frames)
-        for batch in (frames.fresh, made):
+        for batch in (*frames.fresh, made):
             if batch:
                 out = out.withColumns(batch)
         known = {n: x for n, x in frames.known.items() if x not in made}

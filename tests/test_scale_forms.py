@@ -122,3 +122,40 @@ def test_clusters_repeat_and_cost_no_more_than_lloyd_restarts(spark):
     # Fewer different points than clusters, and tickers without figures.
     same = stats.limit(9).withColumns({c: F.lit(1.0) for c in C.FULL_FEATURES})
     assert {r["cluster"] for r in C.assign_clusters(same, k=3).collect()} == {0}
+
+
+def test_features_over_a_stored_panel_need_no_exchange(spark, tmp_path):
+    from panelforge.operators.groups import apply_groups
+    from panelforge.operators.ordered import Sizes, forget_sizes
+    from panelforge.operators.technical import TECHNICAL
+    from panelforge.sources import panelstore
+
+    pdf = walk(7, 70)
+    path = str(tmp_path / "panel")
+    panelstore.write_panel(frame(spark, pdf), path, "stored_walk", 100)
+    store = panelstore.read_panel(spark, path)
+    assert store.buckets == 5 and store.sizes == {("ticker",): Sizes(70, 490, 7), ("timestamp",): Sizes(7, 490, 70), (): Sizes(490, 490, 1)}
+    spark.sql("DROP TABLE stored_walk")  # another session finds the files by their path
+    rows = store.table(spark, "stored_again")
+    forget_sizes()
+    with store.known():
+        made = apply_groups(rows, TECHNICAL)
+        plan = made._jdf.queryExecution().executedPlan().toString()
+        assert "Exchange" not in plan and "Bucketed: true" in plan
+    got, want = (x.toPandas().sort_values(["ticker", "timestamp"]).reset_index(drop=True) for x in (made, apply_groups(frame(spark, pdf), TECHNICAL)))
+    pd.testing.assert_frame_equal(got[want.columns], want)
+    spark.sql("DROP TABLE stored_again")
+
+
+def test_no_frame_is_longer_than_a_step(spark):
+    import re
+
+    from panelforge.operators.alpha import ALPHA
+    from panelforge.operators.groups import apply_groups
+    from panelforge.operators.ordered import STEP
+    from panelforge.operators.technical import TECHNICAL
+
+    plan = apply_groups(frame(spark, walk(2, 20)).checkpoint(), [*TECHNICAL, *ALPHA])._jdf.queryExecution().executedPlan().toString()
+    frames = [(int(a), int(b)) for a, b in re.findall(r"specifiedwindowframe\(RowFrame, (-?\d+), (-?\d+)\)", plan)]
+    lengths = {b - a + 1 for a, b in frames}
+    assert lengths and max(lengths) <= STEP
