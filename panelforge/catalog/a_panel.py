@@ -73,7 +73,17 @@ def _bucketed_panel(i: Inputs):
 def _stored_csv(i: Inputs):
     path = shared_folder(i.spark, "long")
     S.write_csv(i.events_long, path)
-    return rounded(S.read_csv(i.spark, path))
+    return rounded(S.read_csv(i.spark, path).drop(S.INGEST_ORDER))
+
+
+def _repeated_file(i: Inputs):
+    """Closing prices written twice to one file, the second time as they were corrected: the last of each counts, whichever is larger."""
+    path = shared_folder(i.spark, "repeated")
+    close = i.panel.select("timestamp", "ticker", F.lit("Close").alias("feature"), F.col("Close").alias("value"))
+    later = close.withColumn("value", F.when(F.col("value") > 1500, F.col("value") - 100).otherwise(F.col("value") + 1))
+    both = close.withColumn("turn", F.lit(0)).union(later.withColumn("turn", F.lit(1)))
+    both.repartitionByRange(4, "ticker").sortWithinPartitions("ticker", "turn", "timestamp").drop("turn").write.option("header", True).csv(path)
+    return rounded(P.exact_pivot(S.read_csv(i.spark, path), ("Close",)), 4)
 
 
 def _stored_results(i: Inputs):
@@ -82,6 +92,7 @@ def _stored_results(i: Inputs):
     return rounded(i.spark.read.schema(i.predictions.schema).json(path))
 
 
+query("src01_last_observation", _repeated_file, f"WITH {PANEL} {keyed({'Close': 'CASE WHEN c > 1500 THEN c - 100 ELSE c + 1 END'}, 'panel', 4)}")
 query("snk01_csv_round_trip", _stored_csv,
       f"SELECT {MS} AS \"timestamp\", CAST(user_id AS VARCHAR) AS ticker, event_type AS feature, {r('value', 'value')} FROM events")
 query("snk02_stored_panel", _stored_panel, f"WITH {PANEL} {keyed({'Close': 'c'}, 'panel WHERE ts >= 946684800000', 4)}")
@@ -178,6 +189,19 @@ query("pnl17_one_hot", lambda i: P.one_hot_tickers(i.panel.select("timestamp", "
       f"WITH {PANEL} SELECT ts AS \"timestamp\", ticker, " + ", ".join(f"CAST(ticker = '{t}' AS INT) AS \"Ticker_{t}\"" for t in HOT) + " FROM panel")
 query("pnl17_undo_one_hot", lambda i: P.undo_one_hot(P.one_hot_tickers(i.panel.select("timestamp", "ticker"), HOT)),
       f"WITH {PANEL} SELECT ts AS \"timestamp\", CASE WHEN ticker IN ('T1.NZ', 'T2.NZ', 'T3.NZ') THEN ticker END AS ticker FROM panel")
+
+
+def _known(i: Inputs):
+    """Train and test get a column for every ticker of either, so the columns tell every row's ticker."""
+    cut = i.panel.select("timestamp", "ticker")
+    train, test = cut.filter("timestamp < 946684800000"), cut.filter("timestamp >= 946684800000 and ticker not like '%3.NZ'")
+    known = P.known_tickers(train, test)
+    coded = [P.one_hot_tickers(x, known) for x in (train, test)]
+    assert coded[0].columns == coded[1].columns
+    return P.undo_one_hot(coded[1])
+
+
+query("pnl17_known_tickers", _known, f"WITH {PANEL} SELECT ts AS \"timestamp\", ticker FROM panel WHERE ts >= 946684800000 AND ticker NOT LIKE '%3.NZ'")
 query("panel_ohlcv", lambda i: rounded(i.panel, 4),
       f"WITH {PANEL} {keyed({'Open': 'o', 'High': 'h', 'Low': 'l', 'Close': 'c', 'AdjClose': 'ac', 'Volume': 'v', 'Dividend': 'dv'}, 'panel', 4)}")
 query("macro_series", lambda i: rounded(i.macro, 4),

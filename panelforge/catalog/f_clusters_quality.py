@@ -170,6 +170,14 @@ query("dq05_null_counts", lambda i: Q.null_counts(Q.assert_frame(i.panel, ["Clos
 query("dq06_fingerprint_portable", lambda i: Q.fingerprint(i.table("lineitem"), ["l_orderkey", "l_linenumber", "l_partkey", "l_returnflag"], True),
       """SELECT count(*) AS n_rows, CAST(sum(CAST(('0x' || substr(md5(l_orderkey || '|' || l_linenumber || '|' || l_partkey || '|' || l_returnflag), 1, 12)) AS BIGINT)) AS VARCHAR) AS fingerprint FROM lineitem""")
 query("dq06_fingerprint", lambda i: Q.fingerprint(i.panel))
+for _name, _set in (("dq07_config_findings", (30, 5, 5, 5)), ("dq07_bad_config", (400, 0, -1, 20))):
+    query(_name, lambda i, s=_set: Q.config_findings(i.panel, *s),
+          f"""WITH {PANEL}, s AS (SELECT {_set[0]} AS h, {_set[1]} AS t, {_set[2]} AS b, {_set[3]} AS m), d AS (SELECT count(*) AS n FROM panel GROUP BY ts)
+          SELECT 'horizon_positive' AS "check", CASE WHEN h <= 0 THEN 'error' ELSE 'ok' END AS level, CAST(h AS BIGINT) AS value FROM s
+          UNION ALL SELECT 'horizon_within_a_year', CASE WHEN h > 365 THEN 'warning' ELSE 'ok' END, h FROM s UNION ALL SELECT 'top_positive', CASE WHEN t <= 0 THEN 'error' ELSE 'ok' END, t FROM s
+          UNION ALL SELECT 'bottom_not_negative', CASE WHEN b < 0 THEN 'error' ELSE 'ok' END, b FROM s
+          UNION ALL SELECT 'min_stocks_fill_a_portfolio', CASE WHEN m < t + b THEN 'warning' ELSE 'ok' END, m FROM s
+          UNION ALL SELECT 'dates_fill_a_portfolio', CASE WHEN count(*) FILTER (n < t + b) > 0 THEN 'warning' ELSE 'ok' END, count(*) FILTER (n < t + b) FROM s, d""")
 
 
 def _sources(i: Inputs):

@@ -7,6 +7,8 @@ from pyspark.sql import functions as F
 
 EPS = 1e-6
 DAY_MS = 86_400_000
+# Says which of repeated observations came last.
+INGEST_ORDER = "ingest_order"
 
 
 def finite(x: Column) -> Column:

@@ -9,7 +9,7 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
-from panelforge.functions.columns import DAY_MS, clip, finite
+from panelforge.functions.columns import DAY_MS, INGEST_ORDER, clip, finite
 from panelforge.operators.ordered import fill_last, lookup, over_series
 from panelforge.session import stored
 
@@ -17,8 +17,6 @@ EXACT = ("Close", "Open", "High", "Low", "Volume", "AdjClose", "Dividend", "Spli
 LOCAL_SUFFIX = ".NZ"
 MACRO_PREFIX = "MACRO_"
 KEYS = ("timestamp", "ticker")
-# Says which of repeated observations came last, where the long table has such a column.
-INGEST_ORDER = "ingest_order"
 # Up to this many features a reshape is one conditional aggregate.
 WIDE_PIVOT = 50
 # Columns that are never model inputs.

@@ -120,6 +120,21 @@ def assert_frame(df: DataFrame, columns: Sequence[str] = (), no_nulls: Sequence[
     return df
 
 
+def config_findings(panel: DataFrame, horizon_days: int, top_n: int, bottom_n: int, min_stocks: int) -> DataFrame:
+    """(check, level, value) of a run's settings: ``ok``, ``warning`` or ``error``, with the value that decides.
+
+    The last check asks the panel itself: how many dates have fewer rows than a portfolio needs.
+    """
+    settings = [
+        ("horizon_positive", "error" if horizon_days <= 0 else "ok", horizon_days), ("horizon_within_a_year", "warning" if horizon_days > 365 else "ok", horizon_days),
+        ("top_positive", "error" if top_n <= 0 else "ok", top_n), ("bottom_not_negative", "error" if bottom_n < 0 else "ok", bottom_n),
+        ("min_stocks_fill_a_portfolio", "warning" if min_stocks < top_n + bottom_n else "ok", min_stocks),
+    ]
+    thin = panel.groupBy("timestamp").agg(F.count(F.lit(1)).alias("n")).agg(F.count_if(F.col("n") < top_n + bottom_n).alias("value"))
+    found = thin.select(F.lit("dates_fill_a_portfolio").alias("check"), F.when(F.col("value") > 0, "warning").otherwise("ok").alias("level"), F.col("value"))
+    return panel.sparkSession.createDataFrame(settings, "check string, level string, value bigint").unionByName(found)
+
+
 def fingerprint(df: DataFrame, columns: Sequence[str] | None = None, portable: bool = False) -> DataFrame:
     """One row: row count and a sum of row hashes, whatever the row order. ``portable`` uses md5 instead of xxhash64."""
     chosen = list(columns or df.columns)

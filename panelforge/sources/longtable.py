@@ -9,27 +9,37 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
-from panelforge.functions.columns import finite
+from panelforge.functions.columns import INGEST_ORDER, finite
 
 SCHEMA = "timestamp bigint, ticker string, feature string, value double"
 YEAR_2000_MS = 946_684_800_000
 
 
 def read_csv(spark: SparkSession, path: str) -> DataFrame:
-    """Long CSV with a header; empty fields and ``null`` are missing."""
-    return tidy(spark.read.schema(SCHEMA).option("header", True).option("nullValue", "null").csv(path))
+    """Long CSV with a header, and ``ingest_order``; empty fields and ``null`` are missing."""
+    return tidy(in_file_order(spark.read.schema(SCHEMA).option("header", True).option("nullValue", "null").csv(path)))
 
 
 def read_parquet(spark: SparkSession, path: str) -> DataFrame:
-    return tidy(spark.read.parquet(path).select("timestamp", "ticker", "feature", "value"))
+    return tidy(in_file_order(spark.read.schema(SCHEMA).parquet(path)))
+
+
+def in_file_order(read: DataFrame) -> DataFrame:
+    """Add ``ingest_order``: file, place of the split in it, place of the row in the split. Of repeated observations the reshape takes the last.
+
+    ``read`` comes straight from a reader of files.
+    """
+    return read.select("*", F.struct(
+        F.col("_metadata.file_path").alias("file"), F.col("_metadata.file_block_start").alias("start"), F.monotonically_increasing_id().alias("row")).alias(INGEST_ORDER))
 
 
 def tidy(long: DataFrame) -> DataFrame:
-    """Fixed types; the missing ticker becomes the empty string."""
+    """Fixed types; the missing ticker becomes the empty string. ``ingest_order`` is kept where there is one."""
+    kept = [INGEST_ORDER] if INGEST_ORDER in long.columns else []
     return normalise_nulls(long.select(
         F.col("timestamp").cast("bigint").alias("timestamp"),
         F.coalesce(F.when(F.col("ticker") != "null", F.col("ticker")), F.lit("")).alias("ticker"),
-        F.col("feature").cast("string").alias("feature"), F.col("value").cast("double").alias("value"),
+        F.col("feature").cast("string").alias("feature"), F.col("value").cast("double").alias("value"), *kept,
     ))
 
 

@@ -251,7 +251,7 @@ def planted(spark):
                            (F.pmod(F.xxhash64("timestamp", "ticker"), F.lit(1000)) / 1000).alias("noise")).checkpoint()
 
 
-CONFIG = dict(horizon_days=5, n_windows=2, move_years=0.1, test_years=0.2, ranker=model.RankerConfig(rounds=4, depth=3))
+CONFIG = dict(horizon_days=5, n_windows=2, move_years=0.1, test_years=0.2, ranker=model.RankerConfig(rounds=4))
 
 
 def test_rolling_run_finds_the_signal(spark, planted):
