@@ -145,17 +145,3 @@ def test_features_over_a_stored_panel_need_no_exchange(spark, tmp_path):
     got, want = (x.toPandas().sort_values(["ticker", "timestamp"]).reset_index(drop=True) for x in (made, apply_groups(frame(spark, pdf), TECHNICAL)))
     pd.testing.assert_frame_equal(got[want.columns], want)
     spark.sql("DROP TABLE stored_again")
-
-
-def test_no_frame_is_longer_than_a_step(spark):
-    import re
-
-    from panelforge.operators.alpha import ALPHA
-    from panelforge.operators.groups import apply_groups
-    from panelforge.operators.ordered import STEP
-    from panelforge.operators.technical import TECHNICAL
-
-    plan = apply_groups(frame(spark, walk(2, 20)).checkpoint(), [*TECHNICAL, *ALPHA])._jdf.queryExecution().executedPlan().toString()
-    frames = [(int(a), int(b)) for a, b in re.findall(r"specifiedwindowframe\(RowFrame, (-?\d+), (-?\d+)\)", plan)]
-    lengths = {b - a + 1 for a, b in frames}
-    assert lengths and max(lengths) <= STEP
