@@ -4,20 +4,23 @@ _LOWER = "translate(coalesce(text, ''), 'ABCDEFGHIJKLMNOPQRSTUVWXYZ', 'abcdefghi
 _SPLIT = r"regexp_extract_all(coalesce(text, ''), '[^\x20\x09-\x0D]+')"
 
 CHAT = """
-WITH turns AS (SELECT DISTINCT conv_id, turn, role, text FROM conversations),
+WITH turns AS (
+  SELECT *, md5(coalesce(turn::VARCHAR, '-') || '|' || coalesce(length(role)::VARCHAR || ':' || role, '-') || '|' || coalesce('t' || text, '-')) AS h
+  FROM (SELECT DISTINCT conv_id, turn, role, text FROM conversations)),
+placed AS (SELECT *, row_number() OVER (PARTITION BY conv_id ORDER BY turn NULLS FIRST, h) AS place FROM turns),
 said AS (
   SELECT conv_id, count(*) AS n,
-         list(coalesce(turn::VARCHAR, '-') || '|' || coalesce('r' || role, '-') || '|' || coalesce('t' || text, '-') ORDER BY turn NULLS FIRST, role, text) AS l
-  FROM turns GROUP BY conv_id),
+         list(coalesce(turn::VARCHAR, '-') || '|' || coalesce('r' || role, '-') || '|' || coalesce('t' || text, '-') ORDER BY place) AS l
+  FROM placed GROUP BY conv_id),
 prefix AS (SELECT conv_id, n, k, md5(array_to_string(l[1:k], chr(0))) AS h FROM said, unnest(range(1, n + 1)) AS t(k)),
 maximal AS (
   SELECT p.h, min(p.conv_id) AS conv_id, count(*) AS copies FROM prefix p
   WHERE p.k = p.n AND NOT EXISTS (SELECT 1 FROM prefix q WHERE q.k < q.n AND q.k = p.k AND q.h = p.h)
   GROUP BY p.h, p.n),
 parts AS (
-  SELECT conv_id, coalesce(floor(turn / 256)::BIGINT, -1) AS part, count(*) AS part_turns,
-         string_agg('<|im_start|>' || coalesce(role, 'unknown') || chr(10) || coalesce(text, '') || '<|im_end|>' || chr(10), '' ORDER BY turn NULLS FIRST, role, text) AS text
-  FROM turns GROUP BY 1, 2)
+  SELECT conv_id, (place - 1) // 256 AS part, count(*) AS part_turns,
+         string_agg('<|im_start|>' || coalesce(role, 'unknown') || chr(10) || coalesce(text, '') || '<|im_end|>' || chr(10), '' ORDER BY place) AS text
+  FROM placed GROUP BY 1, 2)
 SELECT m.conv_id, p.part, s.n AS n_turns, m.copies, p.part_turns, p.text
 FROM maximal m JOIN said s ON s.conv_id = m.conv_id JOIN parts p ON p.conv_id = m.conv_id
 """

@@ -520,6 +520,36 @@ def test_a_null_conversation_can_stay(spark):
     assert [(r["conv_id"], r["n_turns"]) for r in chat.format_chats(log).collect()] == [(None, 2)]
 
 
+def check_rows_without_ids(spark, monkeypatch):
+    monkeypatch.setattr(chat, "BLOCK", 16)
+    # A third of the log has no id; its turns have one number, or none. One row is repeated very often.
+    rows = [(None, None if i % 2 else 0, "user", f"said {i}") for i in range(300)] + [(None, 0, "user", "again")] * 200
+    rows += [(c, t, "user" if t % 2 == 0 else None, f"turn {t}") for c in range(1, 60) for t in range(1 + c % 20)]
+    log = spark.createDataFrame(rows, LOG)
+    got = chat.format_chats(log).collect()
+    ends = {}
+    for c in range(1, 60):
+        ends.setdefault(c % 20, []).append(c)
+    assert {(r["conv_id"], r["n_turns"], r["copies"]) for r in got} == {(None, 301, 1), (min(ends[19]), 20, len(ends[19]))}
+    assert max(r["part_turns"] for r in got) == 16 and len(got) == 19 + 2
+    parts = sorted((r for r in got if r["conv_id"] is None), key=lambda r: r["part"])
+    assert [r["part"] for r in parts] == list(range(19))
+    said = "".join(r["text"] for r in parts).split("<|im_end|>\n")[:-1]
+    numbered = {f"<|im_start|>user\nsaid {i}" for i in range(0, 300, 2)} | {"<|im_start|>user\nagain"}
+    # Turns without a number come first, each turn once.
+    assert set(said[150:]) == numbered and len(said) == 301 == len(set(said))
+    other = "".join(r["text"] for r in sorted((r for r in got if r["conv_id"] is not None), key=lambda r: r["part"]))
+    assert other == "".join(f"<|im_start|>{'user' if t % 2 == 0 else 'unknown'}\nturn {t}<|im_end|>\n" for t in range(20))
+
+
+def test_chats_without_ids(spark, monkeypatch):
+    check_rows_without_ids(spark, monkeypatch)
+
+
+def test_chats_without_ids_in_pieces(spark, monkeypatch, hot):
+    check_rows_without_ids(spark, monkeypatch)
+
+
 # ---- captures
 
 def test_revisits(spark, hot):
