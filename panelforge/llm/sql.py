@@ -22,7 +22,7 @@ parts AS (
          string_agg('<|im_start|>' || coalesce(role, 'unknown') || chr(10) || coalesce(text, '') || '<|im_end|>' || chr(10), '' ORDER BY place) AS text
   FROM placed GROUP BY 1, 2)
 SELECT m.conv_id, p.part, s.n AS n_turns, m.copies, p.part_turns, p.text
-FROM maximal m JOIN said s ON s.conv_id = m.conv_id JOIN parts p ON p.conv_id = m.conv_id
+FROM maximal m JOIN said s ON s.conv_id IS NOT DISTINCT FROM m.conv_id JOIN parts p ON p.conv_id IS NOT DISTINCT FROM m.conv_id
 """
 
 QUALITY_RULES = f"""
