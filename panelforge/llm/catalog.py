@@ -53,11 +53,13 @@ def op7_toxicity(spark: SparkSession, folder: str) -> DataFrame:
 
 
 def op8_decontamination(spark: SparkSession, folder: str) -> DataFrame:
-    found = decontaminate.decontaminate(read(spark, folder, "documents"), read(spark, folder, "benchmark"))
+    found = decontaminate.decontaminate(
+        read(spark, folder, "documents"), read(spark, folder, "benchmark"), near_terms=decontaminate.NEAR_TERMS, slop=decontaminate.SLOP)
     hit = decontaminate.n_hit()
     return found.withColumn("n_hit", hit).select(
         "doc_id", "n_words", "n_hit", F.size("items").cast("long").alias("n_items"), F.sha2(F.array_join("items", ","), 256).alias("items_sha256"),
-        decontaminate.contaminated(F.col("n_hit"), F.col("n_words")).alias("contaminated"))
+        decontaminate.contaminated(F.col("n_hit"), F.col("n_words")).alias("contaminated"),
+        F.size("near_items").cast("long").alias("n_near"), F.sha2(F.array_join("near_items", ","), 256).alias("near_sha256"))
 
 
 def op9_mixing(spark: SparkSession, folder: str) -> DataFrame:

@@ -5,14 +5,18 @@ stores for each test term the sorted list of its places in the shard, the term's
 is partitioned by document, so a frequent term is many lists of bounded length instead of one hot key, and nothing
 is shuffled. A search orders the terms of every phrase by their count in the whole corpus. It starts with the postings of
 the rarest term, moved back by that term's offset in the phrase, and intersects them with the offset-adjusted postings of the
-next rarest, until none is left or all terms agree: the exact starts of the phrase. A proximity search pairs places of the rarest
-terms that lie within a number of words of each other.
+next rarest, until none is left or all terms agree: the exact starts of the phrase. A proximity search takes the rarest distinct terms of a phrase
+(all of a phrase that has fewer) and keeps the places of the rarest one that have each other one within ``slop`` words on either side, in the same
+document. Phrases that share their rarest terms are searched once. With a slop of the phrase's length an exact match is a proximity match too.
 
 The test table is taken in blocks of at most ``block_words`` words, each block bounded and sent to all tasks; a larger test table
 means more passes, not larger tasks.
 
+Equal item texts are one text of the test table, in one block, however many items hold it; a block is bounded by its distinct words and lists the ids of its items.
+
 Null or wordless documents hit nothing, null or wordless items match nothing, and items with a null id mark words without being listed.
-Repeated items and repeated documents are answered as they stand, one row per document row.
+Repeated documents are answered as they stand, one row per document row. Ids of integer types come back as long, all others as strings. An empty table of documents gives no rows,
+an empty test table no hits. Other columns of the documents are not returned, so their names cannot clash; texts are searched whole.
 """
 
 from __future__ import annotations
@@ -24,8 +28,9 @@ import numpy as np
 import pyarrow as pa
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
+from pyspark.sql import types as T
 
-from panelforge.llm.common import as_text, slices, stored
+from panelforge.llm.common import _arrow, as_text, slices, stored
 
 WORDS = re.compile(r"[^\x00-\x2F\x3A-\x60\x7B-\x7F]+")
 WINDOW = 13
@@ -33,8 +38,11 @@ WINDOW = 13
 BLOCK_WORDS = 400_000
 #: A shard is closed when it holds this many words.
 SHARD_WORDS = 500_000
-#: Free places between two documents of a shard; no match reaches over them.
+#: Least free places between two documents of a shard; no match reaches over them, since a wider slop widens them.
 GAP = 64
+#: Proximity matches of the report: the six rarest words of a window, none further from the rarest one than a window reaches.
+NEAR_TERMS = 6
+SLOP = WINDOW - 1
 _LOWER = str.maketrans("ABCDEFGHIJKLMNOPQRSTUVWXYZ", "abcdefghijklmnopqrstuvwxyz")
 
 
@@ -43,28 +51,28 @@ def words(text: str) -> list[str]:
 
 
 class Phrases:
-    """Phrases over a bounded vocabulary: rows of term numbers, each phrase kept once, with the items that hold it."""
+    """Phrases over a bounded vocabulary: rows of term numbers, each kept once, with the numbers of the texts that hold it; ``ids`` are the items of each text."""
 
-    def __init__(self, items: list[tuple[str | None, str | None]], width: int):
+    def __init__(self, texts: list[tuple[list[str], str | None]], width: int):
         self.vocabulary: dict[str, int] = {}
-        self.holders: dict[tuple[int, ...], set[str]] = {}
-        for item, text in items:
+        self.holders: dict[tuple[int, ...], set[int]] = {}
+        self.ids = [ids for ids, _ in texts]
+        for number, (_, text) in enumerate(texts):
             terms = [self.vocabulary.setdefault(w, len(self.vocabulary)) for w in words(text or "")]
             for i in range(max(1, len(terms) - width + 1) if terms else 0):
-                holders = self.holders.setdefault(tuple(terms[i:i + width]), set())
-                if item is not None:
-                    holders.add(item)
+                self.holders.setdefault(tuple(terms[i:i + width]), set()).add(number)
         self.phrases = list(self.holders)
 
 
 def item_blocks(benchmark: DataFrame, block_words: int) -> list[DataFrame]:
-    """The test table (item, text) cut by a hash of the text into blocks of half ``block_words`` words, about."""
-    total = benchmark.agg(F.sum(F.length("text") / 2)).first()[0] or 0  # a word and its separator are two characters at least
+    """The test table (item, text) as distinct texts with the list of their items, cut by a hash of the text into blocks of half ``block_words`` words, about."""
+    texts = stored(benchmark.where("text is not null").groupBy("text").agg(F.collect_set("item").alias("items")))  # null ids are not listed
+    total = texts.agg(F.sum(F.length("text") / 2)).first()[0] or 0  # a word and its separator are two characters at least
     n = max(1, int(np.ceil(2 * total / block_words)))
-    return [benchmark.where(F.pmod(F.xxhash64("text"), F.lit(n)) == b) if n > 1 else benchmark for b in range(n)]
+    return [texts.where(F.pmod(F.xxhash64("text"), F.lit(n)) == b) if n > 1 else texts for b in range(n)]
 
 
-def index(docs: DataFrame, vocabulary: dict[str, int], id_col: str = "doc_id", text_col: str = "text", shard_words: int = SHARD_WORDS) -> DataFrame:
+def index(docs: DataFrame, vocabulary: dict[str, int], id_col: str = "doc_id", text_col: str = "text", shard_words: int = SHARD_WORDS, gap: int = GAP) -> DataFrame:
     """The inverted index over the terms of ``vocabulary``, in the shared folder.
 
     A shard is one row with term -1 (arrays ``rows`` and ``ids`` of its documents, ``starts`` and ``lengths`` in words), followed by a row
@@ -73,10 +81,12 @@ def index(docs: DataFrame, vocabulary: dict[str, int], id_col: str = "doc_id", t
     sent = docs.sparkSession.sparkContext.broadcast(vocabulary)
     names = ["term", "rows", "ids", "starts", "lengths", "places"]
     longs = pa.list_(pa.int64())
+    kind = "long" if isinstance(docs.schema[id_col].dataType, T.IntegralType) else "string"
+    ids_type = pa.list_(pa.int64() if kind == "long" else pa.string())
 
     def shard(rows: list, ids: list, counts: list[int], found: list[np.ndarray], at: list[np.ndarray]) -> pa.RecordBatch:
         lengths = np.array(counts, dtype=np.int64)
-        starts = np.cumsum(lengths + GAP) - lengths - GAP
+        starts = np.cumsum(lengths + gap) - lengths - gap
         term = np.concatenate(found)
         place = np.concatenate([p + s for p, s in zip(at, starts.tolist())])
         order = np.argsort(term, kind="stable")
@@ -85,7 +95,7 @@ def index(docs: DataFrame, vocabulary: dict[str, int], id_col: str = "doc_id", t
         lists = pa.ListArray.from_arrays(pa.array(np.r_[0, edges, len(term)].astype(np.int32) if len(term) else np.array([0, 0], dtype=np.int32)), pa.array(place.astype(np.int64)))
         none = [None] * len(edges)
         return pa.RecordBatch.from_arrays([
-            pa.array(np.r_[-1, term[edges]].astype(np.int64)), pa.array([rows, *none], type=longs), pa.array([ids, *none], type=longs), pa.array([starts, *none], type=longs),
+            pa.array(np.r_[-1, term[edges]].astype(np.int64)), pa.array([rows, *none], type=longs), pa.array([ids, *none], type=ids_type), pa.array([starts, *none], type=longs),
             pa.array([lengths, *none], type=longs), lists,
         ], names=names)
 
@@ -107,15 +117,15 @@ def index(docs: DataFrame, vocabulary: dict[str, int], id_col: str = "doc_id", t
                 counts.append(len(split))
                 found.append(terms[place])
                 at.append(place)
-                held += len(split) + GAP
+                held += len(split) + gap
                 if held >= shard_words:
                     yield shard(rows, ids, counts, found, at)
                     rows, ids, counts, found, at, held = [], [], [], [], [], 0
         if ids:
             yield shard(rows, ids, counts, found, at)
 
-    schema = "term long, rows array<long>, ids array<long>, starts array<long>, lengths array<long>, places array<long>"
-    numbered = docs.select(F.monotonically_increasing_id().alias("_row"), F.col(id_col).cast("long").alias("_id"), F.col(text_col).alias("_text"))
+    schema = f"term long, rows array<long>, ids array<{kind}>, starts array<long>, lengths array<long>, places array<long>"
+    numbered = docs.select(F.monotonically_increasing_id().alias("_row"), F.col(id_col).cast(kind).alias("_id"), F.col(text_col).alias("_text"))
     return stored(numbered.mapInArrow(run, schema))
 
 
@@ -161,7 +171,7 @@ def merged(spans: list[tuple[int, int]]) -> list[int]:
     return flat
 
 
-def near_places(postings: dict[int, np.ndarray], terms: list[int], slop: int) -> np.ndarray:
+def near_places(postings: dict[int, np.ndarray], terms: tuple[int, ...], slop: int) -> np.ndarray:
     """Places of the first (rarest) of ``terms`` that have every other term within ``slop`` words on either side."""
     anchor = postings.get(terms[0], _NONE)
     for term in terms[1:]:
@@ -196,41 +206,50 @@ def search(indexed: DataFrame, phrases: Phrases, near_terms: int = 0, slop: int
     """(row, doc_id, n_words, hits, items, near_items) per document of the index.
 
     ``hits`` lists the (start, end) word spans of exact phrases, merged, as flat numbers; ``items`` the items with a phrase there. With
-    ``near_terms``, ``near_items`` lists the items of which one phrase has its rarest ``near_terms`` distinct terms within ``slop`` words.
+    ``near_terms``, ``near_items`` lists the items of which one phrase has its rarest ``near_terms`` distinct terms (counted in the whole corpus; of
+    equal counts the first in the phrase) within ``slop`` words of the rarest; the index must have a wider gap.
     """
     counts = term_counts(indexed, len(phrases.vocabulary))
-    plans = []
+    plans: list[tuple] = []
+    near_plans: dict[tuple[int, ...], set[int]] = {}
     for phrase in phrases.phrases:
         terms = np.array(phrase, dtype=np.int64)
         by_rarity = np.argsort(counts[terms], kind="stable")
-        rare = list(dict.fromkeys(terms[by_rarity].tolist()))[:near_terms]
-        if len(rare) and counts[terms[by_rarity[0]]] == 0 and (not near_terms or counts[rare[-1]] == 0):
-            continue
-        plans.append((terms, by_rarity, sorted(phrases.holders[phrase]), rare if len(rare) == near_terms else []))
-    sent = indexed.sparkSession.sparkContext.broadcast(plans)
+        if counts[terms[by_rarity[0]]] == 0:
+            continue  # neither the phrase nor its rarest terms occur
+        plans.append((terms, by_rarity, phrases.holders[phrase]))
+        if near_terms:
+            near_plans.setdefault(tuple(dict.fromkeys(terms[by_rarity].tolist()))[:near_terms], set()).update(phrases.holders[phrase])
+    sent = indexed.sparkSession.sparkContext.broadcast((plans, near_plans, phrases.ids))
+    kind = indexed.schema["ids"].dataType.elementType
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        exact, loose, ids_of = sent.value
+
+        def items(held: list[set[int]]) -> pa.Array:
+            return pa.array([sorted({i for t in h for i in ids_of[t]}) for h in held], type=pa.list_(pa.string()))
+
         for (rows, ids, starts, lengths), postings in shards_of(batches):
             n = len(ids)
             span: list[list[tuple[int, int]]] = [[] for _ in range(n)]
-            items: list[set[str]] = [set() for _ in range(n)]
-            near: list[set[str]] = [set() for _ in range(n)]
-            for terms, by_rarity, holders, rare in sent.value:
+            texts: list[set[int]] = [set() for _ in range(n)]
+            near: list[set[int]] = [set() for _ in range(n)]
+            for terms, by_rarity, holders in exact:
                 found = phrase_starts(postings, terms, by_rarity)
                 if len(found):
                     for d, p in zip((np.searchsorted(starts, found, side="right") - 1).tolist(), found.tolist()):
                         span[d].append((p, p + len(terms)))
-                        items[d].update(holders)
-                if rare:
-                    for d in (np.searchsorted(starts, near_places(postings, rare, slop), side="right") - 1).tolist():
-                        near[d].update(holders)
+                        texts[d].update(holders)
+            for rare, holders in loose.items():
+                for d in np.unique(np.searchsorted(starts, near_places(postings, rare, slop), side="right") - 1).tolist():
+                    near[d].update(holders)
             hits = [merged([(a - s, b - s) for a, b in spans]) for spans, s in zip(span, starts.tolist())]
             yield pa.RecordBatch.from_arrays([
-                pa.array(rows, type=pa.int64()), pa.array(ids, type=pa.int64()), pa.array(lengths), pa.array(hits, type=pa.list_(pa.int64())),
-                pa.array([sorted(x) for x in items], type=pa.list_(pa.string())), pa.array([sorted(x) for x in near], type=pa.list_(pa.string())),
+                pa.array(rows, type=pa.int64()), pa.array(ids, type=_arrow(kind)), pa.array(lengths), pa.array(hits, type=pa.list_(pa.int64())),
+                items(texts), items(near),
             ], names=["row", "doc_id", "n_words", "hits", "items", "near_items"])
 
-    return indexed.mapInArrow(run, "row long, doc_id long, n_words long, hits array<long>, items array<string>, near_items array<string>")
+    return indexed.mapInArrow(run, f"row long, doc_id {kind.simpleString()}, n_words long, hits array<long>, items array<string>, near_items array<string>")
 
 
 def decontaminate(
@@ -239,13 +258,13 @@ def decontaminate(
 ) -> DataFrame:
     """One row per document row: doc_id, n_words, hits (flat (start, end) word spans), items, near_items, row (its number).
 
-    A phrase is ``width`` consecutive words of an item, or all words of a shorter one.
+    A phrase is ``width`` consecutive words of an item, or all words of a shorter one. Proximity matches are looked for where ``near_terms`` is not 0.
     """
     answers = []
     given = benchmark.select(F.col(item_col).cast("string").alias("item"), F.col(item_text_col).alias("text"))
     for block in item_blocks(given, block_words):
-        phrases = Phrases([(r["item"], r["text"]) for r in block.collect()], width)  # bounded by block_words
-        indexed = index(docs, phrases.vocabulary, id_col, text_col)
+        phrases = Phrases([(r["items"], r["text"]) for r in block.collect()], width)  # distinct texts, bounded by block_words
+        indexed = index(docs, phrases.vocabulary, id_col, text_col, gap=max(GAP, slop + 1))
         answers.append(search(indexed, phrases, near_terms, slop))
     if len(answers) == 1:
         return answers[0]

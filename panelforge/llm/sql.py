@@ -85,10 +85,28 @@ grams AS (
   SELECT r, p, k, array_to_string(w[p:p + k - 1], ' ') AS g FROM d, (SELECT DISTINCT k FROM windows) AS s, unnest(range(1, greatest(len(w) - k + 2, 1))) AS t(p)),
 found AS (SELECT r, p, windows.k, item FROM grams JOIN windows ON windows.g = grams.g AND windows.k = grams.k),
 hit AS (SELECT r, count(DISTINCT p + o) AS n_hit FROM found, unnest(range(0, k)) AS t(o) GROUP BY r),
-held AS (SELECT r, count(DISTINCT item) AS n_items, string_agg(DISTINCT item, ',' ORDER BY item) AS l FROM found GROUP BY r)
+held AS (SELECT r, count(DISTINCT item) AS n_items, string_agg(DISTINCT item, ',' ORDER BY item) AS l FROM found GROUP BY r),
+occ AS (SELECT r, unnest(w) AS t, unnest(range(1, len(w) + 1)) AS p FROM d),
+seen AS (SELECT t, count(*) AS c FROM occ GROUP BY t),
+phrases AS (SELECT DISTINCT g FROM windows),
+spread AS (SELECT g, unnest(string_split(g, ' ')) AS t, unnest(range(1, len(string_split(g, ' ')) + 1)) AS o FROM phrases),
+terms AS (SELECT g, t, min(o) AS o FROM spread GROUP BY g, t),
+ranked AS (SELECT g, t, row_number() OVER (PARTITION BY g ORDER BY coalesce(c, 0), o) AS k FROM terms LEFT JOIN seen USING (t)),
+rare AS (SELECT g, list(t ORDER BY k) AS ts FROM ranked WHERE k <= 6 GROUP BY g),
+sets AS (SELECT row_number() OVER () AS s, ts FROM (SELECT DISTINCT ts FROM rare) AS x),
+anchors AS (SELECT s, r, p FROM sets JOIN occ ON occ.t = sets.ts[1]),
+others AS (SELECT s, unnest(ts[2:]) AS t FROM sets),
+beside AS (SELECT DISTINCT a.s, a.r, a.p, o.t FROM anchors a JOIN others o ON o.s = a.s JOIN occ ON occ.r = a.r AND occ.t = o.t AND occ.p BETWEEN a.p - 12 AND a.p + 12),
+met AS (
+  SELECT s, r, p FROM beside GROUP BY s, r, p HAVING count(*) = (SELECT len(ts) - 1 FROM sets WHERE sets.s = beside.s)
+  UNION ALL SELECT s, r, p FROM anchors JOIN sets USING (s) WHERE len(ts) = 1),
+close AS (
+  SELECT r, count(DISTINCT item) AS n_near, string_agg(DISTINCT item, ',' ORDER BY item) AS near
+  FROM (SELECT DISTINCT s, r FROM met) AS m JOIN sets USING (s) JOIN rare USING (ts) JOIN windows ON windows.g = rare.g GROUP BY r)
 SELECT doc_id, len(w)::BIGINT AS n_words, coalesce(n_hit, 0)::BIGINT AS n_hit, coalesce(n_items, 0)::BIGINT AS n_items, sha256(coalesce(l, '')) AS items_sha256,
-       coalesce(n_hit, 0) > 0 AND 20 * coalesce(n_hit, 0) >= len(w) AS contaminated
-FROM d LEFT JOIN hit USING (r) LEFT JOIN held USING (r)
+       coalesce(n_hit, 0) > 0 AND 20 * coalesce(n_hit, 0) >= len(w) AS contaminated,
+       coalesce(n_near, 0)::BIGINT AS n_near, sha256(coalesce(near, '')) AS near_sha256
+FROM d LEFT JOIN hit USING (r) LEFT JOIN held USING (r) LEFT JOIN close USING (r)
 """
 
 

@@ -240,7 +240,7 @@ def test_decontamination_against_brute_force(spark):
 
 def test_shards_of_an_index_do_not_run_into_each_other(spark):
     texts = ["a b", "c d", "b c", "a b c d"] * 5
-    phrases = decontaminate.Phrases([("i", "b c")], 13)
+    phrases = decontaminate.Phrases([(["i"], "b c")], 13)
     indexed = decontaminate.index(docs_of(spark, texts).coalesce(1), phrases.vocabulary, shard_words=150)
     found = decontaminate.search(indexed, phrases).collect()
     assert [tuple(r["hits"]) for r in sorted(found, key=lambda r: r["doc_id"])] == [(), (), (0, 2), (1, 3)] * 5
@@ -254,6 +254,44 @@ def test_proximity(spark):
     assert [r["near_items"] for r in got] == [["i"], [], ["i"], []]
 
 
+def slow_proximity(texts, items, width, terms, slop):
+    split = [decontaminate.words(t or "") for t in texts]
+    seen = {}
+    for w in (x for s in split for x in s):
+        seen[w] = seen.get(w, 0) + 1
+    near = [set() for _ in texts]
+    for item, text in items:
+        w = decontaminate.words(text or "")
+        for i in range(max(1, len(w) - width + 1) if w else 0):
+            rare = sorted(dict.fromkeys(w[i:i + width]), key=lambda x: seen.get(x, 0))[:terms]
+            for d, s in enumerate(split):
+                if any(s[p] == rare[0] and all(t in s[max(0, p - slop):p + slop + 1] for t in rare[1:]) for p in range(len(s))):
+                    near[d].add(item)
+    return [sorted(x for x in n if x is not None) for n in near]
+
+
+@pytest.mark.parametrize("terms, slop", [(4, 5), (6, 12), (3, 150)])
+def test_proximity_against_brute_force(spark, terms, slop):
+    # Many short documents lie side by side in a shard; a slop beyond the usual gap must not reach over their ends. Short items use all their words.
+    items = [(str(i), " ".join(prose(100 + i, 18, 40))) for i in range(10)] + [("short", "w1 w2"), ("one", "w7"), (None, "w3 w4"), ("copy", "w1 w2"), ("none", "zz w1")]
+    texts = [" ".join(prose(i, 40, 40)) for i in range(60)] + [" ".join(reversed(items[4][1].split())), None, "w1", "w2", "w7"] * 2
+    bench = spark.createDataFrame(items, "item_id string, text string")
+    want = slow_proximity(texts, items, 13, terms, slop)
+    got = decontaminate.decontaminate(docs_of(spark, texts).coalesce(1), bench, near_terms=terms, slop=slop).collect()
+    assert {r["doc_id"]: r["near_items"] for r in got} == dict(enumerate(want))
+    assert any("4" in w for w in want[60:]) and any("copy" in w for w in want)
+
+
+def test_repeated_items_are_one_text_and_ids_keep_their_type(spark):
+    same = " ".join(f"w{i}" for i in range(30))
+    bench = spark.createDataFrame([(str(i), same) for i in range(500)] + [("other", "nothing of this")], "item_id string, text string")
+    blocks = decontaminate.item_blocks(bench.select(F.col("item_id").alias("item"), "text"), 400)
+    assert sum(b.count() for b in blocks) == 2 and len(blocks) == 1
+    docs = spark.createDataFrame([("a", same), ("b", "nothing"), (None, same)], "doc_id string, text string")
+    got = decontaminate.decontaminate(docs, bench, near_terms=6, slop=12).collect()
+    assert sorted((r["doc_id"] or "", len(r["items"]), len(r["near_items"])) for r in got) == [("", 500, 500), ("a", 500, 500), ("b", 0, 0)]
+
+
 # ---- personal data
 
 def slow_spans(text):
