@@ -14,7 +14,7 @@ from panelforge.operators.ordered import (
     average_ranks, fill_last, fits_one_task, group_quantiles, group_sizes, lookup, number_rows,
 )
 from panelforge.operators.quantiles import exact_quantiles
-from panelforge.session import max_group_rows, stored, written
+from panelforge.session import stored, written
 
 YEAR_DAYS = 365.25
 
@@ -146,39 +146,66 @@ def temporal_validation(df: DataFrame, fraction: float = 0.2) -> DataFrame:
     return lookup(df, marked, ["timestamp"])
 
 
-# Up to this many distinct dates are folded in one row.
-FOLDED_DATES = 20_000
+# Dates of a block, whose jumps are followed inside one row.
+BLOCK_DATES = 4096
 
 
 def rebalance_dates(df: DataFrame, horizon_days: int) -> DataFrame:
-    """Greedy non-overlapping dates: the first timestamp, then each next one at least a horizon later."""
-    horizon = horizon_days * DAY_MS
-    dates = df.select("timestamp").distinct()
-    if group_sizes(dates, []).total <= min(FOLDED_DATES, max_group_rows(df.sparkSession)):
-        folded = dates.agg(F.sort_array(F.collect_list("timestamp")).alias("all")).select(F.aggregate(
-            "all", F.expr("cast(array() as array<bigint>)"),
-            lambda acc, t: F.when(
-                (F.size(acc) == 0) | (t - F.try_element_at(acc, F.lit(-1)) >= horizon), F.concat(acc, F.array(t))
-            ).otherwise(acc),
-        ).alias("kept"))
-        return folded.select(F.explode("kept").alias("timestamp"))
-    return _dates_by_doubling(stored(dates), horizon)
-
-
-def _dates_by_doubling(dates: DataFrame, horizon: int) -> DataFrame:
-    """The orbit of the first date under "next date a horizon later", in rounds that double the reach of a jump."""
+    """Greedy non-overlapping dates: the first timestamp, then each next one at least a horizon later. Null timestamps are ignored.
+
+    Every date points to the next one a horizon later. Inside blocks of ``BLOCK_DATES`` dates the pointers are doubled in arrays, which tells for
+    each date the block may be entered at where the block is left to; these hops are doubled over the blocks (no rounds for one block).
+    Each block then follows its pointers from its own entry.
+    """
+    size, horizon = BLOCK_DATES, horizon_days * DAY_MS
+    dates = stored(df.select("timestamp").distinct().filter("timestamp is not null"))
+    n_blocks = -(-group_sizes(dates, []).total // size)
+    blocks = _date_blocks(dates, horizon, size)
+    if n_blocks > 1:
+        blocks = stored(blocks)
+        entered = lookup(blocks, stored(_block_entries(blocks, n_blocks, size)), ["block"], "inner")
+    else:
+        entered = blocks.withColumn("at", F.lit(0))
+    rounds = F.sequence(F.lit(1), F.lit(size.bit_length()))
+    start = F.struct(F.col("jumps"), F.array("at").alias("kept"))
+    orbit = F.aggregate(rounds, start, lambda s, _: F.struct(
+        _doubled(s["jumps"]).alias("jumps"), F.array_distinct(F.concat(s["kept"], F.transform(s["kept"], lambda i: F.get(s["jumps"], i)))).alias("kept")))
+    walked = entered.select("dates", orbit["kept"].alias("kept"))
+    return walked.select(F.explode(F.transform("kept", lambda i: F.get("dates", i))).alias("timestamp"))
+
+
+def _doubled(jumps: Column) -> Column:
+    return F.transform(jumps, lambda i: F.get(jumps, i))
+
+
+def _date_blocks(dates: DataFrame, horizon: int, size: int) -> DataFrame:
+    """(block, dates, jumps, out): in order of time, each date's place in the block of the date it points to (its own where that is outside), and the place over all of the latter."""
     none = F.lit(None).cast("bigint")
-    asked = dates.select((F.col("timestamp") + horizon).alias("at"), F.lit(0).alias("known"), "timestamp", none.alias("next"))
-    known = dates.select(F.col("timestamp").alias("at"), F.lit(1).alias("known"), none.alias("timestamp"), F.col("timestamp").alias("next"))
-    filled = fill_last(asked.unionByName(known), ["next"], [], ["at", "known"], backward=True)
-    jump = stored(filled.filter("known = 0 and next is not null").select("timestamp", "next"))
-    kept = stored(dates.agg(F.min("timestamp").alias("timestamp")).filter("timestamp is not null"))
-    while True:
-        reached = kept.join(jump, "timestamp").select(F.col("next").alias("timestamp"))
-        if reached.isEmpty():
-            return kept
-        kept = stored(kept.union(reached))
-        jump = stored(jump.join(jump.select(F.col("timestamp").alias("next"), F.col("next").alias("far")), "next").select("timestamp", F.col("far").alias("next")))
+    placed = number_rows(dates, [], ["timestamp"]).select("timestamp", F.col("_pos").cast("bigint").alias("pos"))
+    asked = placed.select((F.col("timestamp") + horizon).alias("at"), F.lit(0).alias("known"), "timestamp", "pos", none.alias("next"))
+    known = placed.select(F.col("timestamp").alias("at"), F.lit(1).alias("known"), none.alias("timestamp"), none.alias("pos"), F.col("pos").alias("next"))
+    pointing = fill_last(asked.unionByName(known), ["next"], [], ["at", "known"], backward=True).filter("known = 0")
+    inside = F.col("next") < (F.col("block") + 1) * size
+    each = pointing.withColumn("block", F.floor(F.col("pos") / size)).select(
+        "block", "timestamp", (F.col("pos") % size).cast("int").alias("at"),
+        F.when(inside, F.col("next") % size).otherwise(F.col("pos") % size).cast("int").alias("jump"), F.when(~inside, F.col("next")).alias("out"))
+    rows = each.groupBy("block").agg(F.sort_array(F.collect_list(F.struct("at", "timestamp", "jump", "out"))).alias("all"))
+    return rows.select("block", F.col("all.timestamp").alias("dates"), F.col("all.jump").alias("jumps"), F.col("all.out").alias("out"))
+
+
+def _block_entries(blocks: DataFrame, n_blocks: int, size: int) -> DataFrame:
+    """(block, at): the place at which the first date's orbit enters each block it reaches."""
+    last = F.aggregate(F.sequence(F.lit(1), F.lit(size.bit_length())), F.col("jumps"), lambda j, _: _doubled(j))
+    exits = blocks.select("block", "out", F.posexplode(last).alias("at", "end"))
+    hops = stored(exits.select((F.col("block") * size + F.col("at")).alias("pos"), F.get("out", F.col("end")).alias("next")).filter("next is not null"))
+    # Only the first date and places that some block is left to can be entered at: a few per block.
+    entered = hops.select(F.col("next").alias("pos")).distinct()
+    jump = stored(hops.filter("pos = 0").union(hops.join(entered, "pos", "left_semi")))
+    kept = blocks.filter("block = 0").select(F.lit(0).cast("bigint").alias("pos"))
+    for _ in range((n_blocks - 1).bit_length()):
+        kept = stored(kept.union(kept.join(jump, "pos").select(F.col("next").alias("pos"))))
+        jump = stored(jump.join(jump.select(F.col("pos").alias("next"), F.col("next").alias("far")), "next").select("pos", F.col("far").alias("next")))
+    return kept.select(F.floor(F.col("pos") / size).alias("block"), (F.col("pos") % size).cast("int").alias("at"))
 
 
 @dataclass(frozen=True)

@@ -120,6 +120,22 @@ def test_rebalance_dates_jumps_when_dates_are_many(spark, hot):
     assert sorted(r[0] // DAY for r in L.rebalance_dates(df, 30).collect()) == list(range(0, 200, 30))
 
 
+@pytest.mark.parametrize("size, horizon", [(4, 3), (4, 40), (16, 1), (64, 7), (4096, 3)])
+def test_rebalance_dates_over_blocks(spark, monkeypatch, size, horizon):
+    monkeypatch.setattr(L, "BLOCK_DATES", size)
+    rng = np.random.default_rng(size + horizon)
+    # Runs of hours with gaps of weeks, so that a jump stays in its block, leaves it, or passes several.
+    steps = np.where(rng.uniform(size=260) < 0.05, rng.integers(20, 90, 260) * 24, rng.integers(1, 30, 260))
+    times = [int(t) * DAY // 24 for t in np.cumsum(steps)]
+    want = []
+    for t in times:
+        if not want or t - want[-1] >= horizon * DAY:
+            want.append(t)
+    df = spark.createDataFrame([(t,) for t in times + times[:50]] + [(None,)], "timestamp bigint")
+    assert sorted(r[0] for r in L.rebalance_dates(df, horizon).collect()) == want
+    assert L.rebalance_dates(df.limit(0), horizon).count() == 0
+
+
 def test_bins_equal_qcut(spark, layout):
     rng = np.random.default_rng(5)
     pdf = pd.DataFrame({"timestamp": np.repeat(np.arange(6), 60), "ticker": [f"t{i}" for i in range(60)] * 6, "x": np.round(rng.normal(size=360), 1)})
