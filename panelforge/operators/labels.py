@@ -11,7 +11,7 @@ from pyspark.sql import types as T
 
 from panelforge.functions.columns import DAY_MS, clip
 from panelforge.operators.ordered import (
-    average_ranks, fill_last, fits_one_task, group_quantiles, group_sizes, lookup, number_rows,
+    average_ranks, bounded_by, fill_last, fits_one_task, group_quantiles, group_sizes, lookup, number_rows,
 )
 from panelforge.operators.quantiles import exact_quantiles
 from panelforge.session import stored, written
@@ -159,8 +159,10 @@ def rebalance_dates(df: DataFrame, horizon_days: int) -> DataFrame:
     """
     size, horizon = BLOCK_DATES, horizon_days * DAY_MS
     dates = stored(df.select("timestamp").distinct().filter("timestamp is not null"))
-    n_blocks = -(-group_sizes(dates, []).total // size)
-    blocks = _date_blocks(dates, horizon, size)
+    counted = group_sizes(dates, [])
+    n_blocks = -(-counted.total // size)
+    with bounded_by(lambda: {(): counted}, growth=2.0):  # each date asks and answers
+        blocks = _date_blocks(dates, horizon, size)
     if n_blocks > 1:
         blocks = stored(blocks)
         entered = lookup(blocks, stored(_block_entries(blocks, n_blocks, size)), ["block"], "inner")
