@@ -526,6 +526,43 @@ def test_pages_without_article(spark):
     assert got == {1: ("", 0), 2: ("", 0), 3: ("just text é", 11), 4: ("", 0), 5: ("", 0), 6: ("deep text", 9)}
 
 
+def test_ftrl_against_single_steps():
+    """The published update, one coordinate at a time, over features named by tuples instead of places."""
+    texts = ["you are kind", "you awful awful fool", "a kind word", "awful, you!", "fool me once", "", "kind kind words and a fool"] * 4
+    labels = [0, 1, 0, 1, 1, 0, 0] * 4
+    z, n = {}, {}
+
+    def weight(f):
+        if abs(z.get(f, 0.0)) <= toxicity.L1:
+            return 0.0
+        sign = 1 if z[f] > 0 else -1
+        return -(z[f] - sign * toxicity.L1) / ((toxicity.BETA + n[f] ** 0.5) / toxicity.ALPHA + toxicity.L2)
+
+    def features(text):
+        w = [x.strip("!\"#$%&'()*+,-./:;<=>?@[\\]^_`{|}~") for x in text.lower().split()]
+        found = {("bias",)} | {("word", x) for x in w} | {("start", x[:toxicity.STEM]) for x in w}
+        return found | {("pair", a, b) for a, b in zip(w, w[1:])} | {("skip", a, b) for a, b in zip(w, w[2:])}
+
+    def probability(text):
+        return 1 / (1 + np.exp(-sum(weight(f) for f in features(text))))
+
+    for _ in range(40):
+        for text, y in zip(texts, labels):
+            g = probability(text) - y
+            moved = {}
+            for f in features(text):
+                sigma = ((n.get(f, 0.0) + g * g) ** 0.5 - n.get(f, 0.0) ** 0.5) / toxicity.ALPHA
+                moved[f] = (z.get(f, 0.0) + g - sigma * weight(f), n.get(f, 0.0) + g * g)
+            for f, (a, b) in moved.items():
+                z[f], n[f] = a, b
+    hasher = toxicity.Hasher()
+    got = toxicity.train([np.unique(hasher.places(t.encode())) for t in texts], labels, epochs=40)
+    for text in [*texts[:7], "an unseen awful fool", "kind"]:
+        total = hasher.total(text.encode(), got)
+        assert abs(1 / (1 + np.exp(-total)) - probability(text)) < 1e-9
+    assert np.count_nonzero(got) == sum(1 for f in z if weight(f) != 0) > 3
+
+
 # ---- chats
 
 LOG = "conv_id long, turn long, role string, text string"
