@@ -107,3 +107,12 @@ def test_whole_run(spark):
     assert set(COLUMNS) <= set(out.columns)
     assert 0 < out.select("doc_id").distinct().count() < first.count()
     assert out.select("doc_id").distinct().join(first, "doc_id").count() == out.select("doc_id").distinct().count()
+
+
+def test_pii_counts_by_kind(spark, tmp_path):
+    """Each kind's base spans are counted, whatever kinds stand beside them; null and empty texts have none."""
+    rows = [(1, "a@b.cd and c.d@e.fg, 10.0.0.1", (2, 1, 0, 0)), (2, "4111 1111 1111 1111 or +49 (30) 1234567", (0, 0, 1, 1)), (2, "+49 30 1234567 +49 30 7654321", (0, 0, 0, 2)), (None, "300.1.1.1", (0, 0, 0, 0)),
+            (4, None, (0, 0, 0, 0)), (5, "", (0, 0, 0, 0)), (6, "email:ip card phone", (0, 0, 0, 0))]
+    spark.createDataFrame([r[:2] for r in rows], "doc_id long, text string").write.parquet(f"{tmp_path}/documents.parquet")
+    got = catalog.queries()["op6_pii"](spark, str(tmp_path)).collect()
+    assert sorted((r["doc_id"] or 0, r["n_email"], r["n_ip"], r["n_card"], r["n_phone"]) for r in got) == sorted((i or 0, *n) for i, _, n in rows)
