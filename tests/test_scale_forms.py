@@ -145,3 +145,17 @@ def test_features_over_a_stored_panel_need_no_exchange(spark, tmp_path):
     got, want = (x.toPandas().sort_values(["ticker", "timestamp"]).reset_index(drop=True) for x in (made, apply_groups(frame(spark, pdf), TECHNICAL)))
     pd.testing.assert_frame_equal(got[want.columns], want)
     spark.sql("DROP TABLE stored_again")
+
+
+def test_nearest_tickers_send_few_copies(spark):
+    """A series is sent once per group, not once per block; more groups, where their grids would not fit, change no row."""
+    assert C._groups_to_meet(60_000, 120, 32, C.NEAREST_BYTES) == C.NEAREST_GROUPS
+    assert C._groups_to_meet(360_000, 500, 32, C.NEAREST_BYTES) == 45 and C._groups_to_meet(0, 0, 32, C.NEAREST_BYTES) == 1
+    rng = np.random.default_rng(8)
+    rows = [(d, f"T{t:03d}", float(x)) for t in range(50) for d, x in enumerate(rng.normal(size=90)) if rng.random() < 0.9]
+    rows += [(d, "T900", x) for d, t, x in rows if t == "T007"] + [(0, "T950", 1.0), (None, None, 2.0)]
+    returns = spark.createDataFrame(rows, "timestamp long, ticker string, x double")
+    plain = C.nearest_tickers(returns, 4, 60, 256).orderBy("ticker", "place").toPandas()
+    apart = C.nearest_tickers(returns, 4, 60, 3, group_bytes=3 * 90 * 16).orderBy("ticker", "place").toPandas()
+    assert (plain["other"] == apart["other"]).all() and np.allclose(plain["correlation"], apart["correlation"], atol=1e-12)
+    assert len(plain) == 52 * 4 and plain[(plain["ticker"] == "T900") & (plain["place"] == 1)]["other"].item() == "T007"
