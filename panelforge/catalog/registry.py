@@ -21,6 +21,7 @@ def queries() -> dict:
     def bind(q):
         def run(spark, folder):
             inputs = Inputs(spark, folder)
+            inputs.size_partitions()
             with bounded_by(lambda: inputs.sizes):
                 return q.run(inputs)
         return run
