@@ -82,7 +82,7 @@ def _repeated_file(i: Inputs):
     close = i.panel.select("timestamp", "ticker", F.lit("Close").alias("feature"), F.col("Close").alias("value"))
     later = close.withColumn("value", F.when(F.col("value") > 1500, F.col("value") - 100).otherwise(F.col("value") + 1))
     both = close.withColumn("turn", F.lit(0)).union(later.withColumn("turn", F.lit(1)))
-    both.repartitionByRange(4, "ticker").sortWithinPartitions("ticker", "turn", "timestamp").drop("turn").write.option("header", True).csv(path)
+    both.repartitionByRange("ticker").sortWithinPartitions("ticker", "turn", "timestamp").drop("turn").write.option("header", True).csv(path)
     return rounded(P.exact_pivot(S.read_csv(i.spark, path), ("Close",)), 4)
 
 
