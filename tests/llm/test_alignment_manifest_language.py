@@ -281,3 +281,14 @@ def test_nothing_learned_and_no_rows(spark, model):
 def test_held_out_languages(spark):
     got = catalog.queries()["op13_language"](spark, SMALL).join(spark.read.parquet(f"{SMALL}/documents.parquet").select("doc_id", "lang"), "doc_id").where("held_out and lang is not null").collect()
     assert len(got) > 200 and sum(r["lang"] == r["lang_pred"] for r in got) >= 0.98 * len(got)
+
+
+def test_words_of_plain_texts():
+    """ASCII texts go through the plainer pattern, which finds the same words; words are numbered in order of first sight."""
+    from panelforge.llm import language
+
+    every = "".join(map(chr, range(128)))
+    for text in ("", "It's a b2b deal_of x-y. Z", every, every[::-1], "é a1b ǆ", "aͅb  ̀c", "a" * 5000 + "1b"):
+        assert language.words_of(text) == language._WORD.findall(text)
+    numbers = language.Numbers()
+    assert [numbers[w] for w in "b a b c a".split()] == [0, 1, 0, 2, 1] and list(numbers) == ["b", "a", "c"]
