@@ -9,13 +9,14 @@ from dataclasses import dataclass
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from panelforge.functions.columns import pct, rmean, rstd
+from panelforge.functions.columns import pct, rstd
 from panelforge.operators.ordered import over_series
 
 # Name parts that mark a column as generated.
 GENERATED = ("_Lag_", "_MA_", "_Mom_", "_Spike", "_Vol_")
-# From this length on a moving mean adds up doubled sums instead of its whole frame; both read the same rows.
-LONG_FRAME = 252
+# Longest frame that is added up row by row, and most shorter frames that a longer one is put together from.
+SHORT_FRAME = 63
+MOST_PARTS = 8
 
 
 @dataclass(frozen=True)
@@ -100,6 +101,28 @@ def _plan(config: LagConfig, source: str, several: bool) -> dict[str, tuple]:
     return plan
 
 
+def frame_parts(lengths: Sequence[int]) -> dict[int, list[tuple[int, int]]]:
+    """{frame length: [(length of a part, rows between it and the frame's end)]}, shortest first, so that parts come before what is made of them.
+
+    Parts cover a frame's rows once each and nothing else. The shortest frame is its own part; a part that is no key is a shorter rest.
+    """
+    wanted = set(lengths)
+    while min(wanted) > SHORT_FRAME:
+        wanted.add(min(wanted) // 2)
+    made: dict[int, list[tuple[int, int]]] = {}
+    for n in sorted(wanted):
+        while made and n // max(made) > MOST_PARTS:
+            m = max(made)
+            made[2 * m] = [(m, 0), (m, m)]
+        if n not in made:
+            parts, passed = [], 0
+            while passed < n:
+                parts.append((max((m for m in made if m <= n - passed), default=n - passed), passed))
+                passed += parts[-1][0]
+            made[n] = parts
+    return made
+
+
 def add_lag_features(df: DataFrame, configs: Sequence[LagConfig], scope: str) -> DataFrame:
     """All generated columns of one scope in one ordered pass.
 
@@ -120,42 +143,32 @@ def add_lag_features(df: DataFrame, configs: Sequence[LagConfig], scope: str) ->
             made[x] = F.col(f"`{s}`").cast("double")
         return made
 
-    deep = [n for n in windows if n >= LONG_FRAME]
-    depth = max(n.bit_length() for n in deep) if deep else 0
+    means = {x: [n for kind, *ns in plan.values() if kind in ("ma", "diff", "spike") for n in ns if n] for _, x, _c, plan in jobs}
+    chains = {x: frame_parts(lengths) for x, lengths in means.items() if lengths}
+
+    def framed(level: int):
+        """Sums and counts over each source's next longer frame, put together from shorter ones, so nothing outside a frame touches it."""
+        def part(x: str, kind: str, n: int, m: int, passed: int, w) -> Column:
+            if m == n or m not in chains[x]:
+                return F.coalesce(w.agg(kind, x, m, passed), F.lit(0))
+            name = f"{x}_{kind}{m}"
+            return F.coalesce(w.lag(name, passed), F.lit(0)) if passed else F.col(name)
 
-    def doubled(level: int):
-        """Sums and counts of the last 2**level rows, each from two halves, so nothing outside a frame touches it."""
         def stage(w) -> dict[str, Column]:
             made = {}
-            for _, x, _c, plan in jobs:
-                if level == 0:
-                    made[f"{x}_s0"], made[f"{x}_n0"] = F.coalesce(x, F.lit(0.0)), F.col(x).isNotNull().cast("int")
-                    continue
-                for part in ("s", "n"):
-                    half = f"{x}_{part}{level - 1}"
-                    made[f"{x}_{part}{level}"] = F.col(half) + F.coalesce(w.lag(half, 2 ** (level - 1)), F.lit(0))
+            for x, chain in chains.items():
+                for n, parts in list(chain.items())[level:level + 1]:
+                    for kind in ("sum", "count"):
+                        made[f"{x}_{kind}{n}"] = sum((part(x, kind, n, *p, w) for p in parts[1:]), part(x, kind, n, *parts[0], w))
             return made
         return stage
 
     def changes(w) -> dict[str, Column]:
         return {f"{x}_pct": pct(x, 1, w) for _, x, _c, plan in jobs if any(r[0] == "vol" for r in plan.values())}
 
-    def framed(x: str, part: str, n: int, w) -> Column:
-        """Sum over the last n rows: one doubled sum for each binary digit of n."""
-        total, passed = F.lit(0), 0
-        for bit in range(n.bit_length()):
-            if n >> bit & 1:
-                name = f"{x}_{part}{bit}"
-                total = total + (F.coalesce(w.lag(name, passed), F.lit(0)) if passed else F.col(name))
-                passed += 2**bit
-        return total
-
-    def mean(x: str, n: int, config: LagConfig, w) -> Column:
-        need = max(1, int(n * config.min_periods_ratio))
-        if n < LONG_FRAME:
-            return rmean(x, n, w, need)
-        count = framed(x, "n", n, w)
-        return F.when(count >= need, framed(x, "s", n, w) / F.when(count > 0, count))
+    def mean(x: str, n: int, config: LagConfig) -> Column:
+        count = F.col(f"{x}_count{n}")
+        return F.when(count >= max(1, int(n * config.min_periods_ratio)), F.col(f"{x}_sum{n}") / F.when(count > 0, count))
 
     def finish(w) -> dict[str, Column]:
         made: dict[str, Column] = {}
@@ -165,19 +178,20 @@ def add_lag_features(df: DataFrame, configs: Sequence[LagConfig], scope: str) ->
                 if kind == "lag":
                     made[out] = w.lag(x, n[0])
                 elif kind == "ma":
-                    made[out] = mean(x, n[0], config, w)
+                    made[out] = mean(x, n[0], config)
                 elif kind == "mom":
                     made[out] = pct(x, n[0], w)
                 elif kind == "diff":
-                    made[out] = (now if n[0] == 0 else mean(x, n[0], config, w)) - mean(x, n[1], config, w)
+                    made[out] = (now if n[0] == 0 else mean(x, n[0], config)) - mean(x, n[1], config)
                 elif kind == "spike":
-                    made[out] = F.try_divide(now, mean(x, n[0], config, w))
+                    made[out] = F.try_divide(now, mean(x, n[0], config))
                 else:
                     made[out] = rstd(f"{x}_pct", n[0], w, max(1, n[0] // 2))
         return made
 
     keys = ("ticker",) if scope == "ticker" else ()
-    return over_series(df, [sources, changes, *[doubled(k) for k in range(depth)], finish], max(windows) + 1, keys=keys)
+    depth = max((len(c) for c in chains.values()), default=0)
+    return over_series(df, [sources, changes, *[framed(k) for k in range(depth)], finish], max(windows) + 1, keys=keys)
 
 
 def add_all_ticker_lags(df: DataFrame) -> DataFrame:

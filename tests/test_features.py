@@ -92,6 +92,24 @@ def test_fear_ratio_uses_no_later_values(spark):
     assert np.allclose(full["FearRatio"], [1.0, 4 / 3, 2.0]) and np.allclose(first.sort_values("timestamp")["FearRatio"], [1.0, 4 / 3])
 
 
+@pytest.mark.parametrize("lengths", [[63, 126, 252], [21, 63, 126, 252, 504, 1008], [63, 126, 252, 504, 1004], [5, 20, 300], [252], [1], [2, 1000], [7, 64, 65]])
+def test_frames_are_put_together_from_few_shorter_ones(lengths):
+    chain = lagma.frame_parts(lengths)
+    assert set(lengths) <= set(chain) and min(chain) <= lagma.SHORT_FRAME
+    rows = {}
+    for n, parts in chain.items():
+        rows[n] = [passed + i for m, passed in parts for i in (rows[m] if m < n and m in rows else range(m))]
+        assert sorted(rows[n]) == list(range(n)) and all(m in rows or m <= lagma.SHORT_FRAME for m, _ in parts)
+        assert len(parts) <= 2 * lagma.MOST_PARTS
+
+
+def test_moving_means_sort_and_slide_little(spark, panel):
+    """The plan has no frame longer than a short one and a window step for each length, not for each power of two."""
+    out = lagma.add_lag_features(frame(spark, panel).select("timestamp", "ticker", F.col("Close").alias("DollarVolume")), lagma.TICKER_CONFIGS[:1], "ticker")
+    plan = out._jdf.queryExecution().optimizedPlan().toString()
+    assert plan.count("specifiedwindowframe(RowFrame, -125") == 0 and sum(line.lstrip(" +-:").startswith("Window [") for line in plan.splitlines()) <= 11
+
+
 def test_lag_names_and_values(spark):
     pdf = walk(2, 60)[["timestamp", "ticker", "Close", "Volume"]]
     one = lagma.LagConfig(r"^close$", "Px", (7,), (14,), (7,), ((0, 14), (5, 14)), spike=True, volatility=True)
