@@ -124,9 +124,10 @@ query("pnl06_macro_asof", lambda i: rounded(P.long_to_wide(i.long, ["LastDiv"],
 
 def _corrected(i: Inputs):
     """The long table as delivered second, after a wrong first delivery and before corrected closing prices."""
-    first = i.long.withColumn("value", F.col("value") * 2).withColumn(P.INGEST_ORDER, F.lit(0))
+    # Both deliveries come from one pass over the long table.
+    twice = F.inline(F.array(*[F.struct(v.alias("value"), F.lit(k).alias(P.INGEST_ORDER)) for k, v in enumerate((F.col("value") * 2, F.col("value")))]))
     third = i.panel.filter("Volume > 30").select("timestamp", "ticker", F.lit("Close").alias("feature"), (F.col("Close") * 0.5).alias("value"), F.lit(2).alias(P.INGEST_ORDER))
-    return first.unionByName(i.long.withColumn(P.INGEST_ORDER, F.lit(1))).unionByName(third)
+    return i.long.select("timestamp", "ticker", "feature", twice).unionByName(third)
 
 
 query("pnl04_last_observation", lambda i: rounded(P.exact_pivot(P.classify_tickers(_corrected(i)), ("Close", "High", "Low", "Volume")), 4),
