@@ -17,6 +17,7 @@ from __future__ import annotations
 import json
 import os
 from collections.abc import Sequence
+from functools import lru_cache
 
 import numpy as np
 import pandas as pd
@@ -81,6 +82,7 @@ class Sides:
         self.bytes_b = [self._piece(i) for i in range(self.pieces.get_piece_size())]
         self.length_a = np.array([len(b) for b in self.bytes_a], dtype=np.int64)
         self.length_b = np.array([len(b) for b in self.bytes_b], dtype=np.int64)
+        self.spelled_a, self.spelled_b = pa.array(self.bytes_a, pa.large_binary()), pa.array(self.bytes_b, pa.large_binary())
         self.name_a = pa.array([str(i) for i in range(len(self.bytes_a))])
         self.name_b = pa.array([str(i) for i in range(len(self.bytes_b))])
 
@@ -90,25 +92,36 @@ class Sides:
         return b"" if self.pieces.is_control(i) else self.pieces.id_to_piece(i).replace("▁", " ").encode()
 
     def encode_a(self, text: str) -> np.ndarray:
-        if self.fast is not None and self.common.fullmatch(text):
+        if self.fast is not None and (text.isascii() or self.common.fullmatch(text)):
             return self.fast.encode_to_numpy(" " + text, disallowed_special=())
         return np.array(self.exact.encode(" " + text, add_special_tokens=False).ids, dtype=np.uint32)
 
     def encode(self, texts: Sequence[str]) -> tuple[list[int], list[np.ndarray], list[np.ndarray]]:
         """(places of the texts that have tokens, their ids of A, their ids of B)."""
         some = [i for i, t in enumerate(texts) if t]
-        kept, ids_a, ids_b = [], [], []
-        found = self.pieces.encode([texts[i] for i in some], num_threads=1) if some else []
-        for i, b in zip(some, found):
-            whole = (" " + texts[i]).encode()
-            if b"".join(map(self.bytes_b.__getitem__, b)) != whole:
-                continue
-            a = self.encode_a(texts[i])
-            if b"".join(map(self.bytes_a.__getitem__, a.tolist())) == whole:
-                kept.append(i)
-                ids_a.append(a)
-                ids_b.append(np.array(b, dtype=np.uint32))
-        return kept, ids_a, ids_b
+        ids_b = self.pieces.encode_as_numpy([texts[i] for i in some], num_threads=1) if some else []
+        whole = [(" " + texts[i]).encode() for i in some]
+        same = _spells(ids_b, self.spelled_b, whole)
+        some, ids_b, whole = ([x for x, yes in zip(xs, same) if yes] for xs in (some, ids_b, whole))
+        ids_a = [self.encode_a(texts[i]) for i in some]
+        same = _spells(ids_a, self.spelled_a, whole)
+        return tuple([x for x, yes in zip(xs, same) if yes] for xs in (some, ids_a, ids_b))
+
+
+@lru_cache(maxsize=1)
+def sides_of(folder: str, file_a: str, file_b: str) -> Sides:
+    """Both encoders, read once by a worker for all its tasks."""
+    return Sides(folder, file_a, file_b)
+
+
+def _spells(ids: list[np.ndarray], spelled: pa.Array, whole: list[bytes]) -> list[bool]:
+    """Whether the bytes of each list of ids are the whole text."""
+    if not sum(map(len, ids)):
+        return [not text for text in whole]
+    joined = spelled.take(pa.array(np.concatenate(ids)))
+    data = joined.buffers()[2].to_pybytes()
+    ends = np.frombuffer(joined.buffers()[1], dtype=np.int64)[np.cumsum([len(one) for one in ids])].tolist()
+    return [data[begin:end] == text for begin, end, text in zip([0, *ends], ends, whole)]
 
 
 class Tokens:
@@ -159,8 +172,11 @@ def align_batch(texts: Sequence[str], sides: Sides) -> dict:
     link_a, link_b = over_a[together], over_b[together]
     docs = len(kept)
     per_doc = lambda x: np.bincount(x, minlength=docs)
-    ends = np.unique(a.end[link_a])  # sorted
-    group_doc = np.searchsorted(a.end[np.cumsum(a.count) - 1], ends)
+    linked = np.zeros(len(a.id), dtype=bool)
+    linked[link_a] = True
+    ends = a.end[linked]  # in order
+    last = np.r_[ends[1:] != ends[:-1], True][:len(ends)]
+    ends, group_doc = ends[last], a.doc[linked][last]
 
     def cut(tokens: Tokens, names: pa.Array) -> pa.Array:
         offsets = np.r_[0, np.searchsorted(tokens.end, ends, side="right")]
@@ -189,12 +205,8 @@ def align_batch(texts: Sequence[str], sides: Sides) -> dict:
 
 def align(docs: DataFrame, text_col: str = "text", folder: str = FOLDER, file_a: str = FILE_A, file_b: str = FILE_B) -> DataFrame:
     """Add ``n_a``, ``n_b``, ``n_groups``, ``n_links``, ``n_overlaps``, ``groups``, ``pairs`` (id of A, shifted by 32 bits, and id of B) and ``times``."""
-    state: dict = {}
-
     def make(batch: pa.RecordBatch) -> dict:
-        if not state:
-            state["sides"] = Sides(folder, file_a, file_b)
-        return align_batch(as_text(batch, text_col), state["sides"])
+        return align_batch(as_text(batch, text_col), sides_of(folder, file_a, file_b))
 
     added = "n_a long, n_b long, n_groups long, n_links long, n_overlaps long, groups string, pairs array<long>, times array<int>"
     return map_texts(docs, make, added, text_col, most_bytes=BATCH_BYTES)

@@ -134,6 +134,32 @@ def test_alignment_edge_cases(spark):
     assert all(r["count_sum"] == 2 * r["n_links"] for r in got)
 
 
+@vocabularies
+def test_vocabularies_are_read_once_by_a_worker(monkeypatch):
+    made, plain = [], tokens.Sides
+    monkeypatch.setattr(tokens, "Sides", lambda *files: made.append(files) or plain(*files))
+    tokens.sides_of.cache_clear()
+    both = [tokens.sides_of(tokens.FOLDER, tokens.FILE_A, tokens.FILE_B) for _ in range(2)]
+    tokens.sides_of.cache_clear()
+    assert both[0] is both[1] and len(made) == 1
+
+
+@vocabularies
+def test_spelled_bytes_are_compared_text_by_text():
+    """Only the texts whose own tokens spell them are kept, whatever stands beside them; letters beyond ASCII and texts without tokens count."""
+    sides = tokens.Sides()
+    texts = ["straße", "日本", "plain", "two  spaces"]
+    ids = [sides.encode_a(t) for t in texts]
+    whole = [(" " + t).encode() for t in texts]
+    assert tokens._spells(ids, sides.spelled_a, whole) == [True] * 4
+    assert tokens._spells([ids[0], ids[1][:-1], ids[2], ids[2]], sides.spelled_a, whole) == [True, False, True, False]
+    none = np.array([], dtype=np.uint32)
+    assert tokens._spells([none, ids[2], none], sides.spelled_a, [b"x", whole[2], b""]) == [False, True, True]
+    assert tokens._spells([none], sides.spelled_a, [b"x"]) == [False] and tokens._spells([], sides.spelled_a, []) == []
+    kept, ids_a, ids_b = sides.encode(["a▁b", "straße", "", "plain"])
+    assert kept == [1, 3] and [x.tolist() for x in ids_a] == [ids[0].tolist(), ids[2].tolist()] and len(ids_b) == 2
+
+
 # ---- manifest
 
 def sha(x):
