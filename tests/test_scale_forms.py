@@ -159,3 +159,34 @@ def test_nearest_tickers_send_few_copies(spark):
     apart = C.nearest_tickers(returns, 4, 60, 3, group_bytes=3 * 90 * 16).orderBy("ticker", "place").toPandas()
     assert (plain["other"] == apart["other"]).all() and np.allclose(plain["correlation"], apart["correlation"], atol=1e-12)
     assert len(plain) == 52 * 4 and plain[(plain["ticker"] == "T900") & (plain["place"] == 1)]["other"].item() == "T007"
+
+
+def test_ranks_of_groups_cut_by_batches(spark, monkeypatch):
+    """Groups cut by Arrow batches are ranked whole; NaN is the largest value and ties with itself, signs of zero tie, unknown keys are one group."""
+    from panelforge.operators import tied
+
+    monkeypatch.setattr(tied, "_ROWS_AT_ONCE", 20)
+    rng = np.random.default_rng(5)
+    rows = [(int(k) if k else None, i, *[None if x == 3 else (float("nan"), 0.0, -0.0)[int(x)] if x < 3 else float(x) for x in rng.integers(0, 9, 3)])
+            for i, k in enumerate(rng.integers(0, 9, 300) // 2)]
+    df = spark.createDataFrame(rows, "k int, i int, a double, b double, c double").checkpoint()
+    spark.conf.set("spark.sql.execution.arrow.maxRecordsPerBatch", "7")
+    try:
+        got = {r["i"]: r for r in average_ranks(df, ["a", "b", "c"], ["k"]).collect()}
+    finally:
+        spark.conf.unset("spark.sql.execution.arrow.maxRecordsPerBatch")
+    assert len(got) == 300
+    for at, c in enumerate("abc", 2):
+        for k in {r[0] for r in rows}:
+            mine = [(r[1], np.inf if r[at] != r[at] else r[at]) for r in rows if r[0] == k and r[at] is not None]
+            for i, x in mine:
+                low, same = sum(y < x for _, y in mine), sum(y == x for _, y in mine)
+                assert got[i][f"_rank_{c}"] == low + (same + 1) / 2 and got[i][f"_count_{c}"] == len(mine)
+        assert all(got[r[1]][f"_rank_{c}"] is None for r in rows if r[at] is None)
+
+
+def test_many_ranks_take_no_row_apart(spark):
+    """Rows are not multiplied by their columns to be ranked, nor gathered again."""
+    df = frame(spark, wide()).checkpoint()
+    plan = average_ranks(df, [f"c{i}" for i in range(6)], ["timestamp"])._jdf.queryExecution().executedPlan().toString()
+    assert "Generate" not in plan and "collect_list" not in plan and plan.count("Exchange") == 1
