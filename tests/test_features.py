@@ -147,3 +147,19 @@ def test_long_means_forget_an_infinity(spark):
     for n in (251, 252, 300):
         tail = got[f"Px_MA_{n}"][5 + n:]
         assert np.allclose(tail, close[6:].rolling(n).mean()[n - 1:], rtol=1e-12)
+
+
+def test_the_whole_chain_stores_no_wide_rows(spark, monkeypatch):
+    """Rows with all features are moved by the ranks' shuffle alone: only the narrow frame before them and the market's series are written."""
+    from panelforge.plans import evaluation as E
+
+    kept = []
+    for name in ("stored", "written"):
+        monkeypatch.setattr(E, name, lambda df, *a, f=getattr(E, name): (kept.append(len(df.columns)), f(df, *a))[1])
+    rows = [(t * DAY, f"T{j}.NZ", *[10.0 + j + t % 7 + k for k in range(4)], 5.0 + t % 3) for t in range(30) for j in range(3)]
+    panel = spark.createDataFrame(rows, "timestamp long, ticker string, Open double, High double, Low double, Close double, Volume double")
+    macro = spark.createDataFrame([(t * DAY, 3.0 + t % 4) for t in range(30)], ["timestamp", "MACRO_Long-term interest rates"])
+    out = E.add_all_features(panel, macro, lags=False)
+    assert max(kept) < 20 < len(out.columns)
+    got = {(r["ticker"], r["timestamp"] // DAY): r["IR_Change"] for r in out.select("ticker", "timestamp", "IR_Change").collect()}
+    assert len(got) == 90 and all(v == (0.0 if t == 0 else float(t % 4 - (t - 1) % 4)) for (_, t), v in got.items())
